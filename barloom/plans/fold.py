@@ -1,0 +1,79 @@
+"""Data-dependent state machines over long series."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..session import materialise
+from .blocks import SCAN_BLOCK
+
+Step = Callable[[pd.DataFrame, dict | None], tuple[pd.DataFrame, dict]]
+
+
+def chunked_fold(
+    df: DataFrame,
+    *,
+    keys: Sequence[str],
+    pos: str,
+    step: Step,
+    schema: str,
+    size: int = SCAN_BLOCK,
+) -> DataFrame:
+    """Run ``step`` over each series in order, one chunk of rows per task.
+
+    ``step(rows, state)`` gets the rows of one chunk sorted by ``pos`` and the
+    state left by the chunk before (``None`` at the start of a series).  All
+    chunks first run side by side from a guessed state; a chunk is run again
+    only if the state really left by its predecessor differs from the one it
+    used.  Such machines forget their start after a few reversals, so this
+    settles in a round or two; it stops only when every chunk agrees with its
+    predecessor, which makes the result equal to the sequential run.
+    """
+    keys = list(keys)
+    rows = df.withColumn("_chunk", F.floor(F.col(pos) / size))
+    state_in = F.lit(None).cast("string").alias("_in")
+    more = rows.filter(F.col("_chunk") > 0).limit(1).count() > 0
+    if not more:
+        incoming = None
+    else:
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+        kind += ", _chunk long, _in string, _out string"
+
+        def end_state(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(pos)
+            given = pdf["_in"].iloc[0]
+            _, state = step(pdf, json.loads(given) if isinstance(given, str) else None)
+            row = {k: [pdf[k].iloc[0]] for k in [*keys, "_chunk"]}
+            return pd.DataFrame({**row, "_in": [given], "_out": [json.dumps(state)]})
+
+        def run(part: DataFrame) -> DataFrame:
+            return part.groupBy(*keys, "_chunk").applyInPandas(end_state, kind)
+
+        states = materialise(run(rows.withColumn("_in", state_in)), "fold")
+        order = Window.partitionBy(*keys).orderBy("_chunk")
+        while True:
+            linked = states.withColumn("_want", F.lag("_out").over(order))
+            stale = linked.filter(~F.col("_want").eqNullSafe(F.col("_in"))).select(
+                *keys, "_chunk", F.col("_want").alias("_in")
+            )
+            stale = materialise(stale, "stale")
+            if stale.limit(1).count() == 0:
+                break
+            again = run(rows.join(stale, [*keys, "_chunk"]))
+            kept = states.join(stale.select(*keys, "_chunk"), [*keys, "_chunk"], "left_anti")
+            states = materialise(kept.unionByName(again), "fold")
+        incoming = states.select(*keys, "_chunk", "_in")
+
+    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        given = pdf["_in"].iloc[0]
+        out, _ = step(pdf, json.loads(given) if isinstance(given, str) else None)
+        return out
+
+    ready = rows.withColumn("_in", state_in) if incoming is None else rows.join(incoming, [*keys, "_chunk"])
+    return ready.groupBy(*keys, "_chunk").applyInPandas(emit, schema)
