@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.asof import asof_join
+from ..plans.asof import Right, asof_join
 from ..plans.blocks import BlockFrame, Ewm, shift_time, span, with_position
 from .bars import HOUR, resample_ohlcv
 
@@ -145,10 +145,11 @@ def feature_table(bars: DataFrame, *, keys: Sequence[str] = ("symbol",), block:
     """Hourly features with the last completed 4h and 1d context joined on."""
     keys = list(keys)
     out = hourly_base(bars, keys=keys, block=block).withColumn("available_at", shift_time(F.col("timestamp"), HOUR))
+    contexts = []
     for prefix, step in (("4h", 4 * HOUR), ("1d", 24 * HOUR)):
         htf = htf_features(resample_ohlcv(bars, step, keys=keys), prefix, step, keys=keys, block=block)
-        htf = htf.withColumnRenamed("available_at", f"{prefix}_available_at")
-        out = asof_join(out, htf, left_on="available_at", right_on=f"{prefix}_available_at", keys=keys)
+        contexts.append(Right(htf.withColumnRenamed("available_at", f"{prefix}_available_at"), f"{prefix}_available_at"))
+    out = asof_join(out, *contexts, left_on="available_at", keys=keys)
     return out.withColumn("trend_alignment", F.col("trend_1h") + F.col("4h_trend") + F.col("1d_trend"))
 
 
@@ -231,7 +232,7 @@ def snapshots(
     """
     impulses = impulses or {}
     base_tf, base = next(iter(timeframes.items()))
-    out = None
+    out, rights, hidden = None, [], {}
     for tf, step in timeframes.items():
         made = build(_complete(bars, tf, step, base, keys), step)
         named = {c: f"{c}_{tf}" for c in [*context, *fields]}
@@ -246,15 +247,11 @@ def snapshots(
             )
             continue
         src = made.select(*keys, F.col("known_at").alias(f"known_at_{tf}"), *cols)
-        out = asof_join(
-            out, src, left_on="decision_at", right_on=f"known_at_{tf}", keys=keys, tolerance=step
-        )
-        out = mask_impulses(
-            out,
-            {named[c]: v for c, v in impulses.items()},
-            decision="decision_at",
-            known=f"known_at_{tf}",
-        )
+        rights.append(Right(src, f"known_at_{tf}", tolerance=step))
+        hidden[f"known_at_{tf}"] = {named[c]: v for c, v in impulses.items()}
+    out = asof_join(out, *rights, left_on="decision_at", keys=keys)
+    for known, neutral in hidden.items():
+        out = mask_impulses(out, neutral, decision="decision_at", known=known)
     return out
 
 

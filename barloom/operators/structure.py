@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.asof import asof_join
+from ..plans.asof import Right, asof_join
 from ..plans.blocks import SCAN_BLOCK, BlockFrame, epoch_us, shift_time, with_position
 from ..plans.fold import chunked_fold
 from .bars import HOUR, resample_ohlcv
@@ -36,6 +36,9 @@ def fractal_pivots(
 ) -> DataFrame:
     """Last confirmed swing high and low at every bar.
 
+    Also leaves ``_now_*`` / ``_was_*`` (the last pivot including / before this
+    bar) and ``_prev_close`` for the break rules.
+
     A pivot is the only extreme of ``left + 1 + right`` bars and appears at the
     bar ``right`` later, when it is known.  ``series`` are the columns state
     never crosses (keys, plus ``seg`` to restart at gaps); needs ``pos``.
@@ -50,36 +53,29 @@ def fractal_pivots(
         strict = (x > older) & (x > newer) if side == "high" else (x < older) & (x < newer)
         news[f"_new_{side}"] = F.when(
             (p >= left + right) & strict,
-            F.struct(x.alias("price"), bf.lag(at, right).alias("at"), F.col(known).alias("known"), p.alias("pos")),
+            F.struct(
+                x.alias("price"), bf.lag(at, right).alias("at"), F.col(known).alias("known"), p.alias("pos"),
+                F.col("close").alias("close"),
+            ),
         )
+    news["_prev_close"] = bf.lag("close")
     rows = bf.with_columns(news).own()
-    rows = BlockFrame(rows, series, size=size).scan(
-        {f"_{when}_{s}": ("last", F.col(f"_new_{s}"), when == "now") for s in SIDES for when in ("now", "was")}
-    )
-    # the pivot before the last one gives the class; it was current just before the last was confirmed
-    rows = rows.withColumns(
-        {
-            f"_cls_{s}": F.when(
-                F.col(f"_new_{s}").isNotNull(), _class(s, F.col(f"_new_{s}.price"), F.col(f"_was_{s}.price"))
-            )
-            for s in SIDES
-        }
-    )
-    rows = BlockFrame(rows, series, size=size).scan(
-        {f"_structure_{s}": ("last", F.col(f"_cls_{s}"), True) for s in SIDES}
-    )
+    specs = {f"_now_{s}": ("last2", F.col(f"_new_{s}"), True) for s in SIDES}
+    specs |= {f"_was_{s}": ("last", F.col(f"_new_{s}"), False) for s in SIDES}
+    rows = BlockFrame(rows, series, size=size).scan(specs)
     out = {}
     for s in SIDES:
-        now = F.col(f"_now_{s}")
+        now, prior = F.col(f"_now_{s}.now"), F.col(f"_now_{s}.prior")
         out |= {
             f"swing_{s}_price": now["price"],
             f"swing_{s}_at": now["at"],
             f"swing_{s}_confirmed_at": now["known"],
-            f"{s}_structure": F.coalesce(F.col(f"_structure_{s}"), F.lit("NONE")),
+            f"{s}_structure": F.when(now.isNull(), "NONE").otherwise(_class(s, now["price"], prior["price"])),
             f"pivot_{s}_confirmed": F.col(f"_new_{s}").isNotNull(),
             f"{s}_distance_pct": now["price"] / F.col("close") - 1,
+            f"_now_{s}": now,
         }
-    return rows.withColumns(out).drop(*[f"_{x}_{s}" for s in SIDES for x in ("new", "cls", "structure")])
+    return rows.withColumns(out).drop(*[f"_new_{s}" for s in SIDES])
 
 
 def _fired(cond: Column, since: Column, last: Column) -> Column:
@@ -143,21 +139,12 @@ def breaks_crossing(
     """
     rows = fractal_pivots(bars, series=series, left=left, right=right, known=known, size=size)
     close, p = F.col("close"), F.col("pos")
-    inside = {"high": close < F.col("_now_high.price"), "low": close > F.col("_now_low.price")}
-    pivot_close = F.struct(
-        *[F.when(F.col(f"pivot_{s}_confirmed"), inside[s]).alias(s) for s in SIDES]
-    )
-    rows = rows.withColumn("_armed", pivot_close)
-    rows = BlockFrame(rows, series, size=size).scan(
-        {f"_armed_{w}_{s}": ("last", F.col(f"_armed.{s}"), w == "now") for s in SIDES for w in ("now", "was")}
-        | {"_prev_close": ("last", close, False)}
-    )
     prev = F.col("_prev_close")
-    h, l = F.col("_was_high.price"), F.col("_was_low.price")
+    h, l = F.col("_was_high"), F.col("_was_low")
     rows = rows.withColumns(
         {
-            "_up": flag(F.col("_armed_was_high") & (prev <= h) & (close > h)),
-            "_down": flag(F.col("_armed_was_low") & (prev >= l) & (close < l)),
+            "_up": flag((h["close"] < h["price"]) & (prev <= h["price"]) & (close > h["price"])),
+            "_down": flag((l["close"] > l["price"]) & (prev >= l["price"]) & (close < l["price"])),
         }
     )
     rows = BlockFrame(rows, series, size=size).scan(
@@ -201,8 +188,10 @@ def breaks_crossing(
         "event_fired": fired,
     }
     for s in SIDES:
-        used = F.coalesce(F.col(f"_used_{s}") > F.col(f"_now_{s}.pos"), F.lit(False))
-        out[f"active_{s}"] = F.when(flag(F.col(f"_armed_now_{s}")) & ~used, F.col(f"_now_{s}.price"))
+        now = F.col(f"_now_{s}")
+        armed = now["close"] < now["price"] if s == "high" else now["close"] > now["price"]
+        used = F.coalesce(F.col(f"_used_{s}") > now["pos"], F.lit(False))
+        out[f"active_{s}"] = F.when(flag(armed) & ~used, now["price"])
     rows = rows.withColumns(out)
     return rows.drop(*[c for c in rows.columns if c.startswith("_")])
 
@@ -432,12 +421,15 @@ def structure_table(bars: DataFrame, timeframes: dict[str, int], *, keys: Sequen
     States persist, events show only on the bar that confirmed them.
     """
     out = bars.select(*keys, "timestamp", "close", shift_time(F.col("timestamp"), HOUR).alias("known_at"))
+    cols = [*STRUCTURE_STATE, *STRUCTURE_EVENTS, "structure_regime"]
+    rights = []
     for tf, step in timeframes.items():
         placed = with_position(end_stamped(bars, step, keys=keys), keys=keys, ts="timestamp", step=step, reset=False)
         made = breaks_beyond(placed, series=list(keys))
-        cols = [*STRUCTURE_STATE, *STRUCTURE_EVENTS, "structure_regime"]
         src = made.select(*keys, F.col("known_at").alias(f"{tf}_available_at"), *[F.col(c).alias(f"{tf}_{c}") for c in cols])
-        out = asof_join(out, src, left_on="known_at", right_on=f"{tf}_available_at", keys=keys)
+        rights.append(Right(src, f"{tf}_available_at"))
+    out = asof_join(out, *rights, left_on="known_at", keys=keys)
+    for tf in timeframes:
         fresh = F.col(f"{tf}_available_at") == F.col("known_at")
         out = out.withColumns(
             {f"{tf}_{e}": F.coalesce(F.col(f"{tf}_{e}") & fresh, F.lit(False)) for e in STRUCTURE_EVENTS}
@@ -516,6 +508,7 @@ def stop_references(
     """Stop of each candidate from the last confirmed pivot on its far side."""
     opens = bars.select(*keys, F.col("timestamp").alias("known_at"), F.col("open").alias("entry_open"))
     out = candidates.join(opens, [*keys, "known_at"], "left")
+    rights = []
     for s in SIDES:
         side = levels.filter(F.col("kind") == s.upper()).select(
             *keys,
@@ -523,7 +516,8 @@ def stop_references(
             F.col("pivot_at").alias(f"{s}_pivot_at"),
             F.col("price").alias(f"{s}_price"),
         )
-        out = asof_join(out, side, left_on="known_at", right_on=f"{s}_confirmed_at", keys=keys)
+        rights.append(Right(side, f"{s}_confirmed_at"))
+    out = asof_join(out, *rights, left_on="known_at", keys=keys)
     short = F.col("side") == "SHORT"
     pick = lambda c: F.when(short, F.col(f"high_{c}")).otherwise(F.col(f"low_{c}"))
     out = out.withColumns(

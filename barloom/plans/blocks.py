@@ -9,7 +9,8 @@ into fixed-size blocks, and
   computed from one summary row per block,
 * exponential averages do the same with a decaying carry.
 
-Every stage shuffles the rows once by (keys, block).
+Every stage shuffles the rows once by (keys, block).  Stages with a carry cut
+the lineage there (see ``cut``), so a chain of them costs the sum of its parts.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 FRAME_BLOCK = 1024
 SCAN_BLOCK = 32_768
 _US = 1_000_000
@@ -193,7 +196,7 @@ class BlockFrame:
             seed = F.col(s.seed or s.x)
             b = F.when(own & (p > s.start), F.col(s.x) * s.alpha).when(own & (p == s.start), seed).otherwise(0.0)
             local[f"_l_{out}"] = F.pow(F.lit(w), k) * F.sum(b * F.pow(F.lit(w), -k)).over(running)
-        rows = self.df.withColumns(local).filter(own)
+        rows = cut(self.df.withColumns(local).filter(own))
         ends = rows.filter(F.pmod(p, F.lit(size)) == size - 1).select(*self.keys, "_blk", *local)
         carried = self._decayed(ends, specs)
         joined = rows.join(carried, [*self.keys, "_blk"], "left")
@@ -229,38 +232,61 @@ class BlockFrame:
     def scan(self, specs: Mapping[str, tuple[str, Column, bool]]) -> DataFrame:
         """Unbounded running ``last`` (non-null), ``sum``, ``max`` or ``min``.
 
-        ``specs`` maps an output to (kind, column, include_current_row).
+        ``specs`` maps an output to (kind, column, include_current_row).  Kind
+        ``last2`` gives a struct (now, prior): the last non-null value and the
+        one before it.
         """
         keys, pos = self.keys, self.pos
         own = F.col("_blk") == F.floor(F.col(pos) / self.size)
-        rows = self.df.filter(own)
         inputs = {f"_x_{o}": c for o, (_, c, _i) in specs.items()}
-        rows = rows.withColumns(inputs)
+        rows = self.df.filter(own).withColumns(inputs)
         fns = {"sum": F.sum, "max": F.max, "min": F.min}
-        ends, local, carry = [], {}, {}
+        seen = self.frame(Window.unboundedPreceding, -1)
+        second = {
+            f"_w_{o}": F.when(F.col(f"_x_{o}").isNotNull(), F.struct(F.last(f"_x_{o}", ignorenulls=True).over(seen).alias("v")))
+            for o, (kind, _, _i) in specs.items() if kind == "last2"
+        }
+        rows = rows.withColumns(second) if second else rows
+        ends, local, carry, later = [], {}, {}, {}
         before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
         for out, (kind, _, inclusive) in specs.items():
             x = F.col(f"_x_{out}")
             w = self.frame(Window.unboundedPreceding, 0 if inclusive else -1)
-            if kind == "last":
+            at = F.when(x.isNotNull(), F.col(pos))
+            if kind in ("last", "last2"):
                 local[f"_l_{out}"] = F.last(x, ignorenulls=True).over(w)
-                ends.append(F.max_by(x, F.when(x.isNotNull(), F.col(pos))).alias(f"_e_{out}"))
+                ends.append(F.max_by(x, at).alias(f"_e_{out}"))
                 carry[f"_c_{out}"] = F.last(f"_e_{out}", ignorenulls=True).over(before)
             else:
                 local[f"_l_{out}"] = fns[kind](x).over(w)
                 ends.append(fns[kind](x).alias(f"_e_{out}"))
                 carry[f"_c_{out}"] = fns[kind](f"_e_{out}").over(before)
-        summary = rows.groupBy(*keys, "_blk").agg(*ends).withColumns(carry).select(*keys, "_blk", *carry)
-        joined = rows.withColumns(local).join(summary, [*keys, "_blk"])
+            if kind == "last2":
+                local[f"_s_{out}"] = F.last(f"_w_{out}", ignorenulls=True).over(w)
+                ends.append(F.max_by(f"_w_{out}", at).alias(f"_z_{out}"))
+                end = F.when(
+                    F.col(f"_e_{out}").isNotNull(), F.struct(F.coalesce(F.col(f"_z_{out}.v"), F.col(f"_c_{out}")).alias("v"))
+                )
+                later[f"_p_{out}"] = (end, before)
+        rows = cut(rows.withColumns(local))
+        summary = rows.groupBy(*keys, "_blk").agg(*ends).withColumns(carry)
+        for name, (end, w) in later.items():
+            summary = summary.withColumn("_end", end).withColumn(name, F.last("_end", ignorenulls=True).over(w))
+        summary = summary.select(*keys, "_blk", *carry, *later)
+        joined = rows.join(summary, [*keys, "_blk"])
         done = {}
         for out, (kind, _, _i) in specs.items():
             here, past = F.col(f"_l_{out}"), F.col(f"_c_{out}")
             if kind == "last":
                 done[out] = F.coalesce(here, past)
+            elif kind == "last2":
+                prior = F.when(here.isNotNull(), F.coalesce(F.col(f"_s_{out}.v"), past)).otherwise(F.col(f"_p_{out}.v"))
+                done[out] = F.struct(F.coalesce(here, past).alias("now"), prior.alias("prior"))
             elif kind == "sum":
                 done[out] = F.coalesce(here + past, here, past)
             elif kind == "max":
                 done[out] = F.greatest(here, past)
             else:
                 done[out] = F.least(here, past)
-        return joined.withColumns(done).drop("_blk", *inputs, *local, *carry)
+        helpers = [f"_s_{o}" for o in specs if specs[o][0] == "last2"]
+        return joined.withColumns(done).drop("_blk", *inputs, *local, *carry, *second, *later, *helpers)

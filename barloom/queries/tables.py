@@ -220,7 +220,7 @@ def _label_cols() -> str:
             out += [
                 f"{_outcome_sql(h, s, '')} AS {s}_outcome_{h}h",
                 f"{_outcome_sql(h, s, '_no')} AS {s}_outcome_{h}h_next_open",
-                f"CASE WHEN {ok} THEN least({tp}, {sl}) END AS {s}_delay_{h}h",
+                f"CAST(CASE WHEN {ok} THEN least({tp}, {sl}) END AS INTEGER) AS {s}_delay_{h}h",
                 f"coalesce({ok} AND {tp} = {sl}, false) AS {s}_ambiguous_{h}h",
             ]
     return ", ".join(out)
@@ -301,3 +301,81 @@ cte(
     bias_score, long_outcome_12h, short_outcome_12h, future_return_12h_pct, up_move_12h_atr, down_move_12h_atr
     FROM splits""",
 )
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """|score| >= 2 rows of the splits with their event outcome."""
+    from ..operators.events import build_candidates
+
+    return stage(
+        spark, sf_dir, "candidates", lambda: build_candidates(bars_1h(spark, sf_dir), splits(spark, sf_dir))
+    )
+
+
+cte(
+    "cand",
+    """SELECT *, CASE WHEN bias_score >= 2 THEN 'LONG' ELSE 'SHORT' END AS side, available_at AS known_at,
+    symbol || '_' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S') || '_' || CASE WHEN bias_score >= 2 THEN 'LONG' ELSE 'SHORT' END AS event_id
+    FROM (SELECT *, max(timestamp) OVER (PARTITION BY symbol, split) AS split_end FROM splits) WHERE abs(bias_score) >= 2""",
+)
+cte(
+    "cand_hits",
+    """SELECT c.event_id, c.side, c.split_end, atr14, x.k, x.timestamp AS bar_at, x.open, x.high, x.low, x.close,
+    min(CASE WHEN x.k = 1 THEN x.open END) OVER (PARTITION BY c.event_id) AS e
+    FROM cand c JOIN (SELECT symbol, pos - k AS at, k, timestamp, open, high, low, close FROM bars, range(1, 13) r(k)) x
+    ON x.symbol = c.symbol AND x.at = c.pos""",
+)
+cte(
+    "cand_codes",
+    """SELECT *, CASE WHEN side = 'LONG' THEN
+        CASE WHEN k > 1 AND open <= sl THEN 'SL_GAP' WHEN k > 1 AND open >= tp THEN 'TP_GAP' WHEN low <= sl THEN 'SL' WHEN high >= tp THEN 'TP' END
+      ELSE CASE WHEN k > 1 AND open >= sl THEN 'SL_GAP' WHEN k > 1 AND open <= tp THEN 'TP_GAP' WHEN high >= sl THEN 'SL' WHEN low <= tp THEN 'TP' END END AS code
+    FROM (SELECT *, CASE WHEN side = 'LONG' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sgn,
+          e + CASE WHEN side = 'LONG' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * 1.5::DOUBLE * atr14 AS tp,
+          e - CASE WHEN side = 'LONG' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * atr14 AS sl FROM cand_hits)""",
+)
+cte(
+    "cand_first",
+    """SELECT *, e * (1 + sgn * 0.0002::DOUBLE) AS entry_fill, raw * (1 - sgn * 0.0002::DOUBLE) AS exit_fill FROM (
+     SELECT *, CASE WHEN reason LIKE '%GAP' THEN xo WHEN reason = 'SL' THEN sl WHEN reason = 'TP' THEN tp ELSE xc END AS raw FROM (
+      SELECT event_id, any_value(e) AS e, any_value(sgn) AS sgn, any_value(tp) AS tp, any_value(sl) AS sl, any_value(atr14) AS atr14,
+       min(CASE WHEN k = 1 THEN bar_at END) AS entry_at,
+       count(*) = 12 AND max(bar_at) <= any_value(split_end) AS inside,
+       coalesce(arg_min(code, k) FILTER (code IS NOT NULL), 'TIME') AS reason,
+       coalesce(min(k) FILTER (code IS NOT NULL), 12) AS duration_bars,
+       coalesce(arg_min(open, k) FILTER (code IS NOT NULL), arg_max(open, k)) AS xo,
+       coalesce(arg_min(close, k) FILTER (code IS NOT NULL), arg_max(close, k)) AS xc,
+       coalesce(arg_min(bar_at, k) FILTER (code IS NOT NULL), max(bar_at)) AS exit_bar
+      FROM cand_codes GROUP BY event_id))""",
+)
+OUTCOME_COLUMNS = (
+    "event_outcome invalid_reason reason duration_bars entry_raw exit_raw entry_fill exit_fill gross_return net_return net_r "
+    "entry_at label_available_at tp_price sl_price"
+).split()
+_val = {
+    "event_outcome": "CASE WHEN ok THEN regexp_extract(f.reason, '^(TP|SL|TIME)', 1) ELSE 'DATA_INVALID' END",
+    "invalid_reason": "CASE WHEN NOT coalesce(inside, false) THEN 'SPLIT_BOUNDARY' WHEN NOT ok THEN 'INVALID_EVENT' END",
+    "reason": "CASE WHEN ok THEN f.reason END",
+    "duration_bars": "CASE WHEN ok THEN CAST(f.duration_bars AS INTEGER) END",
+    "entry_raw": "CASE WHEN ok THEN f.e END",
+    "exit_raw": "CASE WHEN ok THEN f.raw END",
+    "entry_fill": "CASE WHEN ok THEN f.entry_fill END",
+    "exit_fill": "CASE WHEN ok THEN f.exit_fill END",
+    "gross_return": "CASE WHEN ok THEN sgn * (f.exit_fill - f.entry_fill) / f.entry_fill END",
+    "net_return": "CASE WHEN ok THEN sgn * (f.exit_fill - f.entry_fill) / f.entry_fill - 0.0005::DOUBLE * (1 + f.exit_fill / f.entry_fill) END",
+    "net_r": "CASE WHEN ok THEN (sgn * (f.exit_fill - f.entry_fill) - 0.0005::DOUBLE * (f.entry_fill + f.exit_fill)) / f.atr14 END",
+    "entry_at": "CASE WHEN ok THEN f.entry_at END",
+    "label_available_at": "CASE WHEN ok THEN f.exit_bar + INTERVAL 1 HOUR END",
+    "tp_price": "CASE WHEN ok THEN f.tp END",
+    "sl_price": "CASE WHEN ok THEN f.sl END",
+}
+cte(
+    "candidates",
+    f"""SELECT * EXCLUDE (ok_) FROM (SELECT c.*, {", ".join(f"{v.replace('ok', 'ok_')} AS {k}" for k, v in _val.items())}, ok_
+    FROM cand c LEFT JOIN (SELECT *, coalesce(inside AND atr14 > 0 AND tp > 0 AND sl > 0, false) AS ok_ FROM cand_first) f USING (event_id))""",
+)
+cte("valid_cand", "SELECT * FROM candidates WHERE event_outcome <> 'DATA_INVALID'")
+
+
+def valid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates(spark, sf_dir).filter("event_outcome <> 'DATA_INVALID'")

@@ -61,3 +61,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.mode("overwrite").option("compression", "zstd").parquet(root)
     _STAGED[key] = root
     return spark.read.parquet(root)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: computed once, read by every later branch.
+
+    Used where a plan needs the same rows twice (rows plus their per-block
+    summary), so chained operators cost the sum of their work, not the
+    product.  The checkpoint keeps the hash partitioning: the summary and the
+    join back need no further shuffle of the rows.
+    """
+    shared_dir(df.sparkSession)
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
