@@ -156,17 +156,20 @@ def trade_summary(path: DataFrame, by: Sequence[str], *, initial: float = 1.0) -
     )
 
 
-def cost_grid(trades: DataFrame, costs: Sequence[float], *, base_slippage_bps: float = 2.0, fee_bps: float | None = None) -> DataFrame:
-    """Net return of a fixed trade list at every cost per side (bps).
+def cost_grid(trades: DataFrame, costs: Sequence[float], *, fee_weight: float = 5.0, slippage_weight: float = 2.0) -> DataFrame:
+    """Net return of a fixed trade list at every total cost per side (bps).
 
     Each trade is repeated per cost with an exploded literal array; raw prices
-    are kept, so the fills are recomputed without touching the bars.
+    are kept, so fills are recomputed without touching the bars.  A cost is
+    split between fee and slippage by the weights.
     """
     sign = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
     out = trades.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
-    gross = sign * (F.col("exit_raw") - F.col("entry_raw")) / F.col("entry_raw")
-    cost = F.col("cost_bps") / 10_000
-    return out.withColumn("net_at_cost", gross - cost * (1 + F.col("exit_raw") / F.col("entry_raw")))
+    part = F.col("cost_bps") / (10_000 * (fee_weight + slippage_weight))
+    fee, slip = part * fee_weight, part * slippage_weight
+    paid = F.col("entry_raw") * (1 + sign * slip)
+    got = F.col("exit_raw") * (1 - sign * slip)
+    return out.withColumn("net_at_cost", sign * (got - paid) / paid - fee * (1 + got / paid))
 
 
 def cost_totals(trades: DataFrame, costs: Sequence[float], by: Sequence[str]) -> DataFrame:

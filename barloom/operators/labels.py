@@ -325,3 +325,29 @@ def excursions(trades: DataFrame, bars: DataFrame, *, keys: Sequence[str] = ("sy
             "exit_type": F.regexp_extract("reason", "^(TP|SL|TIME)", 1),
         }
     ).drop("_fav", "_adv", "_hi", "_lo")
+
+
+def touch_by_join(rows: DataFrame, horizon: int, *, keys: Sequence[str] = ("symbol",), tp: float = 1.5, sl: float = 1.0) -> DataFrame:
+    """First-touch outcomes again, as a forward range join.
+
+    Every bar is sent to the ``horizon`` rows before it (index explode and
+    equi-join); hits combine map-side to one row per decision.
+    """
+    ahead = rows.select(*keys, F.col("pos").alias("_at"), "high", "low").withColumn(
+        "pos", F.explode(F.sequence(F.col("_at") - horizon, F.col("_at") - 1))
+    )
+    base = rows.select(*keys, "pos", "close", "atr14")
+    both = base.join(ahead, [*keys, "pos"])
+    k, c, a = F.col("_at") - F.col("pos"), F.col("close"), F.col("atr14")
+    first = lambda cond: F.min(F.when(cond, k))
+    hits = both.groupBy(*keys, "pos").agg(
+        F.count(F.lit(1)).alias("_n"), F.first("atr14").alias("_atr"),
+        first(F.col("high") >= c + tp * a).alias("_long_tp"), first(F.col("low") <= c - sl * a).alias("_long_sl"),
+        first(F.col("low") <= c - tp * a).alias("_short_tp"), first(F.col("high") >= c + sl * a).alias("_short_sl"),
+    )
+    far, out = F.lit(horizon + 1).cast("long"), {}
+    for side in ("long", "short"):
+        x, y = F.coalesce(f"_{side}_tp", far), F.coalesce(f"_{side}_sl", far)
+        known = (F.col("_n") == horizon) & F.col("_atr").isNotNull() & ~((x == y) & (x < far))
+        out[f"{side}_again"] = F.when(known, F.when(x < y, 1).when(y < x, -1).otherwise(0))
+    return hits.select(*keys, "pos", *[v.alias(n) for n, v in out.items()])

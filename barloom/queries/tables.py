@@ -379,3 +379,40 @@ cte("valid_cand", "SELECT * FROM candidates WHERE event_outcome <> 'DATA_INVALID
 
 def valid_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates(spark, sf_dir).filter("event_outcome <> 'DATA_INVALID'")
+
+
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-overlapping valid candidates per symbol and split, with equity."""
+    from ..operators.events import equity_path, select_non_overlapping
+
+    def build() -> DataFrame:
+        rows = valid_candidates(spark, sf_dir).withColumn("exit_i", F.col("pos") + F.col("duration_bars"))
+        keys = ["symbol", "split"]
+        marked = select_non_overlapping(rows, keys=keys, start="pos", end="exit_i", order=["timestamp", "event_id"])
+        taken = marked.filter("portfolio_status = 'TAKEN'").drop("portfolio_status")
+        return equity_path(taken, keys=keys, r="net_return", order=["timestamp"])
+
+    return stage(spark, sf_dir, "trades", build)
+
+
+cte(
+    "seq",
+    """SELECT *, pos + duration_bars AS exit_i, row_number() OVER (PARTITION BY symbol, split ORDER BY pos) AS rn FROM valid_cand""",
+)
+cte(
+    "nxt",
+    """SELECT a.symbol, a.split, a.rn, b.rn AS next_rn FROM seq a ASOF LEFT JOIN seq b
+       ON a.symbol = b.symbol AND a.split = b.split AND a.exit_i < b.pos""",
+)
+cte(
+    "walk",
+    """SELECT symbol, split, rn FROM seq WHERE rn = 1 UNION ALL
+       SELECT w.symbol, w.split, n.next_rn FROM walk w JOIN nxt n USING (symbol, split, rn) WHERE n.next_rn IS NOT NULL""",
+)
+cte(
+    "trades",
+    """SELECT *, equity_after / (1 + net_return) AS equity_before,
+       equity_after / greatest(1, max(equity_after) OVER w) - 1 AS drawdown, row_number() OVER w AS trade_no FROM (
+       SELECT s.*, exp(sum(ln(1 + net_return)) OVER (PARTITION BY symbol, split ORDER BY rn)) AS equity_after
+       FROM seq s JOIN walk USING (symbol, split, rn)) WINDOW w AS (PARTITION BY symbol, split ORDER BY rn)""",
+)

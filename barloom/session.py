@@ -75,3 +75,10 @@ def cut(df: DataFrame) -> DataFrame:
     if df.sparkSession.sparkContext.getCheckpointDir() is None:
         df.sparkSession.sparkContext.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared folder."""
+    key = (spark.sparkContext.applicationId, "scratch", f"{name}-{len(_STAGED)}")
+    _STAGED[key] = path = f"{shared_dir(spark).rstrip('/')}/barloom/{key[0]}/{key[2]}"
+    return path
