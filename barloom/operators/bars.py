@@ -78,12 +78,14 @@ def resample_ohlcv(
     return out.withColumns({"timestamp": F.col("_bar"), "known_at": end}).drop("_bar")
 
 
-def calendar(df: DataFrame, step: int, *, keys: Sequence[str] = ("symbol",), ts: str = "timestamp") -> DataFrame:
-    """Full grid per key between the first and last bar over all keys.
+def calendar(
+    df: DataFrame, step: int, *, keys: Sequence[str] = ("symbol",), ts: str = "timestamp", bounds: DataFrame | None = None
+) -> DataFrame:
+    """Full grid per key between the first and last bar over all keys (of ``bounds``).
 
     The grid is generated per key and day, so no task expands a whole series.
     """
-    bounds = df.agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi")).withColumn("_one", F.lit(1))
+    bounds = (df if bounds is None else bounds).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi")).withColumn("_one", F.lit(1))
     names = df.select(*keys).distinct().withColumn("_one", F.lit(1))
     day = F.expr("sequence(date_trunc('day', _lo), date_trunc('day', _hi), interval 1 day)")
     grid = F.expr(f"sequence(_d, _d + interval 1 day - interval {step} second, interval {step} second)")

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import guard_columns
-from ..plans.blocks import SCAN_BLOCK, BlockFrame, with_position
+from ..plans.blocks import SCAN_BLOCK, BlockFrame
 from ..plans.fold import chunked_fold
-from .bars import HOUR
+from ..plans.ranks import rank_by_time
 from .labels import event_outcomes
 
 # Fixed names: causal features a candidate row may carry, and name parts that betray the future.
@@ -79,8 +79,7 @@ def select_non_overlapping(
     handed over differs from the one it assumed.
     """
     keys = list(keys)
-    stamp = order[0]
-    placed = _rank(events, keys, stamp, order)
+    placed = rank_by_time(events, keys, order)
     types = dict(placed.dtypes)
     cols = [*keys, *[c for c in order if c not in keys], "_i"]
     schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", portfolio_status string"
@@ -100,25 +99,6 @@ def select_non_overlapping(
     return events.join(marks.drop("_i"), cols[:-1])
 
 
-def _rank(df: DataFrame, keys: Sequence[str], ts: str, order: Sequence[str]) -> DataFrame:
-    """Dense position ``_i`` in ``order`` (first column a timestamp, ties by the rest)."""
-    from pyspark.sql import Window
-
-    from ..plans.blocks import epoch_us
-
-    chunk = F.floor(epoch_us(F.col(ts)) / F.lit(HOUR * 1_000_000 * 4096))
-    chunked = df.withColumn("_chunk", chunk)
-    upto = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counts = chunked.groupBy(*keys, "_chunk").count().withColumn("_off", F.coalesce(F.sum("count").over(upto), F.lit(0)))
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    return (
-        chunked.withColumn("_rn", F.row_number().over(local))
-        .join(counts.drop("count"), [*keys, "_chunk"])
-        .withColumn("_i", F.col("_off") + F.col("_rn") - 1)
-        .drop("_chunk", "_rn", "_off")
-    )
-
-
 def equity_path(trades: DataFrame, *, keys: Sequence[str], r: str, order: Sequence[str], initial: float = 1.0,
                 alloc: float = 1.0, size: int = SCAN_BLOCK) -> DataFrame:
     """equity_before / equity_after / drawdown of a compounded trade sequence.
@@ -127,7 +107,7 @@ def equity_path(trades: DataFrame, *, keys: Sequence[str], r: str, order: Sequen
     the initial equity); both scans run in blocks.
     """
     keys = list(keys)
-    placed = _rank(trades, keys, order[0], order).withColumn("_g", F.log1p(F.col(r) * alloc))
+    placed = rank_by_time(trades, keys, list(order)).withColumn("_g", F.log1p(F.col(r) * alloc))
     run = BlockFrame(placed, keys, pos="_i", size=size).scan({"_sum": ("sum", F.col("_g"), True)})
     run = BlockFrame(run, keys, pos="_i", size=size).scan({"_top": ("max", F.col("_sum"), True)})
     peak = F.greatest(F.col("_top"), F.lit(0.0))

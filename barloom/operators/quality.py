@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..plans.blocks import BlockFrame, epoch_us, floor_time, shift_time, with_position
 from ..plans.quantiles import melt, quantiles
+from ..plans.ranks import rank_by_time
 from .bars import HOUR, calendar
-from .events import _rank
 
 
 def count_where(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
@@ -192,7 +192,7 @@ def similar_pairs(df: DataFrame, cols: Sequence[str], *, threshold: float = 0.99
 
 def chain_audit(path: DataFrame, *, keys: Sequence[str], order: Sequence[str], r: str = "net_return", tol: float = 1e-9) -> DataFrame:
     """equity_after follows from before; each before equals the after before it."""
-    placed = _rank(path, keys, order[0], order)
+    placed = rank_by_time(path, keys, list(order))
     bf = BlockFrame(placed, keys, pos="_i", before=1)
     bf.with_columns({"_prev": bf.lag("equity_after")})
     rows = bf.own()
@@ -220,7 +220,7 @@ def ledger_from_trades(trades: DataFrame, *, qty: float = 1.0, fee_bps: float =
     led = trades.withColumn("_e", F.explode(rows)).select("symbol", "side", "tp_price", "sl_price", "_e.*")
     # an exit at the close of a bar sorts before an entry at the next open
     led = led.withColumn("seq", F.when(F.col("event") == "EXIT", 0).otherwise(1))
-    placed = _rank(led, ["symbol"], "at", ["at", "seq"])
+    placed = rank_by_time(led, ["symbol"], ["at", "seq"])
     run = BlockFrame(placed, ["symbol"], pos="_i").scan({"cash": ("sum", F.coalesce("net_trade_pnl", F.lit(0.0)), True)})
     return run.drop("_i")
 
@@ -228,7 +228,7 @@ def ledger_from_trades(trades: DataFrame, *, qty: float = 1.0, fee_bps: float =
 def ledger_audit(ledger: DataFrame, bars: DataFrame, *, fee_bps: float = 5.0, tol: float = 1e-6) -> DataFrame:
     """Recompute fees, pairing, profit, cash and level touches of a ledger."""
     fee, keys = fee_bps / 10_000, ["symbol"]
-    placed = _rank(ledger, keys, "at", ["at", "seq"])
+    placed = rank_by_time(ledger, keys, ["at", "seq"])
     run = BlockFrame(placed, keys, pos="_i").scan(
         {
             "_opened": ("sum", (F.col("event") == "ENTRY").cast("long"), True),

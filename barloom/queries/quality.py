@@ -226,9 +226,9 @@ def _(spark, d):
 
 cte(
     "ledger",
-    """SELECT symbol, at, event, side, price, 1.0::DOUBLE AS qty, price * 0.0005::DOUBLE AS fee, net_trade_pnl, reason,
-       sum(coalesce(net_trade_pnl, 0)) OVER (PARTITION BY symbol ORDER BY at, seq) AS cash FROM (
-       SELECT symbol, entry_at AS at, 'ENTRY' AS event, side, entry_fill AS price, NULL::DOUBLE AS net_trade_pnl, NULL::VARCHAR AS reason, 1 AS seq FROM trades
+    """SELECT symbol, "at", event, side, price, 1.0::DOUBLE AS qty, price * 0.0005::DOUBLE AS fee, net_trade_pnl, reason,
+       sum(coalesce(net_trade_pnl, 0)) OVER (PARTITION BY symbol ORDER BY "at", seq) AS cash FROM (
+       SELECT symbol, entry_at AS "at", 'ENTRY' AS event, side, entry_fill AS price, NULL::DOUBLE AS net_trade_pnl, NULL::VARCHAR AS reason, 1 AS seq FROM trades
        UNION ALL SELECT symbol, label_available_at, 'EXIT', side, exit_fill,
          CASE WHEN side = 'LONG' THEN 1 ELSE -1 END * (exit_fill - entry_fill) - 0.0005::DOUBLE * (exit_fill + entry_fill), reason, 0 FROM trades)""",
 )

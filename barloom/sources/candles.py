@@ -81,7 +81,8 @@ def read_bars(spark: SparkSession, path: str, columns: Sequence[str] | None = No
 def month_grid(df: DataFrame, start: str, end: str, key: str = "symbol") -> DataFrame:
     """Every (key, month) pair between two months, inclusive."""
     months = F.expr(f"sequence(date'{start}-01', date'{end}-01', interval 1 month)")
-    return df.select(key).distinct().select(key, F.date_format(F.explode(months), "yyyy-MM").alias("month"))
+    grid = df.select(key).distinct().select(key, F.explode(months).alias("month"))
+    return grid.withColumn("month", F.date_format("month", "yyyy-MM"))
 
 
 def absent_months(df: DataFrame, start: str, end: str, key: str = "symbol") -> DataFrame:
@@ -130,7 +131,7 @@ def inventory_months(files: DataFrame, *, path: str = "path", size: str = "lengt
         F.sum("bytes").alias("bytes"),
     )
     whole = F.expr("sequence(to_date(concat(first, '-01')), to_date(concat(last, '-01')), interval 1 month)")
-    grid = out.select("symbol", F.date_format(F.explode(whole), "yyyy-MM").alias("month"))
+    grid = out.select("symbol", F.explode(whole).alias("month")).withColumn("month", F.date_format("month", "yyyy-MM"))
     missing = (
         grid.join(per.select("symbol", "month"), ["symbol", "month"], "left_anti")
         .groupBy("symbol").agg(F.count(F.lit(1)).alias("missing_months"))
