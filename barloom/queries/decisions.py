@@ -238,7 +238,7 @@ cte(
     "classification_report",
     """SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0) AS f1 FROM (
        SELECT split, label, support, predicted, 0::BIGINT AS invalid, coalesce(tp / nullif(predicted, 0)::DOUBLE, 0) AS precision, coalesce(tp / nullif(support, 0)::DOUBLE, 0) AS recall, acc::DOUBLE / n AS accuracy FROM (
-       SELECT split, label, CAST(sum(n) FILTER (target = label) AS BIGINT) AS support, CAST(coalesce(sum(n) FILTER (pred = label), 0) AS BIGINT) AS predicted,
+       SELECT split, label, CAST(coalesce(sum(n) FILTER (target = label), 0) AS BIGINT) AS support, CAST(coalesce(sum(n) FILTER (pred = label), 0) AS BIGINT) AS predicted,
          coalesce(sum(n) FILTER (pred = label AND target = label), 0) AS tp, sum(n) FILTER (pred = target) AS acc, sum(n) AS n
        FROM cells, (SELECT unnest(['NO_TRADE', 'LONG_BIAS', 'SHORT_BIAS']) AS label) GROUP BY split, label))""",
     "precision recall f1 accuracy",

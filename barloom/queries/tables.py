@@ -401,8 +401,8 @@ cte(
 )
 cte(
     "nxt",
-    """SELECT a.symbol, a.split, a.rn, b.rn AS next_rn FROM seq a ASOF LEFT JOIN seq b
-       ON a.symbol = b.symbol AND a.split = b.split AND a.exit_i < b.pos""",
+    """SELECT a.symbol, a.split, a.rn, min(b.rn) AS next_rn FROM seq a LEFT JOIN seq b
+       ON a.symbol = b.symbol AND a.split = b.split AND b.pos > a.exit_i GROUP BY ALL""",
 )
 cte(
     "walk",
