@@ -108,6 +108,9 @@ def equity_path(trades: DataFrame, *, keys: Sequence[str], r: str, order: Sequen
     """
     keys = list(keys)
     placed = rank_by_time(trades, keys, list(order)).withColumn("_g", F.log1p(F.col(r) * alloc))
+    # a trade that would wipe out the account has no logarithm
+    ruin = F.raise_error(F.lit("equity falls to zero or below; lower alloc")).cast("double")
+    placed = placed.withColumn("_g", F.when(F.col(r) * alloc <= -1, ruin).otherwise(F.col("_g")))
     run = BlockFrame(placed, keys, pos="_i", size=size).scan({"_sum": ("sum", F.col("_g"), True)})
     run = BlockFrame(run, keys, pos="_i", size=size).scan({"_top": ("max", F.col("_sum"), True)})
     peak = F.greatest(F.col("_top"), F.lit(0.0))
@@ -117,6 +120,7 @@ def equity_path(trades: DataFrame, *, keys: Sequence[str], r: str, order: Sequen
             "equity_before": F.exp(F.col("_sum") - F.col("_g")) * initial,
             "drawdown": F.exp(F.col("_sum") - peak) - 1,
             "trade_no": F.col("_i") + 1,
+            "log_equity_return": F.col("_g"),
         }
     ).drop("_i", "_g", "_sum", "_top")
 
@@ -152,23 +156,23 @@ def cost_grid(trades: DataFrame, costs: Sequence[float], *, fee_weight: float =
     return out.withColumn("net_at_cost", sign * (got - paid) / paid - fee * (1 + got / paid))
 
 
-def cost_totals(trades: DataFrame, costs: Sequence[float], by: Sequence[str]) -> DataFrame:
+def cost_totals(trades: DataFrame, costs: Sequence[float], by: Sequence[str], *, alloc: float = 1.0) -> DataFrame:
     grid = cost_grid(trades, costs)
     return grid.groupBy(*by, "cost_bps").agg(
         F.count(F.lit(1)).alias("trades"),
-        (F.expm1(F.sum(F.log1p("net_at_cost"))) * 100).alias("return_pct"),
+        (F.expm1(F.sum(F.log1p(F.col("net_at_cost") * alloc))) * 100).alias("return_pct"),
         (F.avg("net_at_cost") * 100).alias("mean_net_pct"),
     )
 
 
-def break_even_cost(trades: DataFrame, by: Sequence[str], *, hi: float = 50.0, points: int = 201) -> DataFrame:
+def break_even_cost(trades: DataFrame, by: Sequence[str], *, hi: float = 50.0, points: int = 201, alloc: float = 1.0) -> DataFrame:
     """Cost per side at which the compounded return is zero, by interpolation.
 
     The trade sequence does not depend on the cost, so one pass over a cost
     grid brackets the root.  Null when the return never crosses zero.
     """
     costs = [hi * i / (points - 1) for i in range(points)]
-    totals = cost_totals(trades, costs, by).select(*by, "cost_bps", F.log1p(F.col("return_pct") / 100).alias("g"))
+    totals = cost_totals(trades, costs, by, alloc=alloc).select(*by, "cost_bps", F.log1p(F.col("return_pct") / 100).alias("g"))
     up = F.max(F.when(F.col("g") >= 0, F.struct("cost_bps", "g"))).alias("a")
     down = F.min(F.when(F.col("g") < 0, F.struct("cost_bps", "g"))).alias("b")
     ends = totals.groupBy(*by).agg(up, down)

@@ -11,6 +11,7 @@ from ..plans.blocks import BlockFrame, epoch_us, floor_time, shift_time, with_po
 from ..plans.quantiles import melt, quantiles
 from ..plans.ranks import rank_by_time
 from .bars import HOUR, calendar
+from .stats import corr
 
 
 def count_where(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
@@ -181,7 +182,7 @@ def similar_pairs(df: DataFrame, cols: Sequence[str], *, threshold: float = 0.99
     aggs = [
         F.struct(
             F.lit(a).alias("a"), F.lit(b).alias("b"),
-            F.count(F.col(a) + F.col(b)).alias("shared_rows"), F.corr(a, b).alias("pearson"),
+            F.count(F.col(a) + F.col(b)).alias("shared_rows"), corr(F.col(a), F.col(b)).alias("pearson"),
         ).alias(f"p{i}")
         for i, (a, b) in enumerate(pairs)
     ]
@@ -190,13 +191,13 @@ def similar_pairs(df: DataFrame, cols: Sequence[str], *, threshold: float = 0.99
     return out.filter((F.col("shared_rows") >= least) & (F.abs("pearson") >= threshold))
 
 
-def chain_audit(path: DataFrame, *, keys: Sequence[str], order: Sequence[str], r: str = "net_return", tol: float = 1e-9) -> DataFrame:
+def chain_audit(path: DataFrame, *, keys: Sequence[str], order: Sequence[str], r: str = "net_return", alloc: float = 1.0, tol: float = 1e-9) -> DataFrame:
     """equity_after follows from before; each before equals the after before it."""
     placed = rank_by_time(path, keys, list(order))
     bf = BlockFrame(placed, keys, pos="_i", before=1)
     bf.with_columns({"_prev": bf.lag("equity_after")})
     rows = bf.own()
-    own = F.abs(F.col("equity_after") - F.col("equity_before") * (1 + F.col(r))) > tol * F.col("equity_after")
+    own = F.abs(F.col("equity_after") - F.col("equity_before") * (1 + alloc * F.col(r))) > tol * F.col("equity_after")
     link = F.abs(F.col("equity_before") - F.col("_prev")) > tol * F.col("_prev")
     return count_where(rows, {"own_step": own, "broken_chain": link, "not_positive": F.col("equity_after") <= 0})
 

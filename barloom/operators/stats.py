@@ -36,6 +36,15 @@ def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:
     return F.when(b != 0, a * scale / b)
 
 
+def corr(a: Column, b: Column, over=None) -> Column:
+    """Pearson over rows where both are known; null if either is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    parts = [F.covar_pop(x, y), F.var_pop(x), F.var_pop(y)]
+    cov, vx, vy = parts if over is None else [p.over(over) for p in parts]
+    return F.when((vx > 0) & (vy > 0), cov / F.nullif(F.sqrt(vx * vy), F.lit(0.0)))
+
+
 def add_regimes(df: DataFrame) -> DataFrame:
     t = F.col("trend_alignment")
     cols = {"trend_regime": F.when(t >= 2, "BULLISH_ALIGNMENT").when(t <= -2, "BEARISH_ALIGNMENT").otherwise("MIXED")}
@@ -211,7 +220,7 @@ def outcome_rates(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def trade_groups(trades: DataFrame, by: Sequence[str]) -> DataFrame:
     """Trades, win rate, means, median, log sum and compounded return per group."""
-    net, g = F.col("net_return") * 100, F.log1p("net_return")
+    net, g = F.col("net_return") * 100, F.col("log_equity_return")
     base = trades.groupBy(*by).agg(
         F.count(F.lit(1)).alias("trades"), (F.avg((net > 0).cast("double")) * 100).alias("win_rate_net_pct"),
         (F.avg("gross_return") * 100).alias("mean_gross_pct"), F.avg(net).alias("mean_net_pct"),
@@ -229,7 +238,7 @@ def _top(df: DataFrame, by: Sequence[str], score: Column, tie: Sequence[str], k:
 
 def concentration(trades: DataFrame, by: Sequence[str], ks: Sequence[int] = (1, 5, 10, 20)) -> DataFrame:
     """Share of the log return carried by the best and worst k trades."""
-    rows = trades.withColumn("_g", F.log1p("net_return"))
+    rows = trades.withColumn("_g", F.col("log_equity_return"))
     total = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("trades"), (F.sum("_g") * 100).alias("sum_log_pct"),
         n_where(F.col("_g") > 0).alias("positive_trades"), n_where(F.col("_g") < 0).alias("negative_trades"),
@@ -336,7 +345,7 @@ def spearman(df: DataFrame, cols: Sequence[str], target: str, by: Sequence[str])
     ry = average_rank(long.groupBy(*keys, "_y").agg(F.count(F.lit(1)).alias("_n")), keys, "_y", "_ry")
     ranked = long.join(rx, [*keys, "x"]).join(ry, [*keys, "_y"])
     return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr("x", "_y").alias("pearson"), F.corr("_rx", "_ry").alias("spearman")
+        F.count(F.lit(1)).alias("n"), corr(F.col("x"), F.col("_y")).alias("pearson"), corr(F.col("_rx"), F.col("_ry")).alias("spearman")
     )
 
 
@@ -359,7 +368,7 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str]) -> D
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), (F.avg(F.abs(e)) * 100).alias("mae_pct"), (F.sqrt(F.avg(e * e)) * 100).alias("rmse_pct"),
         (F.avg(e) * 100).alias("bias_pct"),
-        F.when((F.stddev_pop(y) > 0) & (F.stddev_pop(yhat) > 1e-12), F.corr(y, yhat)).alias("pearson"),
+        F.when((F.stddev_pop(y) > 0) & (F.stddev_pop(yhat) > 1e-12), corr(F.col(y), F.col(yhat))).alias("pearson"),
         (F.avg(y) * 100).alias("observed_mean_pct"), (F.avg(yhat) * 100).alias("predicted_mean_pct"),
     )
 
@@ -471,7 +480,7 @@ def pair_returns(bars: DataFrame, *, key: str = "symbol") -> DataFrame:
 
 def yearly_pair_correlation(bars: DataFrame, *, least: int = 100) -> DataFrame:
     per = pair_returns(bars).groupBy(F.year("timestamp").alias("year"), "a", "b").agg(
-        F.count(F.lit(1)).alias("common_hours"), F.corr("ra", "rb").alias("_c")
+        F.count(F.lit(1)).alias("common_hours"), corr(F.col("ra"), F.col("rb")).alias("_c")
     )
     return per.select("year", "a", "b", "common_hours", F.when(F.col("common_hours") >= least, F.col("_c")).alias("correlation"))
 
@@ -493,7 +502,7 @@ def rolling_pair_correlation(bars: DataFrame, *, window: int, coverage: float =
     placed = grid.withColumn("_one", F.lit(1)).join(start, "_one").withColumn("_h", hours.cast("long")).drop("_one", "_t0")
     bf = BlockFrame(placed, ["a", "b"], pos="_h", before=window - 1, size=max(1024, 4 * window))
     w = bf.frame(-(window - 1), 0)
-    bf.with_columns({"_n": F.count("ra").over(w), "_c": F.corr("ra", "rb").over(w)})
+    bf.with_columns({"_n": F.count("ra").over(w), "_c": corr(F.col("ra"), F.col("rb"), w)})
     rows = bf.own().filter((F.col("_n") >= least) & (F.col("_h") >= window - 1) & F.col("_c").isNotNull())
     q = quantiles(rows, ["a", "b"], "_c", {"p10": 0.1, "median": 0.5, "p90": 0.9})
     return q.select("a", "b", F.lit(window).alias("window_hours"), F.col("n").alias("windows"), "p10", "median", "p90")

@@ -9,7 +9,7 @@ from ..operators import quality as Q
 from ..operators.bars import resample_ohlcv, ticks_to_bars
 from ..plans.blocks import BlockFrame
 from .registry import cte, query
-from .tables import HOUR, bars_1h, candidates, features, labeled, splits, table, ticks, trades, valid_candidates
+from .tables import ALLOC, HOUR, bars_1h, candidates, features, labeled, splits, table, ticks, trades, valid_candidates
 
 
 @query(
@@ -221,7 +221,7 @@ def _(spark, d):
     """SELECT unnest(['own_step', 'broken_chain', 'not_positive']) AS "check", 0::BIGINT AS violations""",
 )
 def _(spark, d):
-    return Q.chain_audit(trades(spark, d), keys=["symbol", "split"], order=["timestamp"])
+    return Q.chain_audit(trades(spark, d), keys=["symbol", "split"], order=["timestamp"], alloc=ALLOC)
 
 
 cte(

@@ -464,7 +464,7 @@ def _(spark, d):
 
 
 _TG = """count(*) AS trades, avg((net_return > 0)::INT) * 100 AS win_rate_net_pct, avg(gross_return) * 100 AS mean_gross_pct, avg(net_return) * 100 AS mean_net_pct,
-    sum(ln(1 + net_return)) * 100 AS sum_log_return_pct, (exp(sum(ln(1 + net_return))) - 1) * 100 AS compounded_pct, avg(net_r) AS mean_r, quantile_cont(net_return * 100, 0.5::DOUBLE) AS median_net_pct"""
+    sum(log_equity_return) * 100 AS sum_log_return_pct, (exp(sum(log_equity_return)) - 1) * 100 AS compounded_pct, avg(net_r) AS mean_r, quantile_cont(net_return * 100, 0.5::DOUBLE) AS median_net_pct"""
 _TGD = "win_rate_net_pct mean_gross_pct mean_net_pct sum_log_return_pct compounded_pct mean_r median_net_pct"
 
 
@@ -484,7 +484,7 @@ def _(spark, d):
 def _(spark, d):
     t = T.add_regimes(trades(spark, d))
     dims = F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(n).alias("regime")) for n in ("atr_regime", "rsi_regime", "trend_regime")])
-    long = t.withColumn("_d", F.explode(dims)).select("side", "net_return", "gross_return", "net_r", "_d.*")
+    long = t.withColumn("_d", F.explode(dims)).select("side", "net_return", "gross_return", "net_r", "log_equity_return", "_d.*")
     return T.trade_groups(long, ["side", "dimension", "regime"])
 
 
@@ -497,7 +497,7 @@ def _kth(name: str, cond: str, order: str) -> str:
     f"""SELECT symbol, count(*) AS trades, sum(g) * 100 AS sum_log_pct, count(*) FILTER (g > 0) AS positive_trades, count(*) FILTER (g < 0) AS negative_trades,
         {_kth('best', 'g > 0', 'DESC')}, {_kth('worst', 'g < 0', 'ASC')} FROM (
         SELECT symbol, g, row_number() OVER (PARTITION BY symbol ORDER BY g DESC, timestamp) AS best_rn, row_number() OVER (PARTITION BY symbol ORDER BY g, timestamp) AS worst_rn
-        FROM (SELECT *, ln(1 + net_return) AS g FROM trades)) GROUP BY symbol""",
+        FROM (SELECT *, log_equity_return AS g FROM trades)) GROUP BY symbol""",
     "sum_log_pct " + " ".join(f"{n}_{k}_sum_log_pct" for n in ("best", "worst") for k in (1, 5, 10, 20)),
 )
 def _(spark, d):
@@ -507,12 +507,12 @@ def _(spark, d):
 @query(
     "worst_weeks",
     """SELECT symbol, week, s AS sum_log_return_pct FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY s, week) AS rn FROM (
-       SELECT symbol, strftime(date_trunc('week', label_available_at), '%Y-%m-%d') AS week, sum(ln(1 + net_return)) * 100 AS s FROM trades GROUP BY 1, 2)) WHERE rn <= 3""",
+       SELECT symbol, strftime(date_trunc('week', label_available_at), '%Y-%m-%d') AS week, sum(log_equity_return) * 100 AS s FROM trades GROUP BY 1, 2)) WHERE rn <= 3""",
     "sum_log_return_pct",
 )
 def _(spark, d):
     week = F.date_format(F.date_trunc("week", "label_available_at"), "yyyy-MM-dd")
-    per = trades(spark, d).groupBy("symbol", week.alias("week")).agg((F.sum(F.log1p("net_return")) * 100).alias("sum_log_return_pct"))
+    per = trades(spark, d).groupBy("symbol", week.alias("week")).agg((F.sum("log_equity_return") * 100).alias("sum_log_return_pct"))
     return T._top(per, ["symbol"], F.asc("sum_log_return_pct"), ["week"], 3).drop("_k")
 
 

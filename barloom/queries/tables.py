@@ -14,6 +14,8 @@ from ..session import stage
 from .registry import cte
 
 HOUR = B.HOUR
+# hourly tick bars jump by multiples of the price; a full allocation could be ruined by one short
+ALLOC = 0.1
 # readiness of the registered experiments: a month of data has too few days for daily RSI and ATR
 READY = [c for c in L.REQUIRED_FEATURES if c not in ("1d_rsi14", "1d_atr14_pct")]
 
@@ -390,7 +392,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         keys = ["symbol", "split"]
         marked = select_non_overlapping(rows, keys=keys, start="pos", end="exit_i", order=["timestamp", "event_id"])
         taken = marked.filter("portfolio_status = 'TAKEN'").drop("portfolio_status")
-        return equity_path(taken, keys=keys, r="net_return", order=["timestamp"])
+        return equity_path(taken, keys=keys, r="net_return", order=["timestamp"], alloc=ALLOC)
 
     return stage(spark, sf_dir, "trades", build)
 
@@ -411,8 +413,8 @@ cte(
 )
 cte(
     "trades",
-    """SELECT *, equity_after / (1 + net_return) AS equity_before,
+    """SELECT *, ln(1 + 0.1::DOUBLE * net_return) AS log_equity_return, equity_after / (1 + 0.1::DOUBLE * net_return) AS equity_before,
        equity_after / greatest(1, max(equity_after) OVER w) - 1 AS drawdown, row_number() OVER w AS trade_no FROM (
-       SELECT s.*, exp(sum(ln(1 + net_return)) OVER (PARTITION BY symbol, split ORDER BY rn)) AS equity_after
+       SELECT s.*, exp(sum(ln(1 + 0.1::DOUBLE * net_return)) OVER (PARTITION BY symbol, split ORDER BY rn)) AS equity_after
        FROM seq s JOIN walk USING (symbol, split, rn)) WINDOW w AS (PARTITION BY symbol, split ORDER BY rn)""",
 )

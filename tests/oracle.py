@@ -29,7 +29,7 @@ def _plain(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return None if math.isnan(v) else float(v)
+        return "NaN" if math.isnan(v) else float(v)
     if hasattr(v, "asDict"):
         return _plain(v.asDict())
     if isinstance(v, dict):
