@@ -506,3 +506,33 @@ def rolling_pair_correlation(bars: DataFrame, *, window: int, coverage: float =
     rows = bf.own().filter((F.col("_n") >= least) & (F.col("_h") >= window - 1) & F.col("_c").isNotNull())
     q = quantiles(rows, ["a", "b"], "_c", {"p10": 0.1, "median": 0.5, "p90": 0.9})
     return q.select("a", "b", F.lit(window).alias("window_hours"), F.col("n").alias("windows"), "p10", "median", "p90")
+
+
+def robust_scaled(rows: DataFrame, ref: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Columns as (x - median) / IQR of the reference rows, named x0 .. xn."""
+    q = quantiles(melt(ref, by, cols), [*by, "feature"], "x", {"a": 0.25, "m": 0.5, "b": 0.75})
+    scale = F.struct("m", F.when(F.col("b") > F.col("a"), F.col("b") - F.col("a")).otherwise(1.0).alias("s"))
+    wide = q.groupBy(*by).pivot("feature", list(cols)).agg(F.first(scale))
+    wide = wide.select(*by, *[F.col(c).alias(f"_q{i}") for i, c in enumerate(cols)])
+    return rows.join(wide, list(by)).withColumns(
+        {f"x{i}": (F.col(c) - F.col(f"_q{i}.m")) / F.col(f"_q{i}.s") for i, c in enumerate(cols)}
+    )
+
+
+def neighbour_coverage(rows: DataFrame, cols: Sequence[str], *, ref: str, cur: str, by: Sequence[str] = ("side",), id: str = "event_id", cell_rows: int = 2048) -> DataFrame:
+    """Nearest reference row of every row; share of current rows beyond the reference p95."""
+    from ..plans.neighbours import nearest
+
+    by = list(by)
+    names = [f"x{i}" for i in range(len(cols))]
+    scaled = robust_scaled(rows, rows.filter(F.col("split") == ref), cols, by).select(*by, "split", id, *names)
+    points = scaled.filter(F.col("split") == ref).drop("split")
+    dist = nearest(scaled.drop("split"), points, names, by=by, id=id, cell_rows=cell_rows)
+    dist = dist.join(scaled.select(*by, id, "split"), [*by, id])
+    a, b = dist.filter(F.col("split") == ref), dist.filter(F.col("split") == cur)
+    qa = quantiles(a, by, "distance", {"train_loo_nn_median": 0.5, "train_loo_nn_p95": 0.95}).withColumnRenamed("n", "train_n")
+    qb = quantiles(b, by, "distance", {"val_nn_median": 0.5, "val_nn_p95": 0.95}).withColumnRenamed("n", "validation_n")
+    beyond = b.join(qa.select(*by, "train_loo_nn_p95"), by).groupBy(*by).agg(
+        (F.avg((F.col("distance") > F.col("train_loo_nn_p95")).cast("double")) * 100).alias("val_beyond_train_p95_pct")
+    )
+    return qa.join(qb, by).join(beyond, by)

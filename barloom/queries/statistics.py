@@ -580,3 +580,30 @@ def _(spark, d):
     """Net move over path length of the last 24 bars."""
     made = I.directional_efficiency(bars_1h(spark, d).drop("pos"), n=24)
     return made.filter("efficiency is not null").select("symbol", "timestamp", "efficiency")
+
+
+NN = ["atr14_pct", "rsi14", "4h_rsi14", "4h_atr14_pct", "distance_ema200_pct", "ema50_200_spread_pct", "volume_ratio", "trend_alignment"]
+cte(
+    "nn_scale",
+    "SELECT side, " + ", ".join(
+        f"quantile_cont(\"{c}\"::DOUBLE, 0.5::DOUBLE) AS m{i}, coalesce(nullif(quantile_cont(\"{c}\"::DOUBLE, 0.75::DOUBLE) - quantile_cont(\"{c}\"::DOUBLE, 0.25::DOUBLE), 0), 1) AS s{i}" for i, c in enumerate(NN)
+    ) + " FROM valid_cand WHERE split = 'train' GROUP BY side",
+)
+cte("nn_rows", "SELECT event_id, split, side, " + ", ".join(f"(\"{c}\" - m{i}) / s{i} AS x{i}" for i, c in enumerate(NN)) + " FROM valid_cand JOIN nn_scale USING (side) WHERE split IN ('train', 'validation')")
+cte(
+    "nn_dist",
+    "SELECT a.event_id, a.split, a.side, min(sqrt(" + " + ".join(f"(a.x{i} - b.x{i}) ^ 2" for i in range(len(NN))) + ")) AS d FROM nn_rows a JOIN nn_rows b ON a.side = b.side AND b.split = 'train' AND a.event_id <> b.event_id GROUP BY ALL",
+)
+
+
+@query(
+    "nearest_neighbour_coverage",
+    """SELECT t.side, t.n AS train_n, v.n AS validation_n, t.med AS train_loo_nn_median, t.p95 AS train_loo_nn_p95, v.med AS val_nn_median, v.p95 AS val_nn_p95, b.pct AS val_beyond_train_p95_pct FROM
+       (SELECT side, count(*) AS n, quantile_cont(d, 0.5::DOUBLE) AS med, quantile_cont(d, 0.95::DOUBLE) AS p95 FROM nn_dist WHERE split = 'train' GROUP BY side) t
+       JOIN (SELECT side, count(*) AS n, quantile_cont(d, 0.5::DOUBLE) AS med, quantile_cont(d, 0.95::DOUBLE) AS p95 FROM nn_dist WHERE split = 'validation' GROUP BY side) v USING (side)
+       JOIN (SELECT x.side, avg((x.d > q.p)::INT) * 100 AS pct FROM nn_dist x JOIN (SELECT side, quantile_cont(d, 0.95::DOUBLE) AS p FROM nn_dist WHERE split = 'train' GROUP BY side) q USING (side) WHERE x.split = 'validation' GROUP BY x.side) b USING (side)""",
+    "train_loo_nn_median train_loo_nn_p95 val_nn_median val_nn_p95 val_beyond_train_p95_pct",
+)
+def _(spark, d):
+    """Distance of each row to its nearest train row in robust-scaled space."""
+    return T.neighbour_coverage(valid_candidates(spark, d).filter("split in ('train', 'validation')"), NN, ref="train", cur="validation")

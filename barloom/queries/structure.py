@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import observations as O
 from ..operators import structure as S
 from ..plans.blocks import with_position
 from ..plans.quantiles import melt, quantiles
@@ -512,3 +513,62 @@ def _(spark, d):
     cols = ["distance_pct", "age_since_confirmation_h", "age_since_formation_h", "confirmation_delay_h"]
     long = melt(refs, ["method", "timeframe", "side"], cols)
     return quantiles(long, ["method", "timeframe", "side", "feature"], "x", _QS)
+
+
+def observation_parts(spark, d):
+    """The four snapshot tables of one grid."""
+    from .features import indicator_rows
+
+    bars = bars_1h(spark, d).drop("pos")
+    make = {
+        "swing_snapshots": lambda: S.swing_snapshots(bars, FRAMES),
+        "break_snapshots": lambda: S.break_snapshots(bars, FRAMES),
+        "zigzag_snapshots": lambda: S.zigzag_snapshots(bars, FRAMES),
+    }
+    return [indicator_rows(spark, d), *[stage(spark, d, n, f) for n, f in make.items()]]
+
+
+cte("swing_snap", _snapshot_sql("swings", _SWING, _swing_mask))
+cte("break_snap", _snapshot_sql("breaks", S.BREAK_FIELDS, _break_mask))
+cte("zig_snap", _snapshot_sql("zigs", S.ZIGZAG_ATR_FIELDS, _zig_mask, extra=""))
+
+
+def observations(spark, d):
+    def build():
+        merged = O.merge_snapshots(observation_parts(spark, d), ["symbol", "decision_at", "bar_open_1h"])
+        return O.normalise(merged, FRAMES)
+
+    return stage(spark, d, "observations", build)
+
+
+def _code_sql(c: str, col: str) -> str:
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in O.CATEGORIES[c].items()) + " END"
+
+
+def _norm_sql() -> str:
+    out = ["i.symbol", "i.decision_at"]
+    for tf in FRAMES:
+        m = f"i.known_at_{tf} IS NOT NULL"
+        out.append(f"({m})::INT AS context_available_{tf}")
+        for c in [*O.CONTINUOUS, *O.LEVELS, *O.FLAGS, *O.NUMBERS, *O.CATEGORIES]:
+            x, target = f'"{c}_{tf}"', f"{c}_{tf}"
+            if c in O.LEVELS:
+                x, target = f"{x} / i.close_{tf} - 1", f"{c}_distance_to_close_{tf}"
+            elif c in O.CATEGORIES:
+                x, target = _code_sql(c, x), f"{target}_code"
+            elif c in O.FLAGS:
+                x = f"{x}::INT"
+            x = f"CASE WHEN {m} THEN round(CAST({x} AS FLOAT)::DOUBLE, 4) END"
+            out.append(f"{x} AS {target}")
+            if c in O.MASKED:
+                out.append(f"({x} IS NOT NULL)::INT AS {target}_available")
+    return f"""SELECT {", ".join(out)} FROM ind_snap i JOIN swing_snap s USING (symbol, decision_at) JOIN break_snap b USING (symbol, decision_at) JOIN zig_snap z USING (symbol, decision_at)"""
+
+
+@query("normalised_observations", _norm_sql())
+def _(spark, d):
+    """Four snapshots merged 1:1, coded, scaled and masked (floats to 4 decimals)."""
+    made = observations(spark, d)
+    names, digest = O.feature_schema(made)
+    out = O.project(made, names, digest)
+    return out.withColumns({n: F.round(F.col(n).cast("double"), 4) for n, t in out.dtypes if t == "float"})

@@ -189,7 +189,7 @@ _variants = [
 
 
 def _raw_sql() -> str:
-    s, t = "CAST(CAST(close - atr14 AS DECIMAL(18, 2)) AS VARCHAR)", "CAST(CAST(close + 2 * atr14 AS DECIMAL(18, 2)) AS VARCHAR)"
+    s, t = "CAST(CAST(greatest(close - 0.2 * atr14, 1.0) AS DECIMAL(18, 2)) AS STRING)", "CAST(CAST(close + 2 * atr14 AS DECIMAL(18, 2)) AS STRING)"
     return "CASE v " + " ".join(f"WHEN {i} THEN {make(s, t)}" for i, (_, make) in enumerate(_variants)) + " END"
 
 
@@ -228,7 +228,7 @@ cte(
        WHEN NOT (size > 0) THEN 'NO_EXECUTABLE_SIZE' ELSE 'ACCEPTED_PREVIEW_RECHECK_AT_FILL' END AS code, size FROM (
        SELECT *, floor(least(50 / (close - sl + close * 0.0014::DOUBLE), 10000 / close, close * volume * 0.01::DOUBLE / close) / 0.000001::DOUBLE * (1 - 1e-12::DOUBLE)) * 0.000001::DOUBLE AS size FROM (
        SELECT event_id, symbol, timestamp, close, volume, pos % 20 AS spread, (pos % 7) * 60 AS age, CASE v WHEN 0 THEN 'OPEN_LONG' WHEN 1 THEN 'WAIT' ELSE 'OPEN_SHORT' END AS action,
-        CAST(close - atr14 AS DECIMAL(18, 2))::DOUBLE AS sl, CAST(close + 2 * atr14 AS DECIMAL(18, 2))::DOUBLE AS tp FROM acts WHERE v IN (0, 1, 11)))""",
+        CAST(greatest(close - 0.2::DOUBLE * atr14, 1.0::DOUBLE) AS DECIMAL(18, 2))::DOUBLE AS sl, CAST(close + 2 * atr14 AS DECIMAL(18, 2))::DOUBLE AS tp FROM acts WHERE v IN (0, 1, 11)))""",
 )
 
 
