@@ -106,23 +106,23 @@ def equity_path(trades: DataFrame, *, keys: Sequence[str], r: str, order: Sequen
     Growth is a running sum of logs, the peak a running maximum (starting at
     the initial equity); both scans run in blocks.
     """
-    keys = list(keys)
-    placed = rank_by_time(trades, keys, list(order)).withColumn("_g", F.log1p(F.col(r) * alloc))
-    # a trade that would wipe out the account has no logarithm
+    keys, order = list(keys), list(order)
+    # only the columns the scans need travel through them
+    placed = rank_by_time(trades.select(*keys, *order, r), keys, order)
     ruin = F.raise_error(F.lit("equity falls to zero or below; lower alloc")).cast("double")
-    placed = placed.withColumn("_g", F.when(F.col(r) * alloc <= -1, ruin).otherwise(F.col("_g")))
+    placed = placed.withColumn("_g", F.when(F.col(r) * alloc <= -1, ruin).otherwise(F.log1p(F.col(r) * alloc)))
     run = BlockFrame(placed, keys, pos="_i", size=size).scan({"_sum": ("sum", F.col("_g"), True)})
     run = BlockFrame(run, keys, pos="_i", size=size).scan({"_top": ("max", F.col("_sum"), True)})
     peak = F.greatest(F.col("_top"), F.lit(0.0))
-    return run.withColumns(
-        {
-            "equity_after": F.exp("_sum") * initial,
-            "equity_before": F.exp(F.col("_sum") - F.col("_g")) * initial,
-            "drawdown": F.exp(F.col("_sum") - peak) - 1,
-            "trade_no": F.col("_i") + 1,
-            "log_equity_return": F.col("_g"),
-        }
-    ).drop("_i", "_g", "_sum", "_top")
+    path = run.select(
+        *keys, *order,
+        (F.exp("_sum") * initial).alias("equity_after"),
+        (F.exp(F.col("_sum") - F.col("_g")) * initial).alias("equity_before"),
+        (F.exp(F.col("_sum") - peak) - 1).alias("drawdown"),
+        (F.col("_i") + 1).alias("trade_no"),
+        F.col("_g").alias("log_equity_return"),
+    )
+    return trades.join(path, [*keys, *order])
 
 
 def trade_summary(path: DataFrame, by: Sequence[str], *, initial: float = 1.0) -> DataFrame:

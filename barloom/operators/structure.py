@@ -206,13 +206,47 @@ def _label(kind: str, price: float, before: float | None) -> str:
     return above if price > before else below if price < before else equal
 
 
+def zigzag_pct_step(pdf: pd.DataFrame, state: dict | None, f: float, at: str) -> tuple[pd.DataFrame, dict]:
+    """One pass of the percentage zigzag over bars sorted by time.
+
+    The running extreme takes in the current bar before the reversal is
+    tested, and must be older than the bar.
+    """
+    st = dict(state) if state else {"mode": None, "high": None, "low": None}
+    events = []
+    stamps = pdf[at].astype("datetime64[us]").astype("int64").tolist()
+    for t, h, l, c in zip(stamps, pdf["high"].tolist(), pdf["low"].tolist(), pdf["close"].tolist()):
+        mode = st["mode"]
+        if mode is None:
+            st |= {"mode": "SEEK", "hi": h, "lo": l, "hi_at": t, "lo_at": t}
+            continue
+        if mode == "SEEK":
+            rose, fell = c >= st["lo"] * (1 + f), c <= st["hi"] * (1 - f)
+            if rose != fell:
+                st |= {"mode": "UP", "hi": h, "hi_at": t} if rose else {"mode": "DOWN", "lo": l, "lo_at": t}
+                continue
+        if mode in ("SEEK", "UP") and h > st["hi"]:
+            st |= {"hi": h, "hi_at": t}
+        if mode in ("SEEK", "DOWN") and l < st["lo"]:
+            st |= {"lo": l, "lo_at": t}
+        if mode == "UP" and c <= st["hi"] * (1 - f) and st["hi_at"] < t:
+            events.append((t, st["hi_at"], "HIGH", _label("HIGH", st["hi"], st["high"]), st["hi"]))
+            st |= {"high": st["hi"], "mode": "DOWN", "lo": l, "lo_at": t}
+        elif mode == "DOWN" and c >= st["lo"] * (1 + f) and st["lo_at"] < t:
+            events.append((t, st["lo_at"], "LOW", _label("LOW", st["lo"], st["low"]), st["lo"]))
+            st |= {"low": st["lo"], "mode": "UP", "hi": h, "hi_at": t}
+    out = pd.DataFrame(events, columns=["confirmation_at", "pivot_at", "kind", "label", "price"])
+    for c in ("confirmation_at", "pivot_at"):
+        out[c] = pd.to_datetime(out[c], unit="us")
+    return out, st
+
+
 def zigzag_pct(
     bars: DataFrame, *, series: Sequence[str], pct: float = 1.0, at: str = "timestamp", size: int = SCAN_BLOCK
 ) -> DataFrame:
     """Zigzag events by a fixed percentage reversal of the close.
 
-    ``at`` is the bar's end stamp.  The running extreme takes in the current
-    bar before the reversal is tested, and must be older than the bar.
+    ``at`` is the bar's end stamp; ``series`` the columns state never crosses.
     """
     if not 0 < pct < 100:
         raise ValueError("pct must be between 0 and 100")
@@ -221,35 +255,10 @@ def zigzag_pct(
     schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", " + ZIGZAG_PCT_SCHEMA
 
     def step(pdf: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
-        st = dict(state) if state else {"mode": None, "high": None, "low": None}
-        events = []
-        stamps = pdf[at].astype("datetime64[us]").astype("int64").tolist()
-        for t, h, l, c in zip(stamps, pdf["high"].tolist(), pdf["low"].tolist(), pdf["close"].tolist()):
-            mode = st["mode"]
-            if mode is None:
-                st |= {"mode": "SEEK", "hi": h, "lo": l, "hi_at": t, "lo_at": t}
-                continue
-            if mode == "SEEK":
-                rose, fell = c >= st["lo"] * (1 + f), c <= st["hi"] * (1 - f)
-                if rose != fell:
-                    st |= {"mode": "UP", "hi": h, "hi_at": t} if rose else {"mode": "DOWN", "lo": l, "lo_at": t}
-                    continue
-            if mode in ("SEEK", "UP") and h > st["hi"]:
-                st |= {"hi": h, "hi_at": t}
-            if mode in ("SEEK", "DOWN") and l < st["lo"]:
-                st |= {"lo": l, "lo_at": t}
-            if mode == "UP" and c <= st["hi"] * (1 - f) and st["hi_at"] < t:
-                events.append((t, st["hi_at"], "HIGH", _label("HIGH", st["hi"], st["high"]), st["hi"]))
-                st |= {"high": st["hi"], "mode": "DOWN", "lo": l, "lo_at": t}
-            elif mode == "DOWN" and c >= st["lo"] * (1 + f) and st["lo_at"] < t:
-                events.append((t, st["lo_at"], "LOW", _label("LOW", st["lo"], st["low"]), st["lo"]))
-                st |= {"low": st["lo"], "mode": "UP", "hi": h, "hi_at": t}
-        out = pd.DataFrame(events, columns=["confirmation_at", "pivot_at", "kind", "label", "price"])
-        for c in ("confirmation_at", "pivot_at"):
-            out[c] = pd.to_datetime(out[c], unit="us")
+        out, end = zigzag_pct_step(pdf, state, f, at)
         for i, c in enumerate(names):
             out.insert(i, c, pdf[c].iloc[0])
-        return out, st
+        return out, end
 
     cols = bars.select(*names, "pos", at, "high", "low", "close")
     return chunked_fold(cols, keys=names, pos="pos", step=step, schema=schema, size=size)

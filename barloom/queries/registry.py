@@ -15,7 +15,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 _CTES: dict[str, str] = {}
-FAMILIES = ("bars", "features", "outcomes", "structure", "quality", "decisions", "sampling", "statistics", "text")
+FAMILIES = (
+    "bars", "features", "outcomes", "structure", "quality", "decisions", "sampling", "statistics", "text", "models",
+)
 
 
 def query(name: str, sql: str | None = None, d: str = "", n: str = ""):

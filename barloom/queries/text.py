@@ -205,8 +205,11 @@ def _(spark, d):
 
 
 def actions(spark, d):
-    rows = valid_candidates(spark, d).withColumn("v", F.pmod(F.col("pos") + F.col("bias_score") + 6, F.lit(12)))
-    return S.screen_actions(rows.withColumn("raw", F.expr(_raw_sql())).drop("sl", "tp", "qty", "action"), "raw")
+    def build():
+        rows = valid_candidates(spark, d).withColumn("v", F.pmod(F.col("pos") + F.col("bias_score") + 6, F.lit(12)))
+        return S.screen_actions(rows.withColumn("raw", F.expr(_raw_sql())).drop("sl", "tp", "qty", "action"), "raw")
+
+    return stage(spark, d, "actions", build)
 
 
 def proposals(spark, d):
