@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import LABELS, outcome_of, right_closed
 from ..plans.blocks import BlockFrame, epoch_us, with_position
-from ..plans.quantiles import melt, quantiles
+from ..plans.quantiles import cell_offsets, melt, quantiles, with_cells
 from .bars import HOUR, calendar
 
 TP_R, SL_R = 1.5, -1.0
@@ -349,18 +349,13 @@ def spearman(df: DataFrame, cols: Sequence[str], target: str, by: Sequence[str])
     )
 
 
-def average_rank(counted: DataFrame, keys: Sequence[str], value: str, out: str, *, buckets: int = 64) -> DataFrame:
+def average_rank(counted: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Average rank of every distinct value from (keys, value, _n) rows."""
-    cuts = counted.groupBy(*keys).agg(
-        F.percentile_approx(value, [i / buckets for i in range(1, buckets)], F.lit(1000)).alias("_cuts")
-    )
-    ranged = counted.join(cuts, list(keys)).withColumn("_rng", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
-    before = Window.partitionBy(*keys).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    offs = ranged.groupBy(*keys, "_rng").agg(F.sum("_n").alias("_m")).withColumn("_off", F.coalesce(F.sum("_m").over(before), F.lit(0))).drop("_m")
+    ranged = with_cells(counted, keys, value)
     inside = Window.partitionBy(*keys, "_rng").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum("_n").over(inside)
-    ranked = ranged.join(offs, [*keys, "_rng"]).withColumn(out, F.col("_off") + upto - (F.col("_n") - 1) / 2)
-    return ranked.select(*keys, value, out)
+    offsets = cell_offsets(ranged, keys).drop("_m")
+    ranked = ranged.withColumn("_upto", F.sum("_n").over(inside)).join(offsets, [*keys, "_rng"])
+    return ranked.select(*keys, value, (F.col("_off") + F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, by: Sequence[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from ..session import materialise
 from .ranks import rank_by_score
 
 CELL_ROWS = 2048
+MOST_CELLS = 4096
 
 
 def nearest(
@@ -24,14 +25,16 @@ def nearest(
     is known by its bounding box.  A query first measures its nearest box,
     which bounds the answer; then it visits only boxes closer than that bound.
     So no two tables are paired whole, yet the result is exact.  Query rows of
-    a busy cell are salted over tasks.
+    a busy cell are salted over tasks.  The box list that travels with a query
+    row is bounded: beyond ``MOST_CELLS`` cells they grow instead.
     """
     by, cols = list(by), list(cols)
-    placed = rank_by_score(points, by, cols[0], ["_tie_at", id]) if "_tie_at" in points.columns else rank_by_score(
-        points.withColumn("_tie_at", F.lit("1970-01-01").cast("timestamp_ntz")), by, cols[0], ["_tie_at", id]
-    )
+    clock = F.lit("1970-01-01").cast("timestamp_ntz")
+    placed = rank_by_score(points.withColumn("_tie_at", clock), by, cols[0], ["_tie_at", id])
+    counts = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
+    width = F.greatest(F.lit(cell_rows), F.ceil(F.col("_all") / MOST_CELLS))
     cells = materialise(
-        placed.withColumn("_cell", F.floor(F.col("_i") / cell_rows)).select(*by, "_cell", id, *cols), "nn-cells"
+        placed.join(counts, by).withColumn("_cell", F.floor(F.col("_i") / width)).select(*by, "_cell", id, *cols), "nn-cells"
     )
     box = F.struct(*[F.min(c).alias(f"lo_{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(cols)])
     boxes = cells.groupBy(*by, "_cell").agg(box.alias("_b"), F.count(F.lit(1)).alias("_n"))
@@ -74,11 +77,12 @@ def _visit(q: DataFrame, cells: DataFrame, cols: list[str], by: list[str], id: s
             return pd.DataFrame(columns=[*by, "_qid", "_d"])
         a, b = left[cols].to_numpy(float), right[cols].to_numpy(float)
         ids, best = right[id].to_numpy(), np.full(len(a), np.inf)
-        for start in range(0, len(a), 256):
-            part = a[start : start + 256]
-            d = ((part[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-            d[left["_qid"].to_numpy()[start : start + 256, None] == ids[None, :]] = np.inf
-            best[start : start + 256] = np.sqrt(d.min(axis=1)) if d.shape[1] else np.inf
+        asked = left["_qid"].to_numpy()
+        for i in range(0, len(a), 256):
+            for j in range(0, len(b), CELL_ROWS):
+                d = ((a[i : i + 256, None, :] - b[None, j : j + CELL_ROWS, :]) ** 2).sum(axis=2)
+                d[asked[i : i + 256, None] == ids[None, j : j + CELL_ROWS]] = np.inf
+                best[i : i + 256] = np.minimum(best[i : i + 256], np.sqrt(d.min(axis=1)))
         out = left[[*by, "_qid"]].copy()
         out["_d"] = np.where(np.isfinite(best), best, np.nan)
         return out

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import epoch_us
+from .quantiles import cell_offsets, with_cells
 
 CHUNK = 1024 * 3600 * 1_000_000
 
@@ -46,7 +47,7 @@ def rank_by_hash(df: DataFrame, by: Sequence[str], id: str, seed: int, out: str
     return rank_by_bucket(hashed, by, F.substring("_hash", 1, digits), ["_hash", id], out).drop("_hash")
 
 
-def rank_by_score(df: DataFrame, by: Sequence[str], score: str, ties: Sequence[str], out: str = "_i", *, buckets: int = 64) -> DataFrame:
+def rank_by_score(df: DataFrame, by: Sequence[str], score: str, ties: Sequence[str], out: str = "_i") -> DataFrame:
     """0-based rank by ``score`` descending, then by ``ties`` (a timestamp first).
 
     Distinct scores are counted and ranked by value range; rows sharing a score
@@ -54,16 +55,11 @@ def rank_by_score(df: DataFrame, by: Sequence[str], score: str, ties: Sequence[s
     most rows ends up in one task.
     """
     by = list(by)
-    counted = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = counted.groupBy(*by).agg(
-        F.percentile_approx(-F.col(score), [i / buckets for i in range(1, buckets)], F.lit(1000)).alias("_cuts")
-    )
-    ranged = counted.join(cuts, by) if by else counted.withColumn("_k", F.lit(1)).join(cuts.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    ranged = ranged.withColumn("_rng", F.size(F.filter("_cuts", lambda c: c < -F.col(score)))).drop("_cuts")
-    before = Window.partitionBy(*by).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    offs = ranged.groupBy(*by, "_rng").agg(F.sum("_n").alias("_m")).withColumn("_o", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-    inside = Window.partitionBy(*by, "_rng").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(offs.drop("_m"), [*by, "_rng"])
-    starts = starts.select(*by, score, (F.col("_o") + F.col("_in")).alias("_start"))
+    counted = df.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_neg", -F.col(score).cast("double"))
+    ranged = with_cells(counted, by, "_neg")
+    inside = Window.partitionBy(*by, "_rng").orderBy("_neg").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    starts = ranged.withColumn("_in", before).join(cell_offsets(ranged, by).drop("_m"), [*by, "_rng"])
+    starts = starts.select(*by, score, (F.col("_off") + F.col("_in")).alias("_start"))
     tied = rank_by_time(df, [*by, score], ties, "_tie")
     return tied.join(starts, [*by, score]).withColumn(out, F.col("_start") + F.col("_tie")).drop("_start", "_tie")
