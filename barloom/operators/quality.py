@@ -273,6 +273,34 @@ def ledger_audit(ledger: DataFrame, bars: DataFrame, *, fee_bps: float = 5.0, to
     return line.unionByName(pairs)
 
 
+def ledger_summary(ledger: DataFrame, *, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Entries, exits, fees and realised profit of a ledger."""
+    n = lambda e: F.sum((F.col("event") == e).cast("long"))
+    return ledger.groupBy(*keys).agg(
+        n("ENTRY").alias("entries"), n("EXIT").alias("exits"), F.sum("fee").alias("fees"),
+        F.coalesce(F.sum("net_trade_pnl"), F.lit(0.0)).alias("net_pnl"), F.max_by("cash", "at").alias("cash"),
+    )
+
+
+def ledger_summary_check(ledger: DataFrame, stated: DataFrame, decisions: DataFrame, step: int, *, keys: Sequence[str] = ("symbol",), tol: float = 1e-6) -> DataFrame:
+    """A stated summary against its ledger, and the decision grid's missing slots."""
+    keys = list(keys)
+    mine = ledger_summary(ledger, keys=keys).select(*keys, F.struct("entries", "exits", "net_pnl", "cash").alias("_m"))
+    both = mine.join(stated.select(*keys, F.struct("entries", "exits", "net_pnl").alias("_s")), keys, "full_outer")
+    m, s = F.col("_m"), F.col("_s")
+    rows = count_where(
+        both,
+        {
+            "summary_absent": m.isNull() | s.isNull(),
+            "trade_counts": (m["entries"] != s["entries"]) | (m["exits"] != s["exits"]),
+            "net_profit": F.abs(m["net_pnl"] - s["net_pnl"]) > tol,
+            "cash_end": F.abs(m["cash"] - m["net_pnl"]) > tol,
+        },
+    )
+    absent = missing_bars(decisions, step, keys=keys).agg(F.count(F.lit(1)).alias("violations"))
+    return rows.unionByName(absent.select(F.lit("missing_decisions").alias("check"), "violations"))
+
+
 def probability_checks(df: DataFrame, cols: Sequence[str], *, tol: float = 1e-9) -> DataFrame:
     total, outside = F.lit(0.0), F.lit(False)
     for c in cols:

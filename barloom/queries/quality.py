@@ -272,6 +272,21 @@ def _(spark, d):
     return Q.ledger_audit(bad, bars_1h(spark, d))
 
 
+@query(
+    "ledger_summary_check",
+    """SELECT unnest(['summary_absent', 'trade_counts', 'net_profit', 'cash_end']) AS "check", 0::BIGINT AS violations
+       UNION ALL SELECT 'missing_decisions', count(*) FROM grid ANTI JOIN bars USING (symbol, timestamp)""",
+)
+def _(spark, d):
+    """Trade table totals against the ledger; hourly decisions that are absent."""
+    t = trades(spark, d)
+    sign = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
+    pnl = sign * (F.col("exit_fill") - F.col("entry_fill")) - 0.0005 * (F.col("entry_fill") + F.col("exit_fill"))
+    n = F.count(F.lit(1))
+    stated = t.groupBy("symbol").agg(n.alias("entries"), n.alias("exits"), F.sum(pnl).alias("net_pnl"))
+    return Q.ledger_summary_check(Q.ledger_from_trades(t), stated, bars_1h(spark, d), HOUR)
+
+
 _W = ["rsi14", "atr14_pct", "volume_ratio", "4h_rsi14", "1d_close"]
 
 
