@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,6 @@ from ..plans.blocks import BlockFrame, epoch_us, floor_time, shift_time, with_po
 from ..plans.quantiles import melt, quantiles
 from ..plans.ranks import rank_by_time
 from .bars import HOUR, calendar
-from .stats import corr
 
 
 def count_where(df: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
@@ -177,17 +178,42 @@ def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def similar_pairs(df: DataFrame, cols: Sequence[str], *, threshold: float = 0.995, least: int = 500) -> DataFrame:
-    """Column pairs with |Pearson| >= threshold over enough shared rows (one scan)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    aggs = [
-        F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"),
-            F.count(F.col(a) + F.col(b)).alias("shared_rows"), corr(F.col(a), F.col(b)).alias("pearson"),
-        ).alias(f"p{i}")
-        for i, (a, b) in enumerate(pairs)
-    ]
-    row = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).agg(*aggs)
-    out = row.select(F.explode(F.array(*[f"p{i}" for i in range(len(pairs))])).alias("p")).select("p.*")
+    """Column pairs with |Pearson| >= threshold over enough shared rows.
+
+    One scan: every task folds its rows into pairwise moment matrices (shifted
+    by the column means, so nothing is lost to cancellation) and emits one row
+    per pair; the pairs are then summed.  Work per row is one small matrix
+    product, however many columns there are.
+    """
+    cols = list(cols)
+    narrow = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    means = narrow.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in narrow.columns]).first()
+    shift = np.array(list(means), dtype=float)
+    upper = np.triu_indices(len(cols), 1)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def moments(parts):
+        total = None
+        for pdf in parts:
+            x = pdf.to_numpy(dtype=float) - shift
+            known = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            here = np.stack([known.T @ known, x.T @ known, known.T @ x, (x * x).T @ known, known.T @ (x * x), x.T @ x])
+            total = here if total is None else total + here
+        if total is not None:
+            rows = {k: total[m][upper] for m, k in enumerate(names)}
+            yield pd.DataFrame({"i": upper[0], "j": upper[1], **rows})
+
+    sums = narrow.mapInPandas(moments, "i long, j long, " + ", ".join(f"{k} double" for k in names))
+    s = sums.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in names])
+    vx, vy = F.col("sxx") - F.col("sx") ** 2 / F.col("n"), F.col("syy") - F.col("sy") ** 2 / F.col("n")
+    some = (F.col("n") > 1) & (vx > 0) & (vy > 0)
+    r = F.when(some, (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / F.sqrt(vx * vy))
+    label = F.array(*[F.lit(c) for c in cols])
+    out = s.filter(F.col("n") > 0).select(
+        F.get(label, F.col("i").cast("int")).alias("a"), F.get(label, F.col("j").cast("int")).alias("b"),
+        F.col("n").cast("long").alias("shared_rows"), r.alias("pearson"),
+    )
     return out.filter((F.col("shared_rows") >= least) & (F.abs("pearson") >= threshold))
 
 

@@ -199,7 +199,10 @@ def _(spark, d):
     return Q.column_profile(features(spark, d), _P)
 
 
-_S = ["return_1h", "log_return_1h", "rsi14", "atr14", "atr14_pct", "ema20", "ema50", "distance_ema20_pct", "range_pct", "body_pct"]
+_S = [
+    "return_1h", "return_3h", "return_6h", "log_return_1h", "rsi14", "atr14", "atr14_pct", "ema20", "ema50", "ema200", "distance_ema20_pct",
+    "distance_ema50_pct", "range_pct", "body_pct", "upper_wick_pct", "lower_wick_pct", "volume_ratio", "volatility_24h", "volatility_72h",
+]
 
 
 @query(
