@@ -111,9 +111,9 @@ def gap_overlap(missing: DataFrame, symbols: DataFrame, *, key: str = "symbol",
     n = symbols.select(key).distinct().agg(F.count(F.lit(1)).alias("_all")).withColumn("_k", F.lit(1))
     per = missing.groupBy(ts).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1)).join(n, "_k")
     return per.agg(
-        F.sum((F.col("_n") == F.col("_all")).cast("long")).alias("common_gaps"),
+        F.coalesce(F.sum((F.col("_n") == F.col("_all")).cast("long")), F.lit(0)).alias("common_gaps"),
         F.count(F.lit(1)).alias("union_gaps"),
-        F.sum("_n").alias("missing_total"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("missing_total"),
     )
 
 

@@ -111,7 +111,7 @@ def _(spark, d):
 
 @query(
     "gap_overlap",
-    """SELECT count(*) FILTER (n = 5) AS common_gaps, count(*) AS union_gaps, sum(n) AS missing_total FROM
+    """SELECT count(*) FILTER (n = 5) AS common_gaps, count(*) AS union_gaps, coalesce(sum(n), 0) AS missing_total FROM
        (SELECT timestamp, count(*) AS n FROM (SELECT symbol, timestamp FROM grid ANTI JOIN bars USING (symbol, timestamp)) GROUP BY timestamp)""",
     n="missing_total",
 )

@@ -301,7 +301,11 @@ cte(
     """SELECT *, rank() OVER (PARTITION BY split, side, feature ORDER BY x) + (count(*) OVER (PARTITION BY split, side, feature, x) - 1) / 2.0::DOUBLE AS rx,
        rank() OVER (PARTITION BY split, side, feature ORDER BY net_return) + (count(*) OVER (PARTITION BY split, side, feature, net_return) - 1) / 2.0::DOUBLE AS ry FROM long_cand""",
 )
-cte("assoc", "SELECT split, side, feature, count(*) AS n, corr(x, net_return) AS pearson, corr(rx, ry) AS spearman FROM ranked_assoc GROUP BY ALL")
+cte(
+    "assoc",
+    """SELECT split, side, feature, n, CASE WHEN NOT isnan(p) THEN p END AS pearson, CASE WHEN NOT isnan(s) THEN s END AS spearman FROM (
+       SELECT split, side, feature, count(*) AS n, corr(x, net_return) AS p, corr(rx, ry) AS s FROM ranked_assoc GROUP BY ALL)""",
+)
 
 
 def associations(spark, d):
