@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, url_filter
+from . import language_id, quality_rules, sharding, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.repetition_rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
+
+
 def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -20,5 +24,13 @@ def op4_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_rendezvous_sharding, op4_url_vocabulary)}
-ORACLE_SQL: dict[str, str] = {"op2_rendezvous_sharding": sharding.SQL, "op4_url_vocabulary": url_filter.SQL}
+def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.classify_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_suffix_repetition, op2_rendezvous_sharding, op4_url_vocabulary, op7_compression_language)
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_repetition": quality_rules.SQL, "op2_rendezvous_sharding": sharding.SQL, "op4_url_vocabulary": url_filter.SQL,
+}

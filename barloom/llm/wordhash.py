@@ -6,7 +6,7 @@ A word is a maximal run of bytes other than the ASCII space and ``\\t`` to
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -31,6 +31,7 @@ class Words(NamedTuple):
     owner: np.ndarray
     hash: np.ndarray  # uint64
     first: np.ndarray  # words of text i are first[i]:first[i + 1]
+    spans: Callable[[np.ndarray, np.ndarray], np.ndarray]  # hash of each byte span
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,10 +76,13 @@ def words_of(texts: list[bytes], lower: bool = False, positions: dict | None = N
         cache["up"], cache["down"] = _powers(len(data), _BASE), _powers(len(data), _INVERSE)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * cache["up"][: len(data)], out=total[1:])
-    value = (total[end] - total[start]) * cache["down"][start] + (end - start).astype(np.uint64)
+
+    def spans(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((total[b] - total[a]) * cache["down"][a] + (b - a).astype(np.uint64))
+
     first = np.searchsorted(start, offsets)
     owner = np.repeat(np.arange(len(texts)), np.diff(first))
-    return Words(data, offsets, start, end, owner, mix(value), first)
+    return Words(data, offsets, start, end, owner, spans(start, end), first, spans)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
