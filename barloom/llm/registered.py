@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality_rules, sharding, url_filter
+from . import bpe_transducer, language_id, quality_rules, sharding, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +25,17 @@ def op4_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe_transducer.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
 def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_suffix_repetition, op2_rendezvous_sharding, op4_url_vocabulary, op7_compression_language)
+    f.__name__: f for f in (op1_suffix_repetition, op2_rendezvous_sharding, op4_url_vocabulary, op6_bpe_transducer, op7_compression_language)
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_repetition": quality_rules.SQL, "op2_rendezvous_sharding": sharding.SQL, "op4_url_vocabulary": url_filter.SQL,
