@@ -83,3 +83,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = now
     out = own.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return out.union(own.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def key_groups(batches, key: str):
+    """(key, {column: values}) of each run of equal ``key`` in key-sorted Arrow batches.
+
+    One group is held at a time; callers bound the size of a group.
+    """
+    current, held = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        keys = columns[key]
+        begin = 0
+        for i in range(1, len(keys) + 1):
+            if i == len(keys) or keys[i] != keys[begin]:
+                if held is not None and keys[begin] == current:
+                    for n, v in columns.items():
+                        held[n] += v[begin:i]
+                else:
+                    if held is not None:
+                        yield current, held
+                    current, held = keys[begin], {n: v[begin:i] for n, v in columns.items()}
+                begin = i
+    if held is not None:
+        yield current, held

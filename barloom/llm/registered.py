@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, language_id, quality_rules, sharding, url_filter
+from . import bpe_transducer, language_id, ngram_join, packing, quality_rules, sharding, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -34,9 +38,18 @@ def op7_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_suffix_repetition, op2_rendezvous_sharding, op4_url_vocabulary, op6_bpe_transducer, op7_compression_language)
+    f.__name__: f
+    for f in (
+        op1_suffix_repetition, op2_rendezvous_sharding, op3_best_fit_packing, op4_url_vocabulary, op6_bpe_transducer, op7_compression_language,
+        op8_prefix_tree_join,
+    )
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_repetition": quality_rules.SQL, "op2_rendezvous_sharding": sharding.SQL, "op4_url_vocabulary": url_filter.SQL,
+    "op8_prefix_tree_join": ngram_join.SQL,
 }
