@@ -299,40 +299,56 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
 
     prefixes = written(_prefixes(docs, k, percent, heavy), "gram-prefixes")
+    edges = grouped_links(prefixes, docs, k, percent, classes.select(F.col("rep").alias("doc")))
+    found = components(edges)
+    reps = classes.join(found, F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+    own = sets.join(reps, ["n", "s1", "s2"], "left")
+    return own.select(
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id")).alias("component_id")
+    )
+
+
+def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, reps: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """(a, b): links that connect all similar sets which share a ``gram`` of ``prefixes`` (gram, doc, n, s1).
+
+    ``s1`` is equal for documents with the same set; ``reps`` (doc) are the
+    documents that stand for their set, the smallest id of each.  ``docs`` has
+    their texts; ``once``: it repeats a document where its text repeats.
+    """
     # an n-gram that only copies share has one set; its smallest document represents a class
     active = prefixes.groupBy("gram").agg(F.min("doc").alias("leader"), F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo != hi")
     members = prefixes.join(active, "gram").select("leader", "doc", _length_class(F.col("n"), percent).alias("class")).distinct()
-    members = members.join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
+    if reps is not None:
+        members = members.join(reps, "doc", "left_semi")
     # a member needs another one of fitting length
     near = members.groupBy("leader", "class").agg(F.count(F.lit(1)).alias("m"))
     near = near.select("leader", "m", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"))
     near = near.groupBy("leader", "class").agg(F.sum("m").alias("m")).where("m > 1")
     members = written(members.join(near.select("leader", "class"), ["leader", "class"]), "gram-members")
 
-    todo, links, last = members, [], None
+    docs = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    docs = written(docs.dropDuplicates(["doc_id"]) if once else docs, "gram-texts")
+
+    todo, links, cut = members, [], False
     while True:
         blocks = written(_blocks(todo), "gram-blocks")
         found = written(_compare(blocks.withColumn("probe", F.lit(False)), docs, k, percent), "gram-links")
         links.append(found.where("kind = 0").select("a", "b"))
-        handed = found.where("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("leader")).distinct()
         split = blocks.where("split").select("leader", "doc", "class").distinct()
-        todo = written(split.join(handed, ["leader", "doc"], "left_semi"), "gram-handed")
-        many, left = split.count(), todo.count()
-        if not left:
+        many = split.count()
+        if not many:
             break
-        if left > many // 2 or left == last:
-            links.append(_cross_blocks(members, links, docs, k, percent))
+        cut = True
+        handed = found.where("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("leader")).distinct()
+        todo = written(split.join(handed, ["leader", "doc"], "left_semi"), "gram-handed")
+        if 2 * todo.count() > many:
             break
-        last = left
+    if cut:
+        links.append(_cross_blocks(members, links, docs, k, percent))
     edges = links[0]
     for more in links[1:]:
         edges = edges.union(more)
-    found = components(edges)
-    reps = classes.join(found, F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    own = sets.join(reps, ["n", "s1", "s2"], "left")
-    return own.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id")).alias("component_id")
-    )
+    return edges
 
 
 def _cross_blocks(members: DataFrame, links: list[DataFrame], docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, language_id, ngram_join, packing, quality_rules, sharding, url_filter
+from . import bpe_transducer, language_id, ngram_join, packing, paragraph_dedup, quality_rules, sharding, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op4_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.dedup_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe_transducer.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -45,7 +49,7 @@ def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_suffix_repetition, op2_rendezvous_sharding, op3_best_fit_packing, op4_url_vocabulary, op6_bpe_transducer, op7_compression_language,
+        op1_suffix_repetition, op2_rendezvous_sharding, op3_best_fit_packing, op4_url_vocabulary, op5_paragraph_minhash, op6_bpe_transducer, op7_compression_language,
         op8_prefix_tree_join,
     )
 }
