@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, language_id, ngram_join, packing, paragraph_dedup, quality_rules, sharding, url_filter
+from . import bpe_transducer, html_extract, language_id, ngram_join, packing, paragraph_dedup, projection_join, quality_rules, sharding, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,11 +46,20 @@ def op8_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op9_projection_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op10_dom_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_suffix_repetition, op2_rendezvous_sharding, op3_best_fit_packing, op4_url_vocabulary, op5_paragraph_minhash, op6_bpe_transducer, op7_compression_language,
-        op8_prefix_tree_join,
+        op8_prefix_tree_join, op9_projection_collisions,
+        op10_dom_trees,
     )
 }
 ORACLE_SQL: dict[str, str] = {
