@@ -120,40 +120,47 @@ def text_figures(texts: list[bytes], least: int = LEAST_REPEAT, positions: dict
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
 
 
+def _judged(df: DataFrame, columns: list, text_col: str, least_repeat: int, most_covered: int, longest_repeat: int) -> DataFrame:
+    """The given columns as _c0, _c1, ..., the figures of the whole texts, base_failed and kept."""
+    rows = df.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)])
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema[1:]] + [f"{c} long" for c in FIGURES])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        positions: dict = {}
+        for part, texts in slices(batches, "_text"):
+            found = text_figures(texts, least_repeat, positions)
+            yield pa.RecordBatch.from_arrays(
+                part.columns[1:] + [pa.array(found[c].astype(np.int64)) for c in FIGURES], names=part.schema.names[1:] + list(FIGURES)
+            )
+
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_WORDS * F.col("n_words"))
+    fine = (100 * F.col("covered_words") <= most_covered * F.col("n_words")) & (F.col("longest_repeat") <= longest_repeat)
+    return rows.mapInArrow(judge, schema).withColumns({"base_failed": failed, "kept": ~failed & fine})
+
+
 def repetition_rules(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     least_repeat: int = LEAST_REPEAT, most_covered: int = MOST_COVERED, longest_repeat: int = LONGEST_REPEAT,
 ) -> DataFrame:
-    """doc_id, the figures of every whole text, base_failed, kept, and the ``keep`` columns of ``df`` unchanged.
+    """doc_id, the figures of every whole text, base_failed and kept.
 
     A text fails the base rule below 50 words or with over half of its words in
     repeated 3-word windows.  Otherwise it is kept while at most
     ``most_covered`` percent of its words lie in repeats of ``least_repeat``
     words or more and none of these has over ``longest_repeat`` words.
 
-    Null and empty texts have no words and fail; repeated rows are judged each;
-    columns of ``df`` that are not named are ignored.
+    Null and empty texts have no words and fail; repeated rows and rows with a
+    null id are judged each; other columns are ignored; an empty table gives no
+    rows.
     """
-    types = dict(df.dtypes)
-    passed = [F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *passed)
-    schema = ", ".join([f"doc_id {types[id_col]}", *[f"_keep{i} {types[c]}" for i, c in enumerate(keep)], *[f"{c} long" for c in FIGURES]])
+    out = _judged(df, [id_col], text_col, least_repeat, most_covered, longest_repeat)
+    return out.select(F.col("_c0").alias("doc_id"), *FIGURES, "base_failed", "kept")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        positions: dict = {}
-        for part, texts in slices(batches, "_text"):
-            found = text_figures(texts, least_repeat, positions)
-            kept = [part.column(i) for i, c in enumerate(part.schema.names) if c != "_text"]
-            names = [c for c in part.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                kept + [pa.array(found[c].astype(np.int64)) for c in FIGURES], names=names + list(FIGURES)
-            )
 
-    out = rows.mapInArrow(judge, schema)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_WORDS * F.col("n_words"))
-    fine = (100 * F.col("covered_words") <= most_covered * F.col("n_words")) & (F.col("longest_repeat") <= longest_repeat)
-    out = out.withColumns({"base_failed": failed, "kept": ~failed & fine})
-    return out.select("doc_id", *FIGURES, "base_failed", "kept", *[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)])
+def keep_unrepetitive(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns unchanged, whose texts :func:`repetition_rules` keeps."""
+    out = _judged(df, df.columns, text_col, LEAST_REPEAT, MOST_COVERED, LONGEST_REPEAT).where("kept")
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 #: Repeats of k words or more cover a word exactly where a repeated k-word window does.
