@@ -12,6 +12,7 @@ from ..functions.scalar import guard_columns
 from ..plans.blocks import SCAN_BLOCK, BlockFrame
 from ..plans.fold import chunked_fold
 from ..plans.ranks import rank_by_time
+from ..session import materialise
 from .labels import event_outcomes
 
 # Fixed names: causal features a candidate row may carry, and name parts that betray the future.
@@ -140,15 +141,16 @@ def trade_summary(path: DataFrame, by: Sequence[str], *, initial: float = 1.0) -
     )
 
 
-def cost_grid(trades: DataFrame, costs: Sequence[float], *, fee_weight: float = 5.0, slippage_weight: float = 2.0) -> DataFrame:
+def cost_grid(trades: DataFrame, costs: Sequence[float] | Column, *, fee_weight: float = 5.0, slippage_weight: float = 2.0) -> DataFrame:
     """Net return of a fixed trade list at every total cost per side (bps).
 
-    Each trade is repeated per cost with an exploded literal array; raw prices
+    Each trade is repeated per cost with an exploded array (literal, or a column of the trades); raw prices
     are kept, so fills are recomputed without touching the bars.  A cost is
     split between fee and slippage by the weights.
     """
     sign = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
-    out = trades.withColumn("cost_bps", F.explode(F.array(*[F.lit(float(c)) for c in costs])))
+    listed = costs if isinstance(costs, Column) else F.array(*[F.lit(float(c)) for c in costs])
+    out = trades.withColumn("cost_bps", F.explode(listed))
     part = F.col("cost_bps") / (10_000 * (fee_weight + slippage_weight))
     fee, slip = part * fee_weight, part * slippage_weight
     paid = F.col("entry_raw") * (1 + sign * slip)
@@ -165,16 +167,49 @@ def cost_totals(trades: DataFrame, costs: Sequence[float], by: Sequence[str], *,
     )
 
 
-def break_even_cost(trades: DataFrame, by: Sequence[str], *, hi: float = 50.0, points: int = 201, alloc: float = 1.0) -> DataFrame:
-    """Cost per side at which the compounded return is zero, by interpolation.
+def break_even_cost(
+    trades: DataFrame, by: Sequence[str], *, start: float = 10.0, doublings: int = 25, points: int = 64, passes: int = 3, alloc: float = 1.0
+) -> DataFrame:
+    """Cost per side (bps) at which the compounded return is zero, and how it was found.
 
-    The trade sequence does not depend on the cost, so one pass over a cost
-    grid brackets the root.  Null when the return never crosses zero.
+    The trade sequence does not depend on the cost.  One pass over costs that
+    double from ``start`` brackets each group's root, a few passes over
+    ``points`` costs inside the bracket narrow it, and the last two costs are
+    interpolated.  ``status`` says ESTIMATED, BREAK_EVEN_AT_ZERO_COST (cost 0),
+    NEGATIVE_EVEN_WITH_ZERO_COST or NOT_BRACKETED (both without a cost).
     """
-    costs = [hi * i / (points - 1) for i in range(points)]
-    totals = cost_totals(trades, costs, by, alloc=alloc).select(*by, "cost_bps", F.log1p(F.col("return_pct") / 100).alias("g"))
-    up = F.max(F.when(F.col("g") >= 0, F.struct("cost_bps", "g"))).alias("a")
-    down = F.min(F.when(F.col("g") < 0, F.struct("cost_bps", "g"))).alias("b")
-    ends = totals.groupBy(*by).agg(up, down)
+    by = list(by)
+    slim = trades.select(*by, "side", "entry_raw", "exit_raw")
+    wide = [0.0, *[start * 2**i for i in range(doublings + 1)]]
+
+    def bracket(tried: DataFrame) -> DataFrame:
+        g = F.sum(F.col("_log")).alias("g")
+        totals = tried.groupBy(*by, "cost_bps").agg(g)
+        return totals.groupBy(*by).agg(
+            F.max(F.when(F.col("g") > 0, F.struct("cost_bps", "g"))).alias("a"), F.min(F.when(F.col("g") <= 0, F.struct("cost_bps", "g"))).alias("b"),
+            (F.expm1(F.max(F.when(F.col("cost_bps") == 0, F.col("g")))) * 100).alias("_at_zero"),
+        )
+
+    def tried(rows: DataFrame) -> DataFrame:
+        # a cost that ends the account is worse than any other
+        net = F.col("net_at_cost") * alloc
+        return rows.withColumn("_log", F.when((net > -1) & (F.col("cost_bps") < 10_000), F.log1p(net)).otherwise(float("-inf")))
+
+    ends = materialise(bracket(tried(cost_grid(slim, wide))), "break-even")
+    zero = ends.select(*by, "_at_zero")
+    for _ in range(passes):
+        step = (F.col("b.cost_bps") - F.col("a.cost_bps")) / points
+        costs = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: F.col("a.cost_bps") + step * i)
+        open_ends = ends.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select(*by, costs.alias("_costs"))
+        ends = materialise(bracket(tried(cost_grid(slim.join(open_ends, by), F.col("_costs")))), "break-even")
     w = F.col("a.g") / (F.col("a.g") - F.col("b.g"))
-    return ends.select(*by, (F.col("a.cost_bps") + w * (F.col("b.cost_bps") - F.col("a.cost_bps"))).alias("break_even_bps"))
+    root = ends.select(*by, (F.col("a.cost_bps") + w * (F.col("b.cost_bps") - F.col("a.cost_bps"))).alias("_root"))
+    out = zero.join(root, by, "left")
+    status = (
+        F.when(F.col("_at_zero") < -1e-10, "NEGATIVE_EVEN_WITH_ZERO_COST")
+        .when(F.abs("_at_zero") <= 1e-10, "BREAK_EVEN_AT_ZERO_COST")
+        .when(F.col("_root").isNull(), "NOT_BRACKETED")
+        .otherwise("ESTIMATED")
+    )
+    cost = F.when(status == "ESTIMATED", F.col("_root")).when(status == "BREAK_EVEN_AT_ZERO_COST", 0.0)
+    return out.select(*by, cost.alias("break_even_bps"), status.alias("status"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import epoch_seconds
 from ..plans.blocks import BlockFrame, epoch_us, shift_time
 from .bars import HOUR
 
@@ -288,24 +289,42 @@ def target_grid(
     return grid.withColumns(made).drop("_path", "exit_bar")
 
 
-def excursions(trades: DataFrame, bars: DataFrame, *, keys: Sequence[str] = ("symbol",), longest: int = 12) -> DataFrame:
-    """MAE / MFE in percent and in R over the bars each trade was held.
+def excursions(
+    trades: DataFrame, bars: DataFrame, *, keys: Sequence[str] = ("symbol",), step: int = HOUR, first: str = "open"
+) -> DataFrame:
+    """MAE / MFE in percent and in R over the bars each trade was held, however long.
 
-    Each trade's bar indexes are expanded (at most ``longest``) and matched by
-    equality; the extremes combine before the shuffle.
+    Each trade's bar indexes are expanded and matched by equality; the extremes
+    combine before the shuffle.  Every trade has a result: a missing or
+    ambiguous bar, a gap between the held bars, an entry that differs from the
+    first bar's open, an entry or risk that is not positive, or an unknown side
+    is an error.
     """
     ids = [*keys, "method", "timeframe", "multiple_r", "event_id"]
-    held = trades.filter(F.col("duration_bars") <= longest).select(
-        *ids, F.explode(F.sequence(F.col("entry_index"), F.col("entry_index") + F.col("duration_bars") - 1)).alias("pos")
+    held = trades.select(
+        *ids, "entry_index", F.explode(F.sequence(F.col("entry_index"), F.col("entry_index") + F.col("duration_bars") - 1)).alias("pos")
     )
     ext = (
-        held.join(bars.select(*keys, "pos", "high", "low"), [*keys, "pos"])
+        held.join(bars.select(*keys, "pos", "timestamp", "high", "low", F.col(first).alias("_open")), [*keys, "pos"])
         .groupBy(*ids)
-        .agg(F.max("high").alias("_hi"), F.min("low").alias("_lo"))
+        .agg(
+            F.max("high").alias("_hi"), F.min("low").alias("_lo"), F.count(F.lit(1)).alias("_n"),
+            (epoch_seconds(F.max("timestamp")) - epoch_seconds(F.min("timestamp"))).alias("_span"),
+            F.max(F.when(F.col("pos") == F.col("entry_index"), F.col("_open"))).alias("_first"),
+        )
     )
-    out = trades.join(ext, ids)
+    out = trades.join(ext, ids, "left")
     e, risk, long = F.col("entry_raw"), F.col("risk_price"), F.col("side") == "LONG"
-    up, down = F.col("_hi") - e, e - F.col("_lo")
+    fault = (
+        F.when(F.coalesce(F.col("duration_bars"), F.lit(0)) < 1, "duration")
+        .when(~F.col("_n").eqNullSafe(F.col("duration_bars")), "held bars are missing or ambiguous")
+        .when(F.col("_span") != (F.col("duration_bars") - 1) * step, "held bars have a gap")
+        .when(~F.coalesce((e > 0) & (risk > 0) & (e < float("inf")) & (risk < float("inf")), F.lit(False)), "entry or risk is not positive")
+        .when(F.abs(e - F.col("_first")) > 1e-10 * F.abs(F.col("_first")), "entry differs from the first bar")
+        .when(~F.coalesce(F.col("side").isin("LONG", "SHORT"), F.lit(False)), "side")
+    )
+    fail = F.raise_error(F.concat(F.lit("excursions: "), fault, F.lit(", event "), F.coalesce(F.col("event_id").cast("string"), F.lit("?"))))
+    up, down = F.when(fault.isNull(), F.col("_hi") - e).otherwise(fail.cast("double")), e - F.col("_lo")
     out = out.withColumns(
         {
             "_fav": F.greatest(F.when(long, up).otherwise(down), F.lit(0.0)),
@@ -324,7 +343,7 @@ def excursions(trades: DataFrame, bars: DataFrame, *, keys: Sequence[str] = ("sy
             "intrabar_exit_uncertain": ~F.col("reason").startswith("TIME"),
             "exit_type": F.regexp_extract("reason", "^(TP|SL|TIME)", 1),
         }
-    ).drop("_fav", "_adv", "_hi", "_lo")
+    ).drop("_fav", "_adv", "_hi", "_lo", "_n", "_span", "_first")
 
 
 def touch_by_join(rows: DataFrame, horizon: int, *, keys: Sequence[str] = ("symbol",), tp: float = 1.5, sl: float = 1.0) -> DataFrame:

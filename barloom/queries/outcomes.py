@@ -82,15 +82,35 @@ def _(spark, d):
     return E.cost_totals(trades(spark, d), [0, 2, 5, 7, 10], ["symbol", "split"], alloc=ALLOC)
 
 
-@query(
-    "break_even_cost",
-    f"""SELECT symbol, split, CASE WHEN b.c IS NOT NULL THEN a.c + a.g / (a.g - b.g) * (b.c - a.c) END AS break_even_bps FROM (
-        SELECT symbol, split, max(CASE WHEN g >= 0 THEN struct_pack(c := cost_bps, g := g) END) AS a, min(CASE WHEN g < 0 THEN struct_pack(c := cost_bps, g := g) END) AS b
-        FROM ({_cost_sql('list_transform(range(0, 201), lambda i: i * 200.0::DOUBLE / 200)')}) GROUP BY ALL)""",
-    "break_even_bps",
-)
+def _even_sql(by: str) -> str:
+    """Doubling costs, then two fine passes inside each group's bracket, then interpolation."""
+
+    def ends(source: str) -> str:
+        return f"""SELECT {by}, max(CASE WHEN g > 0 THEN struct_pack(c := c, g := g) END) AS a, min(CASE WHEN g <= 0 THEN struct_pack(c := c, g := g) END) AS b,
+          (exp(max(CASE WHEN c = 0 THEN g END)) - 1) * 100 AS zero FROM (
+          SELECT {by}, c, sum(CASE WHEN 0.1::DOUBLE * net > -1 AND c < 10000 THEN ln(1 + 0.1::DOUBLE * net) ELSE '-infinity'::DOUBLE END) AS g FROM (
+          SELECT {by}, c, s * (got - paid) / paid - c / 70000 * 5 * (1 + got / paid) AS net FROM (
+          SELECT *, entry_raw * (1 + s * c / 70000 * 2) AS paid, exit_raw * (1 - s * c / 70000 * 2) AS got FROM (
+          SELECT {by}, entry_raw, exit_raw, c, CASE WHEN side = 'LONG' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s FROM {source}))) GROUP BY ALL) GROUP BY ALL"""
+
+    wide = ends("trades, (SELECT unnest(list_prepend(0.0::DOUBLE, list_transform(range(0, 26), lambda i: 10.0::DOUBLE * power(2, i)))) AS c)")
+    one = ends(f"(SELECT t.*, a.c + (b.c - a.c) * i / 512 AS c FROM trades t JOIN even0 USING ({by}), (SELECT unnest(range(0, 513)) AS i) WHERE a IS NOT NULL AND b IS NOT NULL)")
+    two = one.replace("even0", "even1")
+    return f"""WITH even0 AS ({wide}), even1 AS ({one}), even2 AS ({two}),
+      roots AS (SELECT {by}, a.c + a.g / (a.g - b.g) * (b.c - a.c) AS root FROM even2)
+      SELECT {by}, CASE WHEN zero < -1e-10 THEN NULL WHEN abs(zero) <= 1e-10 THEN 0 ELSE root END AS break_even_bps,
+        CASE WHEN zero < -1e-10 THEN 'NEGATIVE_EVEN_WITH_ZERO_COST' WHEN abs(zero) <= 1e-10 THEN 'BREAK_EVEN_AT_ZERO_COST' WHEN root IS NULL THEN 'NOT_BRACKETED' ELSE 'ESTIMATED' END AS status
+      FROM even0 LEFT JOIN roots USING ({by})"""
+
+
+@query("break_even_cost", f"SELECT * EXCLUDE (status) FROM ({_even_sql('symbol, split')})", "break_even_bps")
+def _(spark, d):
+    return E.break_even_cost(trades(spark, d), ["symbol", "split"], alloc=ALLOC).drop("status")
+
+
+@query("break_even_status", _even_sql("symbol, split, side"), "break_even_bps")
 def _(spark, d):
-    return E.break_even_cost(trades(spark, d), ["symbol", "split"], hi=200.0, alloc=ALLOC)
+    return E.break_even_cost(trades(spark, d), ["symbol", "split", "side"], alloc=ALLOC)
 
 
 # reward-multiple grid over structural stops
@@ -292,6 +312,30 @@ def _(spark, d):
     return excursion_rows(spark, d).select("event_id", "method", "timeframe", "multiple_r", "exit_type", "mfe_pct", "mae_pct", "mfe_r", "mae_r")
 
 
+@query(
+    "excursions_long_holds",
+    """SELECT event_id, duration_bars, fav / entry_raw * 100 AS mfe_pct, adv / entry_raw * 100 AS mae_pct FROM (
+        SELECT event_id, duration_bars, entry_raw, greatest(0, CASE WHEN side = 'LONG' THEN hi - entry_raw ELSE entry_raw - lo END) AS fav, greatest(0, CASE WHEN side = 'LONG' THEN entry_raw - lo ELSE hi - entry_raw END) AS adv FROM (
+        SELECT a.symbol || '_' || a.pos AS event_id, CAST(13 + a.pos % 60 AS INTEGER) AS duration_bars, any_value(a.open) AS entry_raw, CASE WHEN a.pos % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side,
+          max(b.high) AS hi, min(b.low) AS lo FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.pos BETWEEN a.pos AND a.pos + 12 + a.pos % 60 WHERE a.pos % 7 = 0
+        GROUP BY a.symbol, a.pos HAVING count(*) = 13 + a.pos % 60 AND max(b.timestamp) - min(b.timestamp) = to_hours(CAST(12 + a.pos % 60 AS INTEGER))))""",
+    "mfe_pct mae_pct",
+)
+def _(spark, d):
+    bars = bars_1h(spark, d)
+    start = bars.filter("pos % 7 = 0").withColumn("duration_bars", (F.lit(13) + F.col("pos") % 60).cast("int"))
+    # holds without a gap: the last held bar, by index, is duration - 1 hours after the first
+    last = bars.select("symbol", (F.col("pos")).alias("_last"), F.col("timestamp").alias("_end"))
+    whole = start.join(last, (start["symbol"] == last["symbol"]) & (F.col("_last") == F.col("pos") + F.col("duration_bars") - 1)).drop(last["symbol"])
+    whole = whole.filter(F.unix_timestamp(F.col("_end").cast("timestamp")) - F.unix_timestamp(F.col("timestamp").cast("timestamp")) == (F.col("duration_bars") - 1) * 3600)
+    made = whole.select(
+        "symbol", F.concat_ws("_", "symbol", "pos").alias("event_id"), F.lit("hold").alias("method"), F.lit("1h").alias("timeframe"), F.lit(1.0).alias("multiple_r"),
+        F.col("pos").alias("entry_index"), "duration_bars", F.col("open").alias("entry_raw"), F.lit(1.0).alias("risk_price"),
+        F.when(F.col("pos") % 2 == 0, "LONG").otherwise("SHORT").alias("side"), F.lit("TIME").alias("reason"),
+    )
+    return L.excursions(made, bars).select("event_id", "duration_bars", "mfe_pct", "mae_pct")
+
+
 @query(
     "excursion_report",
     """SELECT method, timeframe, multiple_r, side, exit_type, count(*) AS count, avg(net_return) * 100 AS mean_net_pct, avg(duration_bars) AS mean_duration_h, quantile_cont(mfe_r, 0.5::DOUBLE) AS median_mfe_r, quantile_cont(mfe_r, 0.9::DOUBLE) AS p90_mfe_r,
