@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.blocks import epoch_us, floor_time, shift_time
+from ..plans.single import with_values
 
 HOUR = 3600
 OHLCV = ["open", "high", "low", "close", "volume"]
@@ -85,12 +86,12 @@ def calendar(
 
     The grid is generated per key and day, so no task expands a whole series.
     """
-    bounds = (df if bounds is None else bounds).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi")).withColumn("_one", F.lit(1))
-    names = df.select(*keys).distinct().withColumn("_one", F.lit(1))
+    bounds = (df if bounds is None else bounds).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    names = df.select(*keys).distinct()
     day = F.expr("sequence(date_trunc('day', _lo), date_trunc('day', _hi), interval 1 day)")
     grid = F.expr(f"sequence(_d, _d + interval 1 day - interval {step} second, interval {step} second)")
     return (
-        names.join(bounds, "_one")
+        with_values(names, bounds)
         .withColumn("_d", F.explode(day))
         .repartition(*keys, "_d")
         .withColumn(ts, F.explode(grid))

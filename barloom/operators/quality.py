@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.blocks import BlockFrame, epoch_us, floor_time, shift_time, with_position
 from ..plans.quantiles import melt, quantiles
 from ..plans.ranks import rank_by_time
+from ..plans.single import with_values
 from .bars import HOUR, calendar
 
 
@@ -108,8 +109,8 @@ def missing_bars(df: DataFrame, step: int, *, keys: Sequence[str] = ("symbol",),
 
 def gap_overlap(missing: DataFrame, symbols: DataFrame, *, key: str = "symbol", ts: str = "timestamp") -> DataFrame:
     """Slots missing for all symbols, for any, and in total."""
-    n = symbols.select(key).distinct().agg(F.count(F.lit(1)).alias("_all")).withColumn("_k", F.lit(1))
-    per = missing.groupBy(ts).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(1)).join(n, "_k")
+    n = symbols.select(key).distinct().agg(F.count(F.lit(1)).alias("_all"))
+    per = with_values(missing.groupBy(ts).agg(F.count(F.lit(1)).alias("_n")), n)
     return per.agg(
         F.coalesce(F.sum((F.col("_n") == F.col("_all")).cast("long")), F.lit(0)).alias("common_gaps"),
         F.count(F.lit(1)).alias("union_gaps"),
@@ -159,7 +160,7 @@ def reconcile(a: DataFrame, b: DataFrame, key: Sequence[str], fields: Sequence[s
 
 def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per column: missing, distinct, constant flag, min / p01 / median / p99 / max."""
-    total = df.agg(F.count(F.lit(1)).alias("_rows")).withColumn("_k", F.lit(1))
+    total = df.agg(F.count(F.lit(1)).alias("_rows"))
     long = melt(df, [], cols)
     counts = (
         long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("_n"))
@@ -168,8 +169,8 @@ def column_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             F.coalesce(F.sum(F.when(F.col("x").isNotNull(), F.col("_n"))), F.lit(0)).alias("_have"),
             F.count("x").alias("distinct"), F.min("x").alias("min"), F.max("x").alias("max"),
         )
-        .withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
     )
+    counts = with_values(counts, total)
     q = quantiles(long, ["feature"], "x", {"p01": 0.01, "median": 0.5, "p99": 0.99}).drop("n")
     return counts.join(q, "feature", "left").select(
         "feature", (F.col("_rows") - F.col("_have")).alias("missing"), "distinct", (F.col("distinct") <= 1).alias("constant"),
@@ -360,8 +361,8 @@ def scenario_integrity(grid: DataFrame, *, longest: int = 12) -> DataFrame:
     per_id = grid.groupBy("method", "timeframe", "event_id").agg(
         F.count(F.lit(1)).alias("_n"), F.countDistinct("multiple_r").alias("_m")
     )
-    many = grid.agg(F.countDistinct("multiple_r").alias("_all")).withColumn("_k", F.lit(1))
-    per_id = per_id.withColumn("_k", F.lit(1)).join(many, "_k")
+    many = grid.agg(F.countDistinct("multiple_r").alias("_all"))
+    per_id = with_values(per_id, many)
     return rows.unionByName(
         count_where(per_id, {"duplicate_scenario": F.col("_n") > F.col("_m"), "candidate_set_differs": F.col("_m") < F.col("_all")})
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.blocks import epoch_us, shift_time
 from ..plans.quantiles import quantiles
 from ..plans.ranks import rank_by_hash, rank_by_score, rank_by_time
+from ..plans.single import with_values
 from .bars import HOUR
 
 
@@ -92,7 +93,7 @@ def quartile_periods(df: DataFrame, *, keys: Sequence[str] = (), order: Sequence
     keys = list(keys)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rows = rank_by_time(df, keys, list(order))
-    joined = rows.join(n, keys) if keys else rows.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    joined = rows.join(n, keys) if keys else with_values(rows, n)
     number = F.least(F.lit(k), F.floor(F.lit(k) * F.col("_i") / F.col("_n")) + 1)
     return joined.withColumn("period", F.concat(F.lit(prefix), number.cast("string"))).drop("_i", "_n")
 
@@ -104,8 +105,7 @@ def sample_per_class(df: DataFrame, label: str, quota: Column, *, id: str, seed:
     ``strict`` raises if a class has fewer rows than its quota.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    low = counts.agg(F.min("_n").alias("_min")).withColumn("_k", F.lit(1))
-    quotas = counts.withColumn("_k", F.lit(1)).join(low, "_k").withColumn("_q", quota.cast("long"))
+    quotas = with_values(counts, counts.agg(F.min("_n").alias("_min"))).withColumn("_q", quota.cast("long"))
     if strict:
         short = F.raise_error(F.concat(F.lit("class too small: "), F.col(label).cast("string"))).cast("long")
         quotas = quotas.withColumn("_q", F.when(F.col("_n") < F.col("_q"), short).otherwise(F.col("_q")))
@@ -119,10 +119,10 @@ def balance_to_smallest(df: DataFrame, label: str, *, id: str, seed: int = 42) -
 
 def balance_ratio(df: DataFrame, label: str, majority, *, share: float = 0.6, id: str, seed: int = 42) -> DataFrame:
     """Down-sample one class to ``share`` of the result; the others stay whole."""
-    other = df.filter(F.col(label) != F.lit(majority)).agg(F.count(F.lit(1)).alias("_other")).withColumn("_k", F.lit(1))
-    ranked = rank_by_hash(df.filter(F.col(label) == F.lit(majority)), [label], id, seed).withColumn("_k", F.lit(1)).join(other, "_k")
+    other = df.filter(F.col(label) != F.lit(majority)).agg(F.count(F.lit(1)).alias("_other"))
+    ranked = with_values(rank_by_hash(df.filter(F.col(label) == F.lit(majority)), [label], id, seed), other)
     quota = F.floor(F.col("_other") * F.lit(share) / F.lit(1 - share) + 1e-9)
-    kept = ranked.filter(F.col("_i") < quota).drop("_i", "_k", "_other")
+    kept = ranked.filter(F.col("_i") < quota).drop("_i", "_other")
     return df.filter(F.col(label) != F.lit(majority)).unionByName(kept)
 
 
@@ -156,10 +156,10 @@ def profile_picks(df: DataFrame, criteria: Mapping[str, tuple[str, bool]], *, ts
         picks = one if picks is None else picks.unionByName(one)
         left = left.join(one.select(ts, *key), [ts, *key], "left_anti")
     dist = F.lit(0.0)
-    wide = left.withColumn("_k", F.lit(1))
+    wide = left
     for c in middle:
-        q = quantiles(df, [], c, {f"_{c}_a": 0.25, f"_{c}_m": 0.5, f"_{c}_b": 0.75}).drop("n").withColumn("_k", F.lit(1))
-        wide = wide.join(q, "_k")
+        q = quantiles(df, [], c, {f"_{c}_a": 0.25, f"_{c}_m": 0.5, f"_{c}_b": 0.75}).drop("n")
+        wide = with_values(wide, q)
         spread = F.col(f"_{c}_b") - F.col(f"_{c}_a")
         dist = dist + F.abs(F.col(c) - F.col(f"_{c}_m")) / F.when(spread > 0, spread).otherwise(1.0)
     last = wide.withColumn("_d", dist).orderBy("_d", ts, *key).limit(1).select(*df.columns, F.lit("median").alias("profile"))

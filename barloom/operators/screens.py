@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.quantiles import quantiles
+from ..plans.single import with_values
 
 # Parameters each action must carry.
 ACTION_KEYS = {
@@ -178,7 +179,7 @@ def length_stats(lengths: DataFrame, by: Sequence[str], col: str, *, limits: Seq
         *[F.sum((F.col(col) > n).cast("long")).alias(f"over_{n}") for n in limits],
     )
     q = quantiles(lengths, by, col, {f"p{p}": p / 100 for p in (50, 75, 90, 95, 97, 99)}).withColumnRenamed("n", "records")
-    out = base.join(q, list(by)) if by else base.withColumn("_k", F.lit(1)).join(q.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    out = base.join(q, list(by)) if by else with_values(base, q)
     suggested = F.lit(None).cast("int")
     for n in sorted(limits, reverse=True):
         suggested = F.when(F.ceil(F.col("p99")) <= n, n).otherwise(suggested)

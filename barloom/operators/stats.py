@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import LABELS, outcome_of, right_closed
 from ..plans.blocks import BlockFrame, epoch_us, with_position
 from ..plans.quantiles import cell_offsets, melt, quantiles, with_cells
+from ..plans.single import with_values
 from .bars import HOUR, calendar
 
 TP_R, SL_R = 1.5, -1.0
@@ -447,16 +448,16 @@ def yearly_profile(bars: DataFrame, *, keys: Sequence[str] = ("symbol",)) -> Dat
     rows = bf.with_columns({"log_return": F.ln(F.col("close") / bf.lag("close"))}).own()
     rows = rows.withColumns({"year": F.year("timestamp"), "_abs": F.abs("log_return"), "_quote": F.col("close") * F.col("volume")})
     by = [*keys, "year"]
-    span = rows.agg(F.min("timestamp").alias("_lo"), F.max("timestamp").alias("_hi")).withColumn("_k", F.lit(1))
+    span = rows.agg(F.min("timestamp").alias("_lo"), F.max("timestamp").alias("_hi"))
     total = ((F.unix_timestamp(F.col("_hi").cast("timestamp")) - F.unix_timestamp(F.col("_lo").cast("timestamp"))) / HOUR).cast("long") + 1
     base = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("available_hours"), F.count("log_return").alias("valid_returns"),
         (F.stddev_samp("log_return") * F.sqrt(F.lit(24.0 * 365)) * 100).alias("annualized_vol_pct"),
     )
-    base = base.withColumn("_k", F.lit(1)).join(span, "_k").withColumn("missing_hours", total - F.col("available_hours"))
+    base = with_values(base, span).withColumn("missing_hours", total - F.col("available_hours"))
     p99 = quantiles(rows, by, "_abs", {"_p": 0.99}).select(*by, (F.col("_p") * 100).alias("p99_abs_hourly_return_pct"))
     med = quantiles(rows, by, "_quote", {"median_quote_volume": 0.5}).drop("n")
-    return base.drop("_k", "_lo", "_hi").join(p99, by).join(med, by)
+    return base.drop("_lo", "_hi").join(p99, by).join(med, by)
 
 
 def _returns(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -492,9 +493,9 @@ def rolling_pair_correlation(bars: DataFrame, *, window: int, coverage: float =
     least = math.ceil(window * coverage)
     pairs = pair_returns(bars)
     grid = calendar(pairs, HOUR, keys=["a", "b"], bounds=bars).join(pairs, ["a", "b", "timestamp"], "left")
-    start = bars.agg(F.min("timestamp").alias("_t0")).withColumn("_one", F.lit(1))
+    start = bars.agg(F.min("timestamp").alias("_t0"))
     hours = (epoch_us(F.col("timestamp")) - epoch_us(F.col("_t0"))) / (HOUR * 1_000_000)
-    placed = grid.withColumn("_one", F.lit(1)).join(start, "_one").withColumn("_h", hours.cast("long")).drop("_one", "_t0")
+    placed = with_values(grid, start).withColumn("_h", hours.cast("long")).drop("_t0")
     bf = BlockFrame(placed, ["a", "b"], pos="_h", before=window - 1, size=max(1024, 4 * window))
     w = bf.frame(-(window - 1), 0)
     bf.with_columns({"_n": F.count("ra").over(w), "_c": corr(F.col("ra"), F.col("rb"), w)})

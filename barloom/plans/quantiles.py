@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .single import with_values
+
 BUCKETS = 64
 FINE = 1024
 
@@ -33,7 +35,10 @@ def with_cells(counted: DataFrame, by: Sequence[str], value: str, *, total: str
         F.array(F.min(value)), F.percentile_approx(value, grid, F.lit(20 * buckets)), F.array(F.max(value))
     )
     cuts = counted.groupBy(*by).agg(edges.alias("_edges"), F.sum(total).alias("n"))
-    joined = counted.alias("a").join(cuts.alias("b"), _on(by)).select("a.*", "b._edges", "b.n")
+    if by:
+        joined = counted.alias("a").join(cuts.alias("b"), _on(by)).select("a.*", "b._edges", "b.n")
+    else:
+        joined = with_values(counted, cuts)
     v = F.col(value)
     inner = F.slice("_edges", 2, buckets - 1)
     joined = joined.withColumn("_r", F.size(F.filter(inner, lambda c: c < v)))

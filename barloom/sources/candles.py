@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.blocks import epoch_us
+from ..plans.single import with_values
 
 # Fixed names: the 12 columns of an exchange kline archive, in file order.
 KLINE_COLUMNS = [
@@ -153,7 +154,7 @@ def manifest(df: DataFrame, *, ts: str, inputs: DataFrame | None = None, params:
     if inputs is not None:
         digest = inputs.select("path", F.sha2("content", 256).alias("sha256"))
         prints = digest.agg(F.array_sort(F.collect_list("sha256")).alias("input_sha256"))
-        out = out.withColumn("_k", F.lit(1)).join(prints.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        out = with_values(out, prints)
     return out
 
 

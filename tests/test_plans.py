@@ -137,3 +137,22 @@ def test_nearest_matches_brute_force(spark):
         d = np.sqrt(((x[["u", "v", "w"]].to_numpy()[:, None] - pts[["u", "v", "w"]].to_numpy()[None]) ** 2).sum(2))
         d[x.id.to_numpy()[:, None] == pts.id.to_numpy()[None]] = np.inf
         np.testing.assert_allclose(got.loc[x.id].to_numpy(), d.min(axis=1))
+
+
+def test_values_of_one_row_need_no_cross_join(spark):
+    from barloom.operators.sampling import quartile_periods
+    from barloom.plans.quantiles import quantiles
+    from barloom.plans.single import with_values
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(50).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,cast(id as int)) AS timestamp", "cast(id as double) AS x")
+        frames = [with_values(df, df.agg({"x": "max"})), quartile_periods(df), quantiles(df, [], "x", {"m": 0.5})]
+        for f in frames:
+            plan = f._jdf.queryExecution().executedPlan().toString()
+            assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+        assert frames[0].select("max(x)").distinct().collect() == [(49.0,)] and frames[2].first()["m"] == 24.5
+        assert [r["n"] for r in frames[1].groupBy("period").count().withColumnRenamed("count", "n").collect()] and frames[1].count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
