@@ -253,26 +253,32 @@ def ledger_from_trades(trades: DataFrame, *, qty: float = 1.0, fee_bps: float =
     return run.drop("_i")
 
 
+def restate_cash(ledger: DataFrame) -> DataFrame:
+    """The ledger with its cash worked out again from its own profits."""
+    placed = rank_by_time(ledger.drop("cash"), ["symbol"], ["at", "seq"])
+    return BlockFrame(placed, ["symbol"], pos="_i").scan({"cash": ("sum", F.coalesce("net_trade_pnl", F.lit(0.0)), True)}).drop("_i")
+
+
 def ledger_audit(ledger: DataFrame, bars: DataFrame, *, fee_bps: float = 5.0, tol: float = 1e-6) -> DataFrame:
-    """Recompute fees, pairing, profit, cash and level touches of a ledger."""
+    """Recompute fees, pairing, profit, cash and level touches of a ledger.
+
+    A position is known by the running count of entries, for its entry and its
+    exit alike, so an exit that is missing or doubled spoils its own position
+    only.
+    """
     fee, keys = fee_bps / 10_000, ["symbol"]
     placed = rank_by_time(ledger, keys, ["at", "seq"])
-    run = BlockFrame(placed, keys, pos="_i").scan(
+    rows = BlockFrame(placed, keys, pos="_i").scan(
         {
-            "_opened": ("sum", (F.col("event") == "ENTRY").cast("long"), True),
-            "_closed": ("sum", (F.col("event") == "EXIT").cast("long"), True),
+            "position": ("sum", (F.col("event") == "ENTRY").cast("long"), True),
             "_cash": ("sum", F.coalesce("net_trade_pnl", F.lit(0.0)), True),
         }
     )
-    position = F.when(F.col("event") == "ENTRY", F.col("_opened")).otherwise(F.col("_closed"))
-    rows = run.withColumn("position", position)
     line = count_where(
         rows,
         {
             "fee": F.abs(F.col("fee") - F.col("price") * F.col("qty") * fee) > tol,
             "cash": F.abs(F.col("cash") - F.col("_cash")) > tol,
-            "overlapping_position": (F.col("_opened") - F.col("_closed")) > 1,
-            "exit_without_entry": F.col("_closed") > F.col("_opened"),
         },
     )
     pick = lambda e, c: F.max(F.when(F.col("event") == e, F.col(c)))
@@ -284,13 +290,16 @@ def ledger_audit(ledger: DataFrame, bars: DataFrame, *, fee_bps: float = 5.0, to
         F.max("qty").alias("qty"),
     )
     last = bars.select("symbol", shift_time(F.col("timestamp"), HOUR).alias("out_at"), "high", "low")
-    pos = pos.join(last, ["symbol", "out_at"], "left")
+    newest = pos.groupBy("symbol").agg(F.max("position").alias("_newest"))
+    pos = pos.join(newest, "symbol").join(last, ["symbol", "out_at"], "left")
     sign = F.when(F.col("side") == "LONG", 1.0).otherwise(-1.0)
     due = sign * (F.col("p_out") - F.col("p_in")) * F.col("qty") - fee * F.col("qty") * (F.col("p_in") + F.col("p_out"))
     level = F.when(F.col("reason") == "SL", F.col("sl")).when(F.col("reason") == "TP", F.col("tp"))
     pairs = count_where(
         pos,
         {
+            "overlapping_position": (F.col("_n_in") == 1) & (F.col("_n_out") == 0) & (F.col("position") < F.col("_newest")),
+            "exit_without_entry": (F.col("_n_out") > F.col("_n_in")),
             "unpaired_entry": (F.col("_n_in") == 1) & (F.col("_n_out") == 0),
             "profit": F.abs(F.col("pnl") - due) > tol,
             "exit_before_entry": F.col("out_at") <= F.col("in_at"),

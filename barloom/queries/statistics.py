@@ -111,13 +111,13 @@ def _(spark, d):
 
 @query(
     "drift_top10",
-    f"""SELECT side, feature, smd FROM (SELECT side, feature, (cur_mean - ref_mean) / ref_std AS smd FROM ({_moments('stddev_pop')}) WHERE ref_std > 1e-12) ORDER BY abs(smd) DESC LIMIT 10""",
+    f"""SELECT side, feature, smd FROM (SELECT side, feature, (cur_mean - ref_mean) / ref_std AS smd FROM ({_moments('stddev_pop')}) WHERE ref_std > 1e-12) ORDER BY abs(smd) DESC, side, feature LIMIT 10""",
     "smd",
 )
 def _(spark, d):
     ref, cur = _ref_cur(spark, d)
     made = T.drift(ref, cur, KEYS, by=["side"]).select("side", "feature", "smd")
-    return made.filter("smd is not null").orderBy(F.desc(F.abs("smd"))).limit(10)
+    return made.filter("smd is not null").orderBy(F.desc(F.abs("smd")), "side", "feature").limit(10)
 
 
 @query("data_driven_bins", "SELECT event_id, feature, bin FROM binned_tert", n="bin")
