@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark).rstrip('/')}/llm/{spark.sparkContext.applicationId}/{next(_COUNT)}-{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path).withMetadata(df.columns[0], {"path": path})
+    del df
+    free_shuffles(spark)
+    return spark.read.schema(schema).parquet(path).withMetadata(schema.names[0], {"path": path})
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages now, not at its next periodic collection."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def drop_written(df: DataFrame) -> None:
@@ -53,19 +62,24 @@ def dense_rank_in(df: DataFrame, group: str, order: list[Column], bucket: Column
     return joined.withColumn(out, (F.col("_base") + F.col("_pos")).cast("long")).drop("_cell", "_pos", "_group", "_base_cell", "_base")
 
 
+#: So many edges are joined up by one task, in memory; more go through rounds of stars.
+LOCAL_EDGES = 1_000_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): smallest id reachable from each id that has an edge.
 
-    Every round replaces the edges by stars: each vertex is tied to the
-    smallest vertex it or its neighbours know (large stars, then small stars),
-    so path lengths shrink geometrically.  The edges of a round are a written
-    table; a vertex with very many neighbours is only ever aggregated with
-    map-side combine and joined on, never gathered.
+    Beyond ``LOCAL_EDGES``, every round replaces the edges by stars: each
+    vertex is tied to the smallest vertex it or its neighbours know (large
+    stars, then small stars), so path lengths shrink geometrically, and so do
+    the edges where they hold loops.  The edges of a round are a written table;
+    a vertex with very many neighbours is only ever aggregated with map-side
+    combine and joined on, never gathered.  The rounds end with stars or with
+    few enough edges for one task of bounded size.
     """
-    own = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    own = written(own, "edges")
+    own = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v"))
     last = None
-    while True:
+    while own.limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
         # large star: every larger neighbour of x is tied to the smallest of x's neighbourhood
         both = own.select("u", "v").union(own.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -76,13 +90,37 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         new = written(small.where("u != v").distinct(), "edges")
         now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop_written(own)
+        if last is not None:
+            drop_written(own)
         own = new
         if now == last:
-            break
+            out = own.select(F.col("u").alias("id"), F.col("v").alias("component"))
+            return out.union(own.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
         last = now
-    out = own.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return out.union(own.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    return written(own.coalesce(1).mapInArrow(_joined, "id long, component long"), "components")
+
+
+def _joined(batches):
+    """Union-find over a bounded number of edges."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root[top] != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(u) if u in root else root.setdefault(u, u), find(v) if v in root else root.setdefault(v, v)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    ids = list(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([find(i) for i in ids], pa.int64())], names=["id", "component"])
 
 
 def key_groups(batches, key: str):
