@@ -7,11 +7,13 @@
    ``n - ceil(t n) + 1`` n-grams of each (the prefix).
 3. All sets with a common prefix n-gram belong to the group of the smallest
    document among them; groups of the same document are one.
-4. Inside a group the sets are stored in a prefix tree, most shared n-grams
+4. A small sketch of each set bounds its overlap with the others of its group
+   from above; only members that may be similar to another go on.
+5. Inside a group the sets are stored in a prefix tree, most shared n-grams
    first, and each probe walks it once, sharing the overlaps counted on common
    paths and leaving subtrees whose remaining length cannot reach the
    threshold.
-5. Large groups are cut into blocks.  Blocks hand on one document per linked
+6. Large groups are cut into blocks.  Blocks hand on one document per linked
    set until nothing shrinks; what is then still apart from its group's main
    component is compared with every block of fitting lengths.  So no pair that
    could connect two components is left out, and no group meets in one task.
@@ -34,6 +36,8 @@ from .wordhash import mix, shingles, slices, words_of
 HEAVY = 32_768
 #: Sets of one block of a group.
 BLOCK = 128
+#: Members of a group that are compared by their sketches before any text is sent; buckets of a sketch, and of a large set's.
+SKETCHED, NARROW, WIDE, WIDE_FROM = 1024, 128, 1024, 1500
 #: n-grams that a task counts at a time, and the least count it passes on.
 COUNTED, COUNT_FROM = 4_000_000, 4
 
@@ -145,12 +149,45 @@ def linked(sets: list[np.ndarray], percent: int, probes: list[int] | None = None
     return edges, [find(i) for i in range(len(sets))]
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many elements fall into each of ``NARROW`` hash buckets, ``WIDE`` for large sets (255: that many or more)."""
+    count = np.bincount((s & np.uint64(WIDE - 1)).astype(np.int64), minlength=WIDE)
+    if len(s) < WIDE_FROM:
+        count = count.reshape(-1, NARROW).sum(axis=0)
+    return np.minimum(count, 255).astype(np.uint8).tobytes()
+
+
+def plausible(sizes: list[int], sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which sets may be similar to another one, by an upper bound of their overlap.
+
+    Two sets share at most the smaller count of every bucket.  Buckets that are
+    full, and so of unknown count, bound nothing.
+    """
+    n = np.array(sizes, np.int64)
+    wide = [np.frombuffer(x, np.uint8).astype(np.int64) for x in sketches]
+    full = np.array([bool((x == 255).any()) for x in wide])
+    narrow = np.stack([x.reshape(-1, NARROW).sum(axis=0) for x in wide]).astype(np.int32)
+    out = full.copy()
+    for i in range(len(n) - 1):
+        rest = slice(i + 1, len(n))
+        need = -(-percent * (n[i] + n[rest]) // (100 + percent))
+        fits = 100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])
+        j = np.flatnonzero(fits) + i + 1
+        if len(j):
+            j = j[np.minimum(narrow[i], narrow[j]).sum(axis=1) >= need[j - i - 1]]
+        for k in j.tolist():
+            if len(wide[i]) == len(wide[k]) == WIDE and not (full[i] or full[k]) and np.minimum(wide[i], wide[k]).sum() < need[k - i - 1]:
+                continue
+            out[i] = out[k] = True
+    return out
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """kind 0: document, set size and two sums that identify its set; kind 1: n-gram and a partial document count."""
+    """kind 0: document, set size and two sums that identify its set, and its sketch; kind 1: n-gram and a partial document count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions: dict = {}
@@ -162,7 +199,8 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             often = n >= COUNT_FROM
             grams, n = grams[often], n[often].astype(np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(len(n), np.int32)), _signed(grams), pa.array(n), pa.array(n), pa.array(n)], names=["kind", "a", "n", "s1", "s2"]
+                [pa.array(np.ones(len(n), np.int32)), _signed(grams), pa.array(n), pa.array(n), pa.array(n), pa.nulls(len(n), pa.binary())],
+                names=["kind", "a", "n", "s1", "s2", "sketch"],
             )
 
         for part, texts in slices(batches, "text"):
@@ -171,8 +209,9 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
             s2 = np.array([mix(s ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64) for s in sets], np.uint64)
             sizes = np.array([len(s) for s in sets], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(len(sets), np.int32)), part.column(0), pa.array(sizes), _signed(s1), _signed(s2)],
-                names=["kind", "a", "n", "s1", "s2"],
+                [pa.array(np.zeros(len(sets), np.int32)), part.column(0), pa.array(sizes), _signed(s1), _signed(s2),
+                 pa.array([sketch(s) for s in sets], pa.binary())],
+                names=["kind", "a", "n", "s1", "s2", "sketch"],
             )
             waiting += sets
             held += int(sizes.sum())
@@ -183,7 +222,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
         if waiting:
             yield counted()
 
-    return docs.mapInArrow(run, "kind int, a long, n long, s1 long, s2 long")
+    return docs.mapInArrow(run, "kind int, a long, n long, s1 long, s2 long, sketch binary")
 
 
 def _prefixes(docs: DataFrame, k: int, percent: int, heavy: np.ndarray) -> DataFrame:
@@ -299,7 +338,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = sets.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
 
     prefixes = written(_prefixes(docs, k, percent, heavy), "gram-prefixes")
-    edges = grouped_links(prefixes, docs, k, percent, classes.select(F.col("rep").alias("doc")))
+    sketches = profiles.where("kind = 0").select(F.col("a").alias("doc"), "n", "sketch")
+    edges = grouped_links(prefixes, docs, k, percent, classes.select(F.col("rep").alias("doc")), sketches)
     found = components(edges)
     reps = classes.join(found, F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     own = sets.join(reps, ["n", "s1", "s2"], "left")
@@ -308,24 +348,34 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, reps: DataFrame | None = None, once: bool = False) -> DataFrame:
+def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, reps: DataFrame | None = None, sketches: DataFrame | None = None,
+                  once: bool = False) -> DataFrame:
     """(a, b): links that connect all similar sets which share a ``gram`` of ``prefixes`` (gram, doc, n, s1).
 
     ``s1`` is equal for documents with the same set; ``reps`` (doc) are the
     documents that stand for their set, the smallest id of each.  ``docs`` has
     their texts; ``once``: it repeats a document where its text repeats.
+    ``sketches`` (doc, n, sketch) let members go that cannot be similar to any
+    other of their group, before their texts are sent.
     """
     # an n-gram that only copies share has one set; its smallest document represents a class
     active = prefixes.groupBy("gram").agg(F.min("doc").alias("leader"), F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo != hi")
     members = prefixes.join(active, "gram").select("leader", "doc", _length_class(F.col("n"), percent).alias("class")).distinct()
     if reps is not None:
         members = members.join(reps, "doc", "left_semi")
+    # a group whose members are all in the group of one smaller leader adds no pair
+    members = written(members, "gram-members")
+    lowest = members.groupBy("doc").agg(F.min("leader").alias("lowest"))
+    inner = members.join(lowest, "doc").groupBy("leader").agg(F.min("lowest").alias("lo"), F.max("lowest").alias("hi"))
+    members = members.join(inner.where("lo != hi OR lo = leader").select("leader"), "leader")
     # a member needs another one of fitting length
     near = members.groupBy("leader", "class").agg(F.count(F.lit(1)).alias("m"))
     near = near.select("leader", "m", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"))
     near = near.groupBy("leader", "class").agg(F.sum("m").alias("m")).where("m > 1")
     members = written(members.join(near.select("leader", "class"), ["leader", "class"]), "gram-members")
 
+    if sketches is not None:
+        members = written(_plausible_members(members, sketches, percent), "gram-members")
     docs = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     docs = written(docs.dropDuplicates(["doc_id"]) if once else docs, "gram-texts")
 
@@ -351,6 +401,26 @@ def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, re
     return edges
 
 
+def _plausible_members(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``members`` without those that no other member of their group can be similar to; groups over ``SKETCHED`` stay whole."""
+    sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("_m"))
+    sized = members.join(sizes, "leader")
+    rows = sized.where(F.col("_m") <= SKETCHED).join(sketches.dropDuplicates(["doc"]), "doc").select("leader", "doc", "class", "n", "sketch")
+    rows = rows.repartition("leader").sortWithinPartitions("leader")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in key_groups(batches, "leader"):
+            keep = np.flatnonzero(plausible(group["n"], group["sketch"], percent)).tolist()
+            if keep:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([group[c][i] for i in keep], t) for c, t in (("leader", pa.int64()), ("doc", pa.int64()), ("class", pa.int32()))],
+                    names=["leader", "doc", "class"],
+                )
+
+    large = sized.where(F.col("_m") > SKETCHED).select("leader", "doc", "class")
+    return rows.mapInArrow(run, "leader long, doc long, class int").union(large)
+
+
 def _cross_blocks(members: DataFrame, links: list[DataFrame], docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between blocks of large groups: each document outside its group's main component against all blocks."""
     edges = links[0]
