@@ -212,3 +212,20 @@ def test_trees_learn_and_extraction_generalises():
     texts = html_extract.extract([s for s, _ in held], forest)
     assert np.mean([t == "\n".join(m) for t, (_, m) in zip(texts, held)]) > 0.88
     assert html_extract.extract([None, "", "<nav><a href=/>x</a></nav>"], forest)[:2] == ["", ""] and html_extract.extract([], forest) == []
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([5, 60, 1600]))
+def test_sketches_lose_no_similar_sets(seed, size):
+    rng = np.random.default_rng(seed)
+    sets = []
+    for base in rng.integers(1, 2**63, (3, size)).astype(np.uint64):
+        for _ in range(3):
+            other = rng.integers(1, 2**63, size).astype(np.uint64)
+            sets.append(np.unique(np.where(rng.random(size) < rng.uniform(0, 0.2), other, base)))
+    found = ngram_join.plausible([len(s) for s in sets], [ngram_join.sketch(s) for s in sets], 85)
+    for i, a in enumerate(sets):
+        if any(100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) for j, b in enumerate(sets) if j != i):
+            assert found[i]
+    full = [ngram_join.sketch(np.arange(n, dtype=np.uint64) * np.uint64(1024)) for n in (400, 3000)]
+    assert ngram_join.plausible([400, 3000], full, 85).all()  # full buckets bound nothing
