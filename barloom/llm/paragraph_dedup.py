@@ -5,8 +5,9 @@ bands are tuned for recall, and colliding paragraphs are verified by exact
 Jaccard similarity.  Connected components of verified pairs are the clusters;
 the first occurrence, by document and place, stays.
 
-A passage pasted into the middle of a longer line has no line of its own.
-Such lines are cut at shingles whose hash is least among their neighbours (the
+A passage pasted into the middle of a longer line has no line of its own, and
+one set in short lines has no paragraph.  So the words of the whole document,
+across line ends, are also cut at shingles whose hash is least among their neighbours (the
 MinHash of a short window, so the same words are cut at the same places
 wherever they stand); parts with the same words are exact copies, and a run of
 copied parts is removed when it is long enough.
@@ -29,7 +30,7 @@ from .wordhash import Words, mix, shingles, slices, words_of
 SHINGLE, PERCENT = 5, 80
 #: Bands of two rows each: a pair at the threshold is missed with probability (1 - 0.8**2)**5 < 0.7 %.
 BANDS, ROWS = 5, 2
-#: Shortest paragraph, and shortest run of copied parts of a line, that is removed (words).
+#: Shortest line that is a paragraph, and shortest run of copied parts of a document that is removed (words).
 LEAST_PARAGRAPH, LEAST_RUN = 20, 25
 #: A cut is the least hash among so many shingles on either side.
 REACH = 5
@@ -70,60 +71,59 @@ def _cuts(grams: np.ndarray, valid: np.ndarray) -> np.ndarray:
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """kind 0: a paragraph (key h); 1: a part of a longer line (key h); 2: a band (key h) of paragraph ``doc`` with n shingles."""
+    """kind 0: a paragraph (key h); 1: a part of a document (key h); 2: a band (key h) of paragraph ``doc`` with n shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions: dict = {}
         for part, texts in slices(batches, "text"):
             w = words_of(texts, lower=True, positions=positions)
-            first, last, begins, ends = _lines(w)
-            long = last - first >= LEAST_PARAGRAPH
-            first, last, begins, ends = first[long], last[long], begins[long], ends[long]
-            if not len(first):
-                continue
             ids = part.column(0).cast(pa.int64())
             known = ~np.asarray(ids.is_null())
             ids = np.asarray(ids.fill_null(0))
-            owner = w.owner[first]
-            keep = known[owner]
-            first, last, begins, ends, owner = first[keep], last[keep], begins[keep], ends[keep], owner[keep]
-            if not len(first):
-                continue
-            key = _line_keys(w, begins, ends).view(np.int64)
             grams = shingles(w.hash, SHINGLE)
-            # bands over each line's shingles
-            edges = np.stack((first, last - SHINGLE + 1), axis=1).reshape(-1)
-            fit = np.append(grams, np.uint64(2**64 - 1))
-            n_grams = last - first - SHINGLE + 1
             kinds, hs, docs_, ats, ns = [], [], [], [], []
 
             def add(kind, h, doc, at, n):
                 kinds.append(np.full(len(h), kind, np.int32)), hs.append(h), docs_.append(doc), ats.append(at), ns.append(n)
 
-            add(0, key, ids[owner], first - w.first[owner], last - first)
-            for band in range(BANDS):
-                value = np.full(len(first), np.uint64(band))
-                for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
-                    value = mix(value ^ np.minimum.reduceat(mix(fit * np.uint64(seed)), edges)[::2])
-                add(2, value.view(np.int64), key, np.zeros(len(first), np.int64), n_grams)
-            # parts between cuts
-            open_ = np.zeros(len(grams) + 1, np.int64)
-            np.add.at(open_, first, 1)
-            np.add.at(open_, last - SHINGLE + 1, -1)
-            cuts = _cuts(grams, np.cumsum(open_[:-1]) > 0)
-            bounds = np.unique(np.concatenate((first, cuts, last)))
-            inside = np.searchsorted(first, bounds, side="right") - 1
-            real = (inside >= 0) & (bounds < last[np.maximum(inside, 0)])
-            start = bounds[real]
-            line = inside[real]
-            stop = np.minimum(np.append(bounds, 0)[np.flatnonzero(real) + 1], last[line])
-            up, down = _powers(len(w.hash))
-            total = np.concatenate(([np.uint64(0)], np.cumsum(w.hash * up[:-1], dtype=np.uint64)))
-            value = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
-            add(1, value.view(np.int64), ids[owner[line]], start - w.first[owner[line]], stop - start)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x)) for x in (kinds, hs, docs_, ats, ns)], names=["kind", "h", "doc", "at", "n"]
-            )
+            first, last, begins, ends = _lines(w)
+            keep = (last - first >= LEAST_PARAGRAPH) & known[w.owner[first]]
+            first, last, begins, ends = first[keep], last[keep], begins[keep], ends[keep]
+            if len(first):
+                owner = w.owner[first]
+                key = _line_keys(w, begins, ends).view(np.int64)
+                # bands over each line's shingles
+                edges = np.stack((first, last - SHINGLE + 1), axis=1).reshape(-1)
+                fit = np.append(grams, np.uint64(2**64 - 1))
+                n_grams = last - first - SHINGLE + 1
+                add(0, key, ids[owner], first - w.first[owner], last - first)
+                for band in range(BANDS):
+                    value = np.full(len(first), np.uint64(band))
+                    for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
+                        value = mix(value ^ np.minimum.reduceat(mix(fit * np.uint64(seed)), edges)[::2])
+                    add(2, value.view(np.int64), key, np.zeros(len(first), np.int64), n_grams)
+            # parts between cuts, over the words of the whole document: a passage may be laid out in short lines
+            some = (w.first[1:] > w.first[:-1]) & known
+            first, last = w.first[:-1][some], w.first[1:][some]
+            if len(first):
+                open_ = np.zeros(len(grams) + 1, np.int64)
+                fits = last - first >= SHINGLE
+                np.add.at(open_, first[fits], 1)
+                np.add.at(open_, last[fits] - SHINGLE + 1, -1)
+                cuts = _cuts(grams, np.cumsum(open_[:-1]) > 0)
+                bounds = np.unique(np.concatenate((first, cuts, last)))
+                inside = np.searchsorted(first, bounds, side="right") - 1
+                real = (inside >= 0) & (bounds < last[np.maximum(inside, 0)])
+                start, doc = bounds[real], inside[real]
+                stop = np.minimum(np.append(bounds, 0)[np.flatnonzero(real) + 1], last[doc])
+                up, down = _powers(len(w.hash))
+                total = np.concatenate(([np.uint64(0)], np.cumsum(w.hash * up[:-1], dtype=np.uint64)))
+                value = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+                add(1, value.view(np.int64), ids[w.owner[start]], start - first[doc], stop - start)
+            if kinds:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(x)) for x in (kinds, hs, docs_, ats, ns)], names=["kind", "h", "doc", "at", "n"]
+                )
 
     return docs.mapInArrow(run, "kind int, h long, doc long, at long, n long")
 

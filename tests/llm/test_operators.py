@@ -239,6 +239,21 @@ def test_passages_inside_lines_and_near_copies(spark):
         assert got[i]["text"] == prose(25, 400 + i - 6) and got[i]["n_words_removed"] == 70
 
 
+def test_passages_in_short_lines(spark):
+    """A passage laid out in lines of ten words, and one with a short line inside, is a passage all the same."""
+    words = prose(60, 73).split()
+    wrapped = "\n".join(" ".join(words[i : i + 10]) for i in range(0, 60, 10))
+    broken = prose(22, 74) + "\n" + prose(6, 75) + "\n" + prose(22, 76)
+    texts = [prose(30, 700 + i) + "\n" + wrapped + "\n" + prose(30, 720 + i) for i in range(4)]
+    texts += ["\n".join((prose(12, 740 + i) + " " + broken + " " + prose(12, 760 + i)).split("\n")) for i in range(4)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in paragraph_dedup.dedup_paragraphs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["text"] == texts[0] and got[4]["text"] == texts[4]
+    for i in (1, 2, 3):
+        assert got[i]["n_words_removed"] >= 35 and " ".join(words[20:40]) not in " ".join(got[i]["text"].split())
+        assert got[i + 4]["n_words_removed"] >= 25 and prose(6, 75) not in got[i + 4]["text"]
+
+
 def test_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(40, 16))
