@@ -7,10 +7,11 @@ the first occurrence, by document and place, stays.
 
 A passage pasted into the middle of a longer line has no line of its own, and
 one set in short lines has no paragraph.  So the words of the whole document,
-across line ends, are also cut at shingles whose hash is least among their neighbours (the
-MinHash of a short window, so the same words are cut at the same places
-wherever they stand); parts with the same words are exact copies, and a run of
-copied parts is removed when it is long enough.
+across line ends, are also compared: of every ``WINDOW`` consecutive runs of
+``LEAST_RUN`` words the one with the least hash is an anchor.  Two places that
+share ``LEAST_RUN + WINDOW - 1`` = 49 words or more share an anchor, whatever
+stands around them.  Equal anchors are exact copies; those of one passage
+overlap or touch, and the united span is extended word by word on both sides.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -30,8 +31,10 @@ from .wordhash import Words, mix, shingles, slices, words_of
 SHINGLE, PERCENT = 5, 80
 #: Bands of two rows each: a pair at the threshold is missed with probability (1 - 0.8**2)**5 < 0.7 %.
 BANDS, ROWS = 5, 2
-#: Shortest line that is a paragraph, and shortest run of copied parts of a document that is removed (words).
+#: Shortest line that is a paragraph, and shortest copied run of a document that is removed (words).
 LEAST_PARAGRAPH, LEAST_RUN = 20, 25
+#: Runs of ``LEAST_RUN`` words of which one is an anchor; at most ``LEAST_RUN``, so that neighbouring anchors leave no gap.
+WINDOW = 25
 #: A cut is the least hash among so many shingles on either side.
 REACH = 5
 _BASE = 0xD1342543DE82EF95
@@ -60,7 +63,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cuts(grams: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Positions whose shingle hash is the least, leftmost of equals, within ``REACH`` on either side."""
+    """Positions whose shingle hash is the least, leftmost of equals, within ``REACH`` on either side (the operator uses :func:`_anchors`)."""
     top = np.uint64(2**64 - 1)
     h = np.where(valid, grams, top)
     least = valid.copy()
@@ -70,8 +73,32 @@ def _cuts(grams: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return np.flatnonzero(least)
 
 
+def _anchors(grams: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Positions, leftmost of equals, of the least hash of any ``WINDOW`` positions from a valid one on.
+
+    At least ``WINDOW - 1`` positions that are not valid follow the valid ones
+    of a document.  Windows that reach beyond count at a document's begin
+    only.  A position is left out if the hash also stands less than
+    ``LEAST_RUN`` positions before it: the text repeats itself there, and
+    what overlaps itself is no copy.
+    """
+    top = np.uint64(2**64 - 1)
+    h = np.concatenate((np.where(valid, grams, top), np.full(WINDOW, top)))
+    valid = np.concatenate((valid, np.zeros(WINDOW, bool)))
+    begins = valid.copy()
+    begins[1:] &= ~valid[:-1]
+    j = np.flatnonzero(valid[: -WINDOW + 1] & (valid[WINDOW - 1 :] | begins[: -WINDOW + 1]))
+    if not len(j):
+        return j
+    found = np.unique(j + np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1)[j])
+    again = np.zeros(len(found), bool)
+    for d in range(1, LEAST_RUN):
+        again |= (h[found] == h[found - d]) & (found >= d)
+    return found[~again]
+
+
 def _units(docs: DataFrame) -> DataFrame:
-    """kind 0: a paragraph (key h); 1: a part of a document (key h); 2: a band (key h) of paragraph ``doc`` with n shingles."""
+    """kind 0: a paragraph (key h); 1: n words of a document from an anchor on (key h); 2: a band (key h) of paragraph ``doc`` with n shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions: dict = {}
@@ -102,24 +129,27 @@ def _units(docs: DataFrame) -> DataFrame:
                     for seed in _SEEDS[band * ROWS : (band + 1) * ROWS]:
                         value = mix(value ^ np.minimum.reduceat(mix(fit * np.uint64(seed)), edges)[::2])
                     add(2, value.view(np.int64), key, np.zeros(len(first), np.int64), n_grams)
-            # parts between cuts, over the words of the whole document: a passage may be laid out in short lines
-            some = (w.first[1:] > w.first[:-1]) & known
-            first, last = w.first[:-1][some], w.first[1:][some]
-            if len(first):
-                open_ = np.zeros(len(grams) + 1, np.int64)
-                fits = last - first >= SHINGLE
-                np.add.at(open_, first[fits], 1)
-                np.add.at(open_, last[fits] - SHINGLE + 1, -1)
-                cuts = _cuts(grams, np.cumsum(open_[:-1]) > 0)
-                bounds = np.unique(np.concatenate((first, cuts, last)))
-                inside = np.searchsorted(first, bounds, side="right") - 1
-                real = (inside >= 0) & (bounds < last[np.maximum(inside, 0)])
-                start, doc = bounds[real], inside[real]
-                stop = np.minimum(np.append(bounds, 0)[np.flatnonzero(real) + 1], last[doc])
-                up, down = _powers(len(w.hash))
-                total = np.concatenate(([np.uint64(0)], np.cumsum(w.hash * up[:-1], dtype=np.uint64)))
-                value = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
-                add(1, value.view(np.int64), ids[w.owner[start]], start - first[doc], stop - start)
+            # anchors, over the words of the whole document: a passage may be laid out in short lines
+            runs = shingles(w.hash, LEAST_RUN)
+            open_ = np.zeros(len(runs) + 1, np.int64)
+            fits = known & (np.diff(w.first) >= LEAST_RUN)
+            np.add.at(open_, w.first[:-1][fits], 1)
+            np.add.at(open_, w.first[1:][fits] - LEAST_RUN + 1, -1)
+            at = _anchors(runs, np.cumsum(open_[:-1]) > 0)
+            if len(at):
+                doc = w.owner[at]
+                add(1, runs[at].view(np.int64), ids[doc], at - w.first[doc], np.full(len(at), LEAST_RUN, np.int64))
+                # where the text repeats itself anchors are rare: the words as far as the next one, or the end, are a unit too
+                stop = np.append(at[1:], 0) + LEAST_RUN
+                final = np.append(doc[1:] != doc[:-1], True)
+                stop[final] = w.first[doc[final] + 1]
+                far = stop - at >= LEAST_RUN + np.where(final, WINDOW, WINDOW + 1)
+                start, stop, doc = at[far], stop[far], doc[far]
+                if len(start):
+                    up, down = _powers(len(w.hash))
+                    total = np.concatenate(([np.uint64(0)], np.cumsum(w.hash * up[:-1], dtype=np.uint64)))
+                    value = mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64))
+                    add(1, value.view(np.int64), ids[doc], start - w.first[doc], stop - start)
             if kinds:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(x)) for x in (kinds, hs, docs_, ats, ns)], names=["kind", "h", "doc", "at", "n"]
@@ -152,21 +182,73 @@ def _later(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(first.select(key, "first"), key).where(F.struct("doc", "at") != F.col("first"))
 
 
-def cut_text(text: bytes, spans: list[tuple[int, int, int]], positions: dict | None = None) -> tuple[bytes, int, int]:
+def _copied_runs(parts: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, at, n, left, right): united spans of later copies; hashes of the words left and right of their first occurrence."""
+    by = ["doc", "doc0", "shift"]
+    later = _later(parts, "h").select("doc", "at", (F.col("at") + F.col("n")).alias("end"), F.col("first.doc").alias("doc0"), (F.col("at") - F.col("first.at")).alias("shift"))
+    order = Window.partitionBy(*by).orderBy("at", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("_new", F.coalesce((before < F.col("at")).cast("int"), F.lit(1)))
+    later = later.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = later.groupBy(*by, "_run").agg(F.min("at").alias("at"), F.max("end").alias("end"))
+    runs = written(runs.select("doc", "doc0", "at", "end", (F.col("at") - F.col("shift")).alias("at0"), (F.col("end") - F.col("shift")).alias("end0")), "copied-runs")
+    edges = runs.select("doc0", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("at0").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("end0").alias("pos")))).alias("e"))
+    # a text has at most two edges a word
+    asked = edges.distinct().groupBy("doc0").agg(F.collect_list("e").alias("edges"))
+    texts = docs.join(asked, docs["doc_id"] == asked["doc0"]).select("doc0", "text", "edges")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        positions: dict = {}
+        for part, texts in slices(batches, "text"):
+            w = words_of(texts, lower=True, positions=positions)
+            owners, sides, at, words = [], [], [], []
+            for i, (d, edges) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist())):
+                own = w.hash[w.first[i] : w.first[i + 1]]
+                for e in edges:
+                    side, pos = e["side"], e["pos"]
+                    owners.append(d), sides.append(side), at.append(pos)
+                    words.append((own[pos : pos + WINDOW] if side else own[max(pos - WINDOW, 0) : pos]).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owners, pa.int64()), pa.array(sides, pa.int32()), pa.array(at, pa.int64()), pa.array(words, pa.binary())],
+                names=["doc0", "side", "pos", "words"],
+            )
+
+    around = written(texts.mapInArrow(run, "doc0 long, side int, pos long, words binary").dropDuplicates(["doc0", "side", "pos"]), "copied-edges")
+    left = around.where("side = 0").select("doc0", F.col("pos").alias("at0"), F.col("words").alias("left"))
+    right = around.where("side = 1").select("doc0", F.col("pos").alias("end0"), F.col("words").alias("right"))
+    return runs.join(left, ["doc0", "at0"]).join(right, ["doc0", "end0"]).select("doc", "at", (F.col("end") - F.col("at")).alias("n"), "left", "right")
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many words two sequences have in common from their begin on."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def cut_text(text: bytes, spans: list[tuple], positions: dict | None = None) -> tuple[bytes, int, int]:
     """Text without the copied spans (kind, first word, words); words and spans removed.
 
+    A span may be followed by the hashes of the words left and right of its
+    first occurrence: it goes as far as they are the same here.
     Untouched lines stay as they are; a line that loses words keeps the rest,
     trimmed and joined by spaces; a line without words left goes.
     """
-    w = words_of([text], positions=positions)
+    w = words_of([text], lower=True, positions=positions)
     gone = np.zeros(len(w.hash) + 1, bool)
     removed = 0
-    parts = sorted((at, at + n) for kind, at, n in spans if kind == 1)
-    runs = [(at, at + n) for kind, at, n in spans if kind == 0]
+    parts, runs = [], []
+    for kind, at, n, *around in spans:
+        a, b = at, at + n
+        if around and around[0] is not None:
+            a -= _equal(np.frombuffer(around[0], np.uint64)[::-1], w.hash[:a][::-1])
+            b += _equal(np.frombuffer(around[1], np.uint64), w.hash[b:])
+        (parts if kind == 1 else runs).append((a, b))
+    parts.sort()
     begin = end = None
     for a, b in [*parts, (1 << 60, 1 << 60)]:
-        if end is not None and a == end:
-            end = b
+        if end is not None and a <= end:
+            end = max(end, b)
             continue
         if end is not None and end - begin >= LEAST_RUN:
             runs.append((begin, end))
@@ -215,13 +297,14 @@ def dedup_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bands = units.where("kind = 2").select(F.col("h").alias("gram"), "doc", "n", F.col("doc").alias("s1"))
     own = units.where("kind = 0").select("h", "doc", "at", "n")
     texts = _paragraphs(docs)
+    parts = _copied_runs(units.where("kind = 1").select("h", "doc", "at", "n"), docs)
     edges = grouped_links(bands, texts, SHINGLE, PERCENT, once=True)
     clusters = components(edges)
     occurrences = own.join(clusters, F.col("h") == F.col("id"), "left").select(F.coalesce("component", "h").alias("c"), "doc", "at", "n")
-    parts = units.where("kind = 1").select(F.col("h").alias("c"), "doc", "at", "n")
-    later = _later(occurrences, "c").select("doc", F.lit(0).alias("kind"), "at", "n")
-    later = later.union(_later(parts, "c").select("doc", F.lit(1).alias("kind"), "at", "n"))
-    spans = later.groupBy("doc").agg(F.collect_list(F.struct("kind", "at", "n")).alias("_spans"))
+    nothing = F.lit(None).cast("binary")
+    later = _later(occurrences, "c").select("doc", F.lit(0).alias("kind"), "at", "n", nothing.alias("left"), nothing.alias("right"))
+    later = later.union(parts.select("doc", F.lit(1).alias("kind"), "at", "n", "left", "right"))
+    spans = later.groupBy("doc").agg(F.collect_list(F.struct("kind", "at", "n", "left", "right")).alias("_spans"))
     types = dict(df.dtypes)
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *named)
     rows = rows.join(spans, rows["doc_id"].cast("long") == spans["doc"], "left").drop("doc")
@@ -237,7 +320,7 @@ def dedup_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             words, count = [0] * len(texts), [0] * len(texts)
             for i, spans in enumerate(batch.column(names.index("_spans")).to_pylist()):
                 if spans and texts[i]:
-                    texts[i], words[i], count[i] = cut_text(texts[i], [(s["kind"], s["at"], s["n"]) for s in spans], positions)
+                    texts[i], words[i], count[i] = cut_text(texts[i], [(s["kind"], s["at"], s["n"], s["left"], s["right"]) for s in spans], positions)
             extra = [n for n in names if n.startswith("_keep")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(count, pa.int64())]

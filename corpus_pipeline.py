@@ -27,8 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies; rows without an id stay."""
-    found = ngram_join.jaccard_components(docs)
+    """Keeps the document with the smallest id of each group of near copies (five-word shingles, similarity 0.8); rows without an id stay."""
+    found = ngram_join.jaccard_components(docs, k=5, percent=80)
     later = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 

@@ -166,6 +166,29 @@ def test_cuts_depend_on_the_words_around_only():
     assert inner(alone) == inner(other) and len(inner(alone)) > 10
 
 
+def test_passages_of_51_words_share_an_anchor():
+    """Whatever stands around them, at every place in a document, and where words repeat."""
+    rng = random.Random(12)
+    for trial in range(300):
+        passage = [f"w{rng.randrange(2000)}" for _ in range(51)] if trial % 10 else [f"w{i % (3 + trial // 10)}" for i in range(51)]
+        found = []
+        for side in "xy":
+            ws = [f"{side}{i}" for i in range(rng.randrange(60))] + passage + [f"{side}{i}" for i in range(60, 60 + rng.randrange(60))]
+            runs = shingles(words_of([" ".join(ws).encode()]).hash, paragraph_dedup.LEAST_RUN)
+            found.append(set(runs[paragraph_dedup._anchors(runs, np.ones(len(runs), bool))].tolist()))
+        assert found[0] & found[1]
+    same = shingles(words_of([b"word " * 200]).hash, paragraph_dedup.LEAST_RUN)
+    assert paragraph_dedup._anchors(same, np.ones(len(same), bool)).tolist() == [0]
+
+
+def test_cut_text_extends_to_the_words_around():
+    text = b" ".join(b"w%d" % i for i in range(60))
+    h = words_of([text]).hash
+    other = words_of([b"o p"]).hash
+    left, right = np.concatenate((other, h[7:10])).tobytes(), np.concatenate((h[40:44], other)).tobytes()
+    assert paragraph_dedup.cut_text(text, [(1, 10, 30, left, right)]) == (b" ".join(b"w%d" % i for i in [*range(7), *range(44, 60)]), 37, 1)
+
+
 def test_cut_text_keeps_the_rest():
     text = b"a b  c\n" + b" ".join(b"w%d" % i for i in range(60)) + b"\n\n tail  x\n"
     assert paragraph_dedup.cut_text(text, []) == (text, 0, 0)

@@ -254,6 +254,17 @@ def test_passages_in_short_lines(spark):
         assert got[i + 4]["n_words_removed"] >= 25 and prose(6, 75) not in got[i + 4]["text"]
 
 
+def test_passages_of_51_words_go_whole(spark):
+    """Every one, to its last word, in one long line with other words around it."""
+    texts = []
+    for i in range(60):
+        passage = prose(51, 5000 + i)
+        texts += [f"{prose(40, 5100 + i)} left{i}a {passage} right{i}a {prose(40, 5200 + i)}", f"{prose(40, 5300 + i)} left{i}b {passage} right{i}b {prose(40, 5400 + i)}"]
+    got = {r["doc_id"]: r for r in paragraph_dedup.dedup_paragraphs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i]["n_words_removed"] for i in range(120)] == [0, 51] * 60
+    assert all(got[2 * i + 1]["text"] == f"{prose(40, 5300 + i)} left{i}b right{i}b {prose(40, 5400 + i)}" for i in range(60))
+
+
 def test_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(40, 16))
