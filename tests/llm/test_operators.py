@@ -265,6 +265,22 @@ def test_passages_of_51_words_go_whole(spark):
     assert all(got[2 * i + 1]["text"] == f"{prose(40, 5300 + i)} left{i}b right{i}b {prose(40, 5400 + i)}" for i in range(60))
 
 
+def test_near_copies_of_the_pipeline(spark):
+    """Five-word shingles and a similarity of 0.8: a pair at 0.802 (0.839 with four words) is one, a pair at 0.785 is none."""
+    words = prose(460, 800).split()
+    rows = []
+    for i, edits in enumerate((0, 10, 11)):
+        changed = list(words)
+        for e in range(edits):
+            changed[20 + 40 * e] = f"edit{i}x{e}"
+        rows.append((i, " ".join(changed), "a", "s", 5))
+    sets = {k: [shingle_set(r[1], k) for r in rows] for k in (4, 5)}
+    similar = lambda k, j: len(sets[k][0] & sets[k][j]) / len(sets[k][0] | sets[k][j])
+    assert 0.80 <= similar(5, 1) < 0.816 and similar(4, 1) < 0.85 and similar(5, 2) < 0.80
+    docs = spark.createDataFrame(rows, ", ".join(f"{k} {v}" for k, v in KINDS.items()))
+    assert {r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, docs, "").collect()} == {0, 2}
+
+
 def test_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(40, 16))
