@@ -54,6 +54,16 @@ def _line_keys(w: Words, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return w.spans(begins, ends)
 
 
+def _distinct(grams: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many different values each span has."""
+    line = np.repeat(np.arange(len(begin)), end - begin)
+    value = grams[np.arange(len(line)) + np.repeat(begin - np.cumsum(end - begin) + (end - begin), end - begin)]
+    order = np.lexsort((value, line))
+    line, value = line[order], value[order]
+    new = np.append(True, (line[1:] != line[:-1]) | (value[1:] != value[:-1]))
+    return np.bincount(line[new], minlength=len(begin))
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     up = np.ones(n + 1, np.uint64)
     up[1:] = np.uint64(_BASE)
@@ -98,7 +108,7 @@ def _anchors(grams: np.ndarray, valid: np.ndarray) -> np.ndarray:
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """kind 0: a paragraph (key h); 1: n words of a document from an anchor on (key h); 2: a band (key h) of paragraph ``doc`` with n shingles."""
+    """kind 0: a paragraph (key h); 1: n words of a document from an anchor on (key h); 2: a band (key h) of paragraph ``doc`` with n different shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions: dict = {}
@@ -122,7 +132,7 @@ def _units(docs: DataFrame) -> DataFrame:
                 # bands over each line's shingles
                 edges = np.stack((first, last - SHINGLE + 1), axis=1).reshape(-1)
                 fit = np.append(grams, np.uint64(2**64 - 1))
-                n_grams = last - first - SHINGLE + 1
+                n_grams = _distinct(grams, first, last - SHINGLE + 1)
                 add(0, key, ids[owner], first - w.first[owner], last - first)
                 for band in range(BANDS):
                     value = np.full(len(first), np.uint64(band))

@@ -281,6 +281,16 @@ def test_near_copies_of_the_pipeline(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, docs, "").collect()} == {0, 2}
 
 
+def test_lines_that_repeat_words_keep_their_length_class(spark):
+    line = prose(60, 810)
+    longer = line + " " + " ".join(line.split()[30:])
+    docs = spark.createDataFrame([(1, line), (2, longer)], "doc_id long, text string")
+    bands = paragraph_dedup._units(docs).where("kind = 2").selectExpr("h AS gram", "doc", "n", "doc AS s1")
+    assert {r["n"] for r in bands.collect()} == {len(shingle_set(line, 5)), len(shingle_set(longer, 5))} == {56, 60}
+    links = ngram_join.grouped_links(bands, paragraph_dedup._paragraphs(docs), paragraph_dedup.SHINGLE, paragraph_dedup.PERCENT, once=True)
+    assert len({(min(r), max(r)) for r in links.collect()}) == 1
+
+
 def test_vectors(spark):
     r = np.random.default_rng(0)
     base = r.normal(size=(40, 16))
