@@ -6,8 +6,9 @@ Each vector, scaled to unit length, gets two kinds of random projections.
   such tables bring similar vectors into one cell with a calibrated recall and
   split the work.  K grows with the logarithm of the number of vectors, so
   cells stay small; T follows from K and the recall.
-* Inside a cell the other projections are read as sorted lines: a pair collides
-  on a line where one lies in the window centred on the other.  Pairs with
+* Inside a cell every pair is compared on the other projections, the lines,
+  which are not sorted: a pair collides on a line where one lies in the window
+  centred on the other.  Pairs with
   enough collisions, a number calibrated by the binomial law at the threshold,
   are verified by their cosine in double precision.
 
