@@ -11,9 +11,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are turned into word arrays at a time (a longer single text is taken alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _BASE = 0x9E3779B97F4A7C15
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -58,14 +59,17 @@ def _powers(n: int, base: int) -> np.ndarray:
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def words_of(texts: list[bytes], lower: bool = False, positions: dict | None = None) -> Words:
-    """Words of ``texts``; ``lower`` turns A-Z into a-z first (in ``data`` too)."""
+def words_of(texts: list[bytes], lower: bool = False, positions: dict | None = None, separators: np.ndarray = _WHITE) -> Words:
+    """Words of ``texts``; ``lower`` turns A-Z into a-z first (in ``data`` too).
+
+    ``separators`` flags the byte values between words, the newline among them.
+    """
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     offsets = np.concatenate(([0], np.cumsum(lengths)))
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     if lower:
         data = _LOWER[data]
-    white = _WHITE[data]
+    white = separators[data]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     if len(data) and not white[0]:
         edge = np.concatenate(([0], edge))
@@ -99,16 +103,17 @@ def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of batches with about ``SLICE_BYTES`` of text in ``column``, and the texts (null: empty)."""
+    """Parts of batches with about ``SLICE_BYTES`` of text in ``column``, and the texts (null: empty).
+
+    Only the texts of one part are Python objects at a time.
+    """
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
-        begin = size = 0
-        for i, t in enumerate(texts):
-            if t is None:
-                texts[i] = t = b""
-            if size and size + len(t) > SLICE_BYTES:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, size = i, 0
-            size += len(t) + 1
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+        data = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
+        sizes = pc.fill_null(pc.binary_length(data), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        ends = np.cumsum(sizes)
+        begin = done = 0
+        while begin < len(sizes):
+            stop = max(begin + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+            yield batch.slice(begin, stop - begin), [t or b"" for t in data.slice(begin, stop - begin).to_pylist()]
+            begin, done = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()
