@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, html_extract, language_id, ngram_join, packing, paragraph_dedup, periodic_runs, projection_join, quality_rules, sharding, spelling_variants, url_filter
+from . import bpe_transducer, html_extract, language_id, ngram_join, packing, paragraph_dedup, periodic_runs, projection_join, quality_rules, sharding, spelling_variants, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op11_letter_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_seeded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_suffix_repetition, op2_rendezvous_sharding, op3_best_fit_packing, op4_url_vocabulary, op5_paragraph_minhash, op6_bpe_transducer, op7_compression_language,
         op8_prefix_tree_join, op9_projection_collisions,
-        op10_dom_trees, op11_letter_trees, op13_seeded_runs,
+        op10_dom_trees, op11_letter_trees, op12_toxic_segments, op13_seeded_runs,
     )
 }
 ORACLE_SQL: dict[str, str] = {

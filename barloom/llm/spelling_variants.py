@@ -67,10 +67,14 @@ def bit_pattern(counts: np.ndarray) -> np.ndarray:
 class LetterTree:
     """k-d tree over letter counts: inner nodes (letter, count, low child, high child), leaves of at most ``leaf`` rows unless all rows are equal."""
 
-    def __init__(self, counts: np.ndarray, leaf: int):
-        self.nodes: list[tuple[int, int, int, int]] = []
-        self.rows: list[np.ndarray] = []  # rows of each leaf
-        self.root = self._built(counts, np.arange(len(counts)), leaf)
+    def __init__(self, nodes: list[tuple[int, int, int, int]], rows: list[np.ndarray], root: int):
+        self.nodes, self.rows, self.root = nodes, rows, root  # rows of each leaf
+
+    @classmethod
+    def of(cls, counts: np.ndarray, leaf: int) -> LetterTree:
+        tree = cls([], [], 0)
+        tree.root = tree._built(counts, np.arange(len(counts)), leaf)
+        return tree
 
     def _built(self, counts: np.ndarray, own: np.ndarray, leaf: int) -> int:
         """Node number; leaves are ~number."""
@@ -186,17 +190,18 @@ def upper_trees(vocabulary: DataFrame, sample: int, cell: int) -> dict[int, Lett
     leaf = max(int(cell * share), LEAST_SAMPLE if share < 1 else 1)
     trees = {}
     for length, words in by_length.items():
-        tree = LetterTree(letter_counts(code_points(words)), leaf)
-        tree.rows = [np.zeros(0, np.int64)] * len(tree.rows)
-        trees[length] = tree
+        tree = LetterTree.of(letter_counts(code_points(words)), leaf)
+        trees[length] = LetterTree(tree.nodes, [], tree.root)
     return trees
 
 
 def _routed(vocabulary: DataFrame, trees: dict[int, LetterTree]) -> DataFrame:
     """Each word in its cell (kind 0), and in the cells where near words of its length (kind 1) or one longer (kind 2) can be."""
-    sent = vocabulary.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
+    # bounded by the sample; plain tuples, so workers need no copy of this package
+    sent = vocabulary.sparkSession.sparkContext.broadcast({k: (t.nodes, t.root) for k, t in trees.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = {k: LetterTree(nodes, [], root) for k, (nodes, root) in sent.value.items()}
         for batch in batches:
             words, n = batch.column(0).to_pylist(), batch.column(1)
             lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -205,7 +210,7 @@ def _routed(vocabulary: DataFrame, trees: dict[int, LetterTree]) -> DataFrame:
                 counts = letter_counts(code_points([words[i] for i in at.tolist()]))
                 rows, cells, kinds = [], [], []
                 for kind, there, up, down in ((0, length, 0, 0), (1, length, 1, 1), (2, length + 1, 1, 0)):
-                    tree = sent.value.get(there)
+                    tree = trees.get(there)
                     for leaf, own in tree.visits(counts, up, down) if tree else [(0, np.arange(len(at)))]:
                         rows.append(at[own])
                         cells.append(np.full(len(own), there << 32 | leaf, np.int64))
@@ -259,7 +264,7 @@ def _searched(routed: DataFrame) -> DataFrame:
                 if tree is None:
                     points, n = code_points(held), np.array(held_n, np.int64)
                     vectors = letter_counts(points)
-                    tree, bits = LetterTree(vectors, LEAF), bit_pattern(vectors)
+                    tree, bits = LetterTree.of(vectors, LEAF), bit_pattern(vectors)
                 step = max(1, WALK_CHARS // points.shape[1])
                 for i in range(begin, end, step):
                     asked = words[i : min(i + step, end)]
