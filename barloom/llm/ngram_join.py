@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, key_groups, written
+from .common import components, drop_written, key_groups, written
 from .wordhash import mix, shingles, slices, words_of
 
 #: n-grams ordered last: at most so many, the most frequent ones of the corpus. It bounds what is sent to the tasks; results do not depend on it.
@@ -39,7 +39,7 @@ BLOCK = 128
 #: Members of a group that are compared by their sketches before any text is sent; buckets of a sketch, and of a large set's.
 SKETCHED, NARROW, WIDE, WIDE_FROM = 1024, 128, 1024, 1500
 #: n-grams that a task counts at a time, and the least count it passes on.
-COUNTED, COUNT_FROM = 4_000_000, 4
+COUNTED, COUNT_FROM = 1_000_000, 4
 
 
 def gram_sets(texts: list[bytes], k: int, positions: dict | None = None) -> Iterator[np.ndarray]:
@@ -340,6 +340,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prefixes = written(_prefixes(docs, k, percent, heavy), "gram-prefixes")
     sketches = profiles.where("kind = 0").select(F.col("a").alias("doc"), "n", "sketch")
     edges = grouped_links(prefixes, docs, k, percent, classes.select(F.col("rep").alias("doc")), sketches)
+    drop_written(prefixes)
     found = components(edges)
     reps = classes.join(found, F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     own = sets.join(reps, ["n", "s1", "s2"], "left")
@@ -358,13 +359,18 @@ def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, re
     ``sketches`` (doc, n, sketch) let members go that cannot be similar to any
     other of their group, before their texts are sent.
     """
-    # an n-gram that only copies share has one set; its smallest document represents a class
-    active = prefixes.groupBy("gram").agg(F.min("doc").alias("leader"), F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo != hi")
+    # an n-gram that one document holds, or (without ``reps``) only copies, makes no group; the narrower rows are, the less is shuffled
+    lone = "leader != hi" if reps is not None else "leader != hi AND lo != hi_set"
+    sums = [] if reps is not None else [F.min("s1").alias("lo"), F.max("s1").alias("hi_set")]
+    active = prefixes.groupBy("gram").agg(F.min("doc").alias("leader"), F.max("doc").alias("hi"), *sums).where(lone)
+    # written by itself: the shuffle of all n-grams is over before the n-grams of the next one come
+    active = written(active.select("gram", "leader"), "gram-shared")
     members = prefixes.join(active, "gram").select("leader", "doc", _length_class(F.col("n"), percent).alias("class")).distinct()
     if reps is not None:
         members = members.join(reps, "doc", "left_semi")
     # a group whose members are all in the group of one smaller leader adds no pair
-    members = written(members, "gram-members")
+    own = members = written(members, "gram-members")
+    drop_written(active)
     lowest = members.groupBy("doc").agg(F.min("leader").alias("lowest"))
     inner = members.join(lowest, "doc").groupBy("leader").agg(F.min("lowest").alias("lo"), F.max("lowest").alias("hi"))
     members = members.join(inner.where("lo != hi OR lo = leader").select("leader"), "leader")
@@ -373,16 +379,22 @@ def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, re
     near = near.select("leader", "m", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])).alias("class"))
     near = near.groupBy("leader", "class").agg(F.sum("m").alias("m")).where("m > 1")
     members = written(members.join(near.select("leader", "class"), ["leader", "class"]), "gram-members")
+    drop_written(own)
 
     if sketches is not None:
+        own = members
         members = written(_plausible_members(members, sketches, percent), "gram-members")
+        drop_written(own)
     docs = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
     docs = written(docs.dropDuplicates(["doc_id"]) if once else docs, "gram-texts")
 
     todo, links, cut = members, [], False
+    tables = [members, docs]
     while True:
         blocks = written(_blocks(todo), "gram-blocks")
+        tables.append(blocks)
         found = written(_compare(blocks.withColumn("probe", F.lit(False)), docs, k, percent), "gram-links")
+        tables.append(found)
         links.append(found.where("kind = 0").select("a", "b"))
         split = blocks.where("split").select("leader", "doc", "class").distinct()
         many = split.count()
@@ -391,6 +403,7 @@ def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, re
         cut = True
         handed = found.where("kind = 1").select(F.col("a").alias("doc"), F.col("b").alias("leader")).distinct()
         todo = written(split.join(handed, ["leader", "doc"], "left_semi"), "gram-handed")
+        tables.append(todo)
         if 2 * todo.count() > many:
             break
     if cut:
@@ -398,6 +411,9 @@ def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, re
     edges = links[0]
     for more in links[1:]:
         edges = edges.union(more)
+    edges = written(edges, "gram-edges")
+    for table in tables:
+        drop_written(table)
     return edges
 
 
