@@ -26,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of what a task remembers: encoded strings between spaces (and pieces), and arcs of the transducer.
-CHUNKS, ARCS = 300_000, 400_000
+#: Bounds of what a task remembers: characters of encoded strings between spaces (and of pieces), and arcs of the transducer.
+CHUNK_CHARS, ARCS = 4_000_000, 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -281,50 +281,89 @@ class Utf8Decoder:
         yield self.end()
 
 
+#: A piece, or what stands between two spaces: its tokens, their decimals joined by spaces, and what they decode to.
+Chunk = tuple[tuple[int, ...], str, str]
+
+
 class Codec:
-    """Whole texts: pieces by the split pattern; what was encoded is remembered up to a bound."""
+    """Whole texts: pieces by the split pattern; what was encoded and decoded is remembered up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, chunks: int = CHUNKS):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, chunk_chars: int = CHUNK_CHARS):
         self.fst = Transducer(ranks)
         self.decoder = Utf8Decoder(self.fst.bytes_of)
+        self.decimals = {i: str(i) for i in self.fst.bytes_of}
         self.split = regex.compile(pattern)
-        self.most = chunks
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def _pieces(self, text: str) -> tuple[tuple[int, ...], str]:
-        ids: list[int] = []
-        words = self.words
-        if len(words) > self.most:
-            words.clear()
-        for p in self.split.findall(text):
-            own = words.get(p)
-            if own is None:
-                own = words[p] = tuple(self.fst.encode(p.encode()))
-            ids += own
-        return tuple(ids), " ".join(map(str, ids))
+        self.most = chunk_chars
+        self.clear()
 
-    def encode(self, text: str) -> tuple[Sequence[int], str]:
-        """Tokens, and their decimals joined by spaces.
+    def clear(self) -> None:
+        self.held = 0
+        self.first: dict[str, Chunk] = {}  # from the begin of a text
+        self.later: dict[str, Chunk] = {}  # after a space
+        self.pieces: dict[str, Chunk] = {}
+
+    def _piece(self, piece: str) -> Chunk:
+        ids = tuple(self.fst.encode(piece.encode()))
+        whole, decimals = self.decoder.whole, self.decimals
+        try:
+            text = "".join([whole[i] for i in ids])
+        except KeyError:  # some token ends inside a character
+            text = self.decode(ids)
+        found = ids, " ".join([decimals[i] for i in ids]), text
+        if len(piece) < 256:
+            self.pieces[piece] = found
+            self.held += len(piece)
+        return found
+
+    def _chunk(self, text: str) -> Chunk:
+        pieces, known = self.split.findall(text), self.pieces
+        found = [known.get(p) or self._piece(p) for p in pieces]
+        if len(found) == 1:
+            return found[0]
+        return tuple(chain.from_iterable([f[0] for f in found])), " ".join([f[1] for f in found]), "".join([f[2] for f in found])
+
+    def _learn(self, parts: list[str]) -> bool:
+        """Remember the parts between spaces; False if the spaces do not start pieces, so that the text cannot be cut at them."""
+        later = self.later
+        new = [p for p in set(islice(parts, 1, None)) if p not in later]
+        # white space next to a space belongs to its piece
+        for p in (parts[0], *new):
+            if not p or p[0].isspace() or p[-1].isspace():
+                return False
+        for p in new:
+            later[p] = self._chunk(" " + p)
+            self.held += len(p)
+        if parts[0] not in self.first:
+            self.first[parts[0]] = self._chunk(parts[0])
+            self.held += len(parts[0])
+        return True
+
+    def chunks(self, text: str) -> list[Chunk]:
+        """The text in chunks that are encoded and decoded by themselves.
 
         A space between two characters that are not white space starts a
         piece, so what stands between such spaces is encoded, and remembered,
-        by itself.
+        by itself.  Its tokens spell whole characters, so its decoding ends
+        where the next one's begins.
         """
+        if self.held > self.most:
+            self.clear()
         parts = text.split(" ")
-        parts[1:] = [" " + p for p in parts[1:]]
-        seen = self.chunks
-        if len(seen) > self.most:
-            seen.clear()
-        for p in parts:
-            if p not in seen:
-                body = p[1:] if p[:1] == " " else p
-                # white space next to the space belongs to its piece: such a text is cut by the pattern alone
-                if len(parts) > 1 and (not body or body != body.strip()):
-                    return self._pieces(text)
-                seen[p] = self._pieces(p)
-        found = list(map(seen.__getitem__, parts))
-        return list(chain.from_iterable([f[0] for f in found])), " ".join([f[1] for f in found])
+        if len(parts) == 1:
+            return [self._chunk(text)]
+        try:
+            found = [self.first[parts[0]]]
+            found += map(self.later.__getitem__, islice(parts, 1, None))
+            return found
+        except KeyError:
+            if not self._learn(parts):
+                return [self._chunk(text)]
+        return [self.first[parts[0]], *map(self.later.__getitem__, islice(parts, 1, None))]
+
+    def encode(self, text: str) -> tuple[Sequence[int], str]:
+        """Tokens, and their decimals joined by spaces."""
+        found = self.chunks(text)
+        return list(chain.from_iterable([c[0] for c in found])), " ".join([c[1] for c in found])
 
     def decode(self, ids: Sequence[int]) -> str:
         return "".join(self.decoder.stream(ids))
@@ -336,8 +375,9 @@ def encode_documents(
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ``ids``) of every whole text.
 
     ``vocabulary`` is the path of a rank file; its ranks are broadcast (a fixed size).
-    Null texts count as empty; special tokens are ordinary text; repeated rows
-    are each encoded; other columns are ignored.
+    Null texts count as empty; special tokens are ordinary text; very long texts
+    are taken whole; repeated rows are each encoded; other columns are ignored;
+    an empty table gives no rows.
     """
     table = read_ranks(vocabulary)
     ranks = df.sparkSession.sparkContext.broadcast(table)
@@ -346,26 +386,31 @@ def encode_documents(
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of small tuples, no cycles
         # a Python worker runs many tasks: what one of them learnt serves the next
         kept = sys.modules.setdefault("_llm_codecs", ModuleType("_llm_codecs")).__dict__
         if kept.get("key") != (name, pattern):
             kept.update(key=(name, pattern), codec=Codec(ranks.value, pattern))
         codec = kept["codec"]
-        for batch in batches:
-            counts, hashes, decoded, lists = [], [], [], []
-            for text in batch.column(1):
-                ids, digits = codec.encode(text.as_py() or "")
-                counts.append(len(ids))
-                hashes.append(hashlib.sha256(digits.encode()).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small tuples, no cycles
+        try:
+            for batch in batches:
+                counts, hashes, decoded, lists = [], [], [], []
+                for text in batch.column(1):
+                    found = codec.chunks(text.as_py() or "")
+                    counts.append(sum([len(c[0]) for c in found]))
+                    hashes.append(hashlib.sha256(" ".join([c[1] for c in found]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256("".join([c[2] for c in found]).encode()).hexdigest())
+                    if with_ids:
+                        lists.append(list(chain.from_iterable([c[0] for c in found])))
+                out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    lists.append(ids)
-            out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                out, names = [*out, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+                    out, names = [*out, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+        finally:
+            if collecting:
+                gc.enable()
 
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
