@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import pandas as pd
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import guard_columns
 from ..plans.blocks import SCAN_BLOCK, BlockFrame
-from ..plans.fold import chunked_fold
 from ..plans.ranks import rank_by_time
+from ..plans.transfer import states_at_borders
 from ..session import materialise
 from .labels import event_outcomes
 
@@ -75,31 +76,72 @@ def select_non_overlapping(
     """Mark TAKEN / SKIPPED_OVERLAP by walking each scenario in order.
 
     An event is taken if its ``start`` index lies beyond the ``end`` of the
-    last taken one (``strict``), or at it.  The walk is cut into row blocks:
-    its whole state is one number, so a block is rerun only where the number
-    handed over differs from the one it assumed.
+    last taken one (``strict``), or at it; both are numbers and never null.
+    The walk is cut into row blocks.  What a block does to the end it is handed
+    is a small table (which event it lets in first, and where the walk from
+    there leaves the block), so the ends at all block borders come from
+    composing tables, in a number of rounds that grows with the logarithm of
+    the blocks; then all blocks mark their events side by side.
     """
     keys = list(keys)
     placed = rank_by_time(events, keys, order)
     types = dict(placed.dtypes)
     cols = [*keys, *[c for c in order if c not in keys], "_i"]
-    schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", portfolio_status string"
-
-    def step(pdf: pd.DataFrame, state: dict | None) -> tuple[pd.DataFrame, dict]:
-        busy = state["busy"] if state else None
+    slim = placed.select(*dict.fromkeys([*cols, start, end])).withColumn("_chunk", F.floor(F.col("_i") / size))
+    own = [*keys, "_chunk"]
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        pieces = _walk_table(*pdf.sort_values("_i")[[start, end]].to_numpy(object).T.tolist(), strict)
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in own}, "_table": [[{"upto": s, "out": e} for s, e in pieces]]})
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.select(*own).schema)
+    if slim.where("_chunk > 0").limit(1).count():
+        tables = slim.groupBy(*own).applyInPandas(table, f"{kind}, _table array<struct<upto:{types[start]},out:{types[end]}>>")
+        states = states_at_borders(tables, keys=keys, chunk="_chunk", table="_table", strict=strict)
+        known = [F.col(c).alias(f"_s{n}") for n, c in enumerate(own)]
+        states = states.select(*known, F.col("_state"))
+        same = F.col("_chunk") == F.col(f"_s{len(keys)}")
+        for n, c in enumerate(keys):
+            same &= F.col(c).eqNullSafe(F.col(f"_s{n}"))
+        ready = slim.join(states, same).drop(*[f"_s{n}" for n in range(len(own))])
+    else:
+        ready = slim.withColumn("_state", F.lit(None).cast(types[end]))
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        busy = pdf["_state"].iloc[0]
+        busy = None if pd.isna(busy) else busy
         marks = []
         for s, e in zip(pdf[start].tolist(), pdf[end].tolist()):
             free = busy is None or (s > busy if strict else s >= busy)
             marks.append("TAKEN" if free else "SKIPPED_OVERLAP")
             if free:
                 busy = e
-        return pdf[cols].assign(portfolio_status=marks), {"busy": busy}
+        return pdf[cols].assign(portfolio_status=marks)
 
-    slim = placed.select(*dict.fromkeys([*cols, start, end]))
-    marks = chunked_fold(slim, keys=keys, pos="_i", step=step, schema=schema, size=size)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in cols) + ", portfolio_status string"
+    marks = ready.groupBy(*own).applyInPandas(mark, schema)
     return events.join(marks.drop("_i"), cols[:-1])
 
 
+def _walk_table(starts: list, ends: list, strict: bool) -> list[tuple]:
+    """(start, end): a walk that comes with an end below ``start`` (``strict``; or at most it) leaves the events with the end beside it.
+
+    From the last event to the first, ``reach`` holds the events that a walk
+    from further left could enter first: each starts later than those before it.
+    """
+    reach: list = []  # negated starts, ascending: the nearest event is last
+    leaves: list = []
+    for s, e in zip(reversed(starts), reversed(ends)):
+        at = (bisect_left(reach, -e) if strict else bisect_right(reach, -e)) - 1
+        out = leaves[at] if at >= 0 else e
+        while reach and reach[-1] >= -s:
+            reach.pop(), leaves.pop()
+        reach.append(-s), leaves.append(out)
+    pieces = [(-s, e) for s, e in zip(reversed(reach), reversed(leaves))]
+    return [p for p, q in zip(pieces, [*pieces[1:], None]) if q is None or q[1] != p[1]]
+
+
 def equity_path(trades: DataFrame, *, keys: Sequence[str], r: str, order: Sequence[str], initial: float = 1.0,
                 alloc: float = 1.0, size: int = SCAN_BLOCK) -> DataFrame:
     """equity_before / equity_after / drawdown of a compounded trade sequence.

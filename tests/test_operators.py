@@ -17,7 +17,9 @@ from barloom.operators import quality as Q
 from barloom.operators import sampling as H
 from barloom.operators import screens as S
 from barloom.operators import structure as ST
+from barloom.plans import transfer
 from barloom.plans.blocks import with_position
+from barloom.session import materialise
 from barloom.sources import candles as C
 
 HOUR = 3600
@@ -178,6 +180,28 @@ def test_selection_matches_a_plain_walk_in_small_chunks(spark):
     assert got.portfolio_status.tolist() == want
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_selection_over_many_chunks_and_keys(spark, strict, monkeypatch):
+    rng = np.random.default_rng(5)
+    rounds = []
+    monkeypatch.setattr(transfer, "materialise", lambda df, name: (rounds.append(name), materialise(df, name))[1])
+    parts = []
+    for key, n, longest in (("a", 260, 5), ("b", 100, 40), ("c", 70, 1), ("d", 3, 5)):
+        # starts of the second series go back and forth; trades of the third never overlap, so that its walk visits every chunk
+        s = np.arange(n) + (rng.integers(0, 9, n) if key == "b" else 0)
+        parts.append(pd.DataFrame({"k": key, "id": [f"{i:04}" for i in range(n)], "timestamp": START + pd.to_timedelta(np.arange(n), unit="h"), "s": s, "e": s + rng.integers(0, longest, n)}))
+    got = E.select_non_overlapping(frame(spark, pd.concat(parts)), keys=["k"], start="s", end="e", order=["timestamp", "id"], strict=strict, size=4).toPandas()
+    for part in parts:
+        busy, want = None, []
+        for s, e in zip(part.s, part.e):
+            free = busy is None or (s > busy if strict else s >= busy)
+            want.append("TAKEN" if free else "SKIPPED_OVERLAP")
+            busy = e if free else busy
+        own = got[got.k == part.k.iloc[0]]
+        assert own.sort_values("id").portfolio_status.tolist() == want
+    assert len(rounds) == 1 + 7  # 65 chunks
+
+
 def test_equity_and_chain(spark):
     pdf = pd.DataFrame({"k": "a", "timestamp": START + pd.to_timedelta(np.arange(30), unit="h"), "net_return": np.random.default_rng(1).normal(0, 0.05, 30), "side": "LONG", "net_r": 0.1})
     path = E.equity_path(frame(spark, pdf), keys=["k"], r="net_return", order=["timestamp"], size=4)
