@@ -1,4 +1,4 @@
-"""Exact nearest neighbours by pruned cells."""
+"""Exact nearest neighbours in a k-d tree of written tables."""
 
 from __future__ import annotations
 
@@ -6,14 +6,47 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .ranks import rank_by_score
 
-CELL_ROWS = 2048
-MOST_CELLS = 4096
+#: Rows of a leaf, and children of an inner node.
+CELL_ROWS, FAN = 2048, 16
+
+
+def _tree(points: DataFrame, cols: list[str], by: list[str], id: str, cell_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The points with their leaf ``_cell``, and per level the children (at most ``FAN``) of each node with their boxes.
+
+    Every level cuts each node that is too large into equal parts by the rank
+    of one coordinate, the coordinates in turn; ranks, not values, are cut, so
+    tied coordinates do not make a large leaf.
+    """
+    clock = F.lit("1970-01-01").cast("timestamp_ntz")
+    own = materialise(points.select(*by, id, *cols, F.lit(0).cast("long").alias("_cell")), "kd-points")
+    depth = 0
+    while True:
+        sizes = own.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_all"))
+        if not sizes.where(F.col("_all") > cell_rows).limit(1).count():
+            break
+        ranked = rank_by_score(own.withColumn("_tie_at", clock), [*by, "_cell"], cols[depth % len(cols)], ["_tie_at", id])
+        fan = F.least(F.lit(FAN), F.ceil(F.col("_all") / cell_rows))
+        part = F.floor(F.col("_i") * fan / F.col("_all"))
+        own = materialise(ranked.join(sizes, [*by, "_cell"]).select(*by, id, *cols, (F.col("_cell") * FAN + part).cast("long").alias("_cell")), "kd-points")
+        depth += 1
+    lo, hi = [F.min(c).alias(f"lo_{i}") for i, c in enumerate(cols)], [F.max(c).alias(f"hi_{i}") for i, c in enumerate(cols)]
+    boxes = own.groupBy(*by, "_cell").agg(*lo, *hi, F.count(F.lit(1)).alias("n"))
+    sides = [f"{side}_{i}" for side in ("lo", "hi") for i in range(len(cols))]
+    levels = []
+    for _ in range(depth):
+        boxes = materialise(boxes, "kd-boxes")
+        up = boxes.withColumn("_up", F.floor(F.col("_cell") / FAN))
+        kids = up.groupBy(*by, "_up").agg(F.collect_list(F.struct("_cell", "n", *sides)).alias("_kids")).withColumnRenamed("_up", "_cell")
+        levels.append(kids)
+        edges = [(F.min if c.startswith("lo") else F.max)(c).alias(c) for c in sides]
+        boxes = up.groupBy(*by, "_up").agg(*edges, F.sum("n").alias("n")).withColumnRenamed("_up", "_cell")
+    return own, levels[::-1]
 
 
 def nearest(
@@ -21,44 +54,40 @@ def nearest(
 ) -> DataFrame:
     """(by, id, distance) of every query row to its nearest point with another id.
 
-    Points are cut into cells of ``cell_rows`` along the first column; a cell
-    is known by its bounding box.  A query first measures its nearest box,
-    which bounds the answer; then it visits only boxes closer than that bound.
-    So no two tables are paired whole, yet the result is exact.  Query rows of
-    a busy cell are salted over tasks.  The box list that travels with a query
-    row is bounded: beyond ``MOST_CELLS`` cells they grow instead.
+    A query goes down the tree to its nearest leaf, a join per level on the
+    node it is in; the distance found there bounds the answer.  Then it goes
+    down again into every box closer than that bound and visits those leaves.
+    So no two tables are paired whole, a query row carries one node at a time,
+    and the result is exact.  Query rows of a busy leaf are salted over tasks.
+    Points with a null coordinate are no one's neighbours; a query without
+    another point in its group has a null distance, one whose group has no
+    point no row.
     """
     by, cols = list(by), list(cols)
-    clock = F.lit("1970-01-01").cast("timestamp_ntz")
-    placed = rank_by_score(points.withColumn("_tie_at", clock), by, cols[0], ["_tie_at", id])
-    counts = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
-    width = F.greatest(F.lit(cell_rows), F.ceil(F.col("_all") / MOST_CELLS))
-    cells = materialise(
-        placed.join(counts, by).withColumn("_cell", F.floor(F.col("_i") / width)).select(*by, "_cell", id, *cols), "nn-cells"
-    )
-    box = F.struct(*[F.min(c).alias(f"lo_{i}") for i, c in enumerate(cols)], *[F.max(c).alias(f"hi_{i}") for i, c in enumerate(cols)])
-    boxes = cells.groupBy(*by, "_cell").agg(box.alias("_b"), F.count(F.lit(1)).alias("_n"))
-    lists = boxes.groupBy(*by).agg(F.collect_list(F.struct("_cell", "_b", "_n")).alias("_boxes"))
-    q = queries.select(*by, F.col(id).alias("_qid"), *cols).join(lists, by)
-
-    def gap(b):
+    whole = points
+    for c in cols:
+        whole = whole.where(F.col(c).isNotNull())
+    cells, levels = _tree(whole, cols, by, id, cell_rows)
+
+    def gap(kid: Column) -> Column:
         total = F.lit(0.0)
         for i, c in enumerate(cols):
-            d = F.greatest(b["_b"][f"lo_{i}"] - F.col(c), F.col(c) - b["_b"][f"hi_{i}"], F.lit(0.0))
+            d = F.greatest(kid[f"lo_{i}"] - F.col(c), F.col(c) - kid[f"hi_{i}"], F.lit(0.0))
             total = total + d * d
         return F.sqrt(total)
 
-    # a box holding only the query itself gives no bound, so it needs two rows to be the first choice
-    reach = F.array_sort(F.transform("_boxes", lambda b: F.struct(F.when(b["_n"] > 1, gap(b)).otherwise(F.lit(1e308)).alias("d"), b["_cell"].alias("c"))))
-    q = materialise(q.withColumn("_home", F.get(reach, 0)["c"]), "nn-queries")
-    first = _visit(q.withColumn("_cell", F.col("_home")).drop("_boxes", "_home"), cells, cols, by, id)
-    bound = materialise(first, "nn-bound")
-    rest = (
-        q.join(bound, [*by, "_qid"])
-        .withColumn("_go", F.filter("_boxes", lambda b: (b["_cell"] != F.col("_home")) & (gap(b) < F.coalesce(F.col("_d"), F.lit(1e308)))))
-        .withColumn("_cell", F.explode(F.transform("_go", lambda b: b["_cell"])))
-        .select(*by, "_qid", *cols, "_cell")
-    )
+    q = queries.select(*by, F.col(id).alias("_qid"), *cols).join(cells.select(*by).distinct(), by, "left_semi").withColumn("_cell", F.lit(0).cast("long"))
+    for kids in levels:
+        # a box with a single row may hold the query alone, which gives no bound
+        order = F.transform("_kids", lambda k: F.struct(F.when(k["n"] > 1, gap(k)).otherwise(F.lit(1e308)).alias("d"), k["_cell"].alias("c")))
+        q = q.join(kids, [*by, "_cell"]).withColumn("_cell", F.array_min(order)["c"]).drop("_kids")
+    q = materialise(q, "nn-queries")
+    bound = materialise(_visit(q, cells, cols, by, id), "nn-bound")
+    rest = q.join(bound, [*by, "_qid"]).withColumnRenamed("_cell", "_home").withColumn("_cell", F.lit(0).cast("long"))
+    for kids in levels:
+        near = F.filter("_kids", lambda k: gap(k) < F.coalesce(F.col("_d"), F.lit(1e308)))
+        rest = rest.join(kids, [*by, "_cell"]).withColumn("_cell", F.explode(F.transform(near, lambda k: k["_cell"]))).drop("_kids")
+    rest = materialise(rest.where("_cell != _home").select(*by, "_qid", *cols, "_cell"), "nn-visits")
     both = bound.unionByName(_visit(rest, cells, cols, by, id))
     return both.groupBy(*by, "_qid").agg(F.min("_d").alias("distance")).withColumnRenamed("_qid", id)
 

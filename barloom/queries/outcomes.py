@@ -317,13 +317,13 @@ def _(spark, d):
     """SELECT event_id, duration_bars, fav / entry_raw * 100 AS mfe_pct, adv / entry_raw * 100 AS mae_pct FROM (
         SELECT event_id, duration_bars, entry_raw, greatest(0, CASE WHEN side = 'LONG' THEN hi - entry_raw ELSE entry_raw - lo END) AS fav, greatest(0, CASE WHEN side = 'LONG' THEN entry_raw - lo ELSE hi - entry_raw END) AS adv FROM (
         SELECT a.symbol || '_' || a.pos AS event_id, CAST(13 + a.pos % 60 AS INTEGER) AS duration_bars, any_value(a.open) AS entry_raw, CASE WHEN a.pos % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side,
-          max(b.high) AS hi, min(b.low) AS lo FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.pos BETWEEN a.pos AND a.pos + 12 + a.pos % 60 WHERE a.pos % 7 = 0
+          max(b.high) AS hi, min(b.low) AS lo FROM bars a JOIN bars b ON a.symbol = b.symbol AND b.pos BETWEEN a.pos AND a.pos + 12 + a.pos % 60
         GROUP BY a.symbol, a.pos HAVING count(*) = 13 + a.pos % 60 AND max(b.timestamp) - min(b.timestamp) = to_hours(CAST(12 + a.pos % 60 AS INTEGER))))""",
     "mfe_pct mae_pct",
 )
 def _(spark, d):
     bars = bars_1h(spark, d)
-    start = bars.filter("pos % 7 = 0").withColumn("duration_bars", (F.lit(13) + F.col("pos") % 60).cast("int"))
+    start = bars.withColumn("duration_bars", (F.lit(13) + F.col("pos") % 60).cast("int"))
     # holds without a gap: the last held bar, by index, is duration - 1 hours after the first
     last = bars.select("symbol", (F.col("pos")).alias("_last"), F.col("timestamp").alias("_end"))
     whole = start.join(last, (start["symbol"] == last["symbol"]) & (F.col("_last") == F.col("pos") + F.col("duration_bars") - 1)).drop(last["symbol"])

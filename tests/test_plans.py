@@ -139,6 +139,26 @@ def test_nearest_matches_brute_force(spark):
         np.testing.assert_allclose(got.loc[x.id].to_numpy(), d.min(axis=1))
 
 
+def test_nearest_neighbours_with_tied_coordinates(spark):
+    from barloom.plans import neighbours
+
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"u": 1.0, "v": rng.integers(0, 4, 360).astype(float), "w": rng.normal(size=360), "g": np.where(np.arange(360) < 350, "m", "n"), "id": [f"i{i}" for i in range(360)]})
+    df = spark.createDataFrame(pdf)
+    points = df.filter("g = 'm' OR id = 'i350'").withColumn("w", F.when(F.col("id") == "i3", F.lit(None).cast("double")).otherwise(F.col("w")))
+    got = nearest(df, points, ["u", "v", "w"], by=["g"], id="id", cell_rows=4).toPandas().set_index("id").distance
+    assert len(got) == 360 and np.isnan(got["i350"])
+    for g, x in pdf.groupby("g"):
+        pts = x[(x.id != "i3") & ((x.g == "m") | (x.id == "i350"))]
+        d = np.sqrt(((x[["u", "v", "w"]].to_numpy()[:, None] - pts[["u", "v", "w"]].to_numpy()[None]) ** 2).sum(2))
+        d[x.id.to_numpy()[:, None] == pts.id.to_numpy()[None]] = np.inf
+        want = d.min(axis=1)
+        np.testing.assert_allclose(got.loc[x.id].to_numpy(), np.where(np.isinf(want), np.nan, want))
+    cells, levels = neighbours._tree(points.where("w IS NOT NULL"), ["u", "v", "w"], ["g"], "id", 4)
+    assert len(levels) == 2 and cells.groupBy("g", "_cell").count().agg(F.max("count")).first()[0] <= 4
+    assert all(k.agg(F.max(F.size("_kids"))).first()[0] <= neighbours.FAN for k in levels)
+
+
 def test_values_of_one_row_need_no_cross_join(spark):
     from barloom.operators.sampling import quartile_periods
     from barloom.plans.quantiles import quantiles
