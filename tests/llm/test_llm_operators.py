@@ -375,5 +375,5 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_registered():
     names, sqls = set(entry.queries()), set(entry.oracle_sql())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
-    assert {n for n in sqls if n.startswith("op")} == {"op1_suffix_repetition", "op2_rendezvous_sharding", "op4_url_vocabulary", "op8_prefix_tree_join"}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{i}" for i in range(1, 14)} and "pipeline" in names
+    assert {n for n in sqls if n.startswith("op")} == {"op1_suffix_repetition", "op2_rendezvous_sharding", "op4_url_vocabulary", "op8_prefix_tree_join", "op11_letter_trees", "op13_seeded_runs"}
