@@ -8,7 +8,8 @@ from typing import NamedTuple
 
 import numpy as np
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+OPENING = re.compile(r"""<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/><"']*))""")
+STOP = re.compile("""[>"']""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose contents are no page text.
@@ -50,6 +51,9 @@ class Page(NamedTuple):
 
 
 _SPLIT = re.compile(r"[^a-z]+")
+#: Leading zeros of numeric references, and references to more than any code point.
+_ZEROS = re.compile(r"&#(?:([xX])0+(?=[0-9a-fA-F])|0+(?=[0-9]))")
+_BEYOND = re.compile(r"&#(?:[xX][0-9a-fA-F]{7,}|[0-9]{8,});?")
 
 
 def _groups(attributes: str) -> int:
@@ -63,10 +67,92 @@ def _groups(attributes: str) -> int:
     return found
 
 
+class Tokens:
+    """Tags and comments of a page from left to right, in time linear in its length.
+
+    A tag ends at the first ``>`` outside quotes; where quotes or tags are left
+    open, the ``<`` is text.  What a search found, or found missing, is kept
+    for the searches that start behind it, and a quote from which no tag's end
+    was reached is not followed again.
+    """
+
+    def __init__(self, source: str):
+        self.source = source
+        self.next_of: dict[str, tuple[int, int]] = {}  # by character: searched from, found at (the size: none)
+        self.stop = (0, -1)
+        self.lost: set[int] = set()
+
+    def index(self, what: str, at: int) -> int:
+        """First place of ``what`` from ``at`` on, or the size."""
+        since, found = self.next_of.get(what, (0, -1))
+        if not since <= at <= found:
+            found = self.source.find(what, at)
+            found = len(self.source) if found < 0 else found
+            self.next_of[what] = (at, found)
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes start at ``at``, or -1."""
+        source, size = self.source, len(self.source)
+        first, seen = True, []
+        while True:
+            since, stop = self.stop
+            if not (first and since <= at <= stop):
+                m = STOP.search(source, at)
+                stop = m.start() if m else size
+                if first:
+                    self.stop = (at, stop)
+            first = False
+            if stop == size or stop in self.lost:
+                break
+            if source[stop] == ">":
+                return stop
+            seen.append(stop)
+            close = self.index(source[stop], stop + 1)
+            if close == size:
+                break
+            at = close + 1
+        self.lost.update(seen)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str, str, str]:
+        """(start, end, slash, name, attributes) of the next token; comments have no name, no token starts at the size."""
+        source, size = self.source, len(self.source)
+        start = source.find("<", at)
+        while start >= 0:
+            m = OPENING.match(source, start)
+            if m:
+                if m[1]:
+                    end = self.index("-->", m.end())
+                    return start, min(end + 3, size), "", "", ""
+                if not m[3]:
+                    end = self.index(">", m.end())
+                    if end < size:
+                        return start, end + 1, "", "", ""
+                else:
+                    end = self.end_of_tag(m.end())
+                    if end >= 0:
+                        return start, end + 1, m[2], m[3].lower(), source[m.end() : end]
+            start = source.find("<", start + 1)
+        return size, size, "", "", ""
+
+
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers beyond all code points are U+FFFD."""
+    if "&#" in text:
+        text = _BEYOND.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+    return html.unescape(text)
+
+
 def parse(source: str) -> Page:
-    """Nodes of a page; markup that is wrong or left open is taken as browsers roughly do."""
+    """Nodes of a page; markup that is wrong or left open is taken as browsers roughly do.
+
+    Time is linear in the length, however deep the nesting and however broken the tags.
+    """
     page = Page([-1], [TAG_OF["body"]], [0], [None], [0])
     stack: list[tuple[str, int]] = [("#root", 0)]  # open elements: name, node (inline ones: the node they are in)
+    opened: dict[str, list[int]] = {}  # places on the stack by name
+    tokens = Tokens(source)
     run: list[str] = []
     linked = depth_a = dropped = 0
     at, size = 0, len(source)
@@ -74,7 +160,7 @@ def parse(source: str) -> Page:
     def close_block() -> None:
         nonlocal linked
         if run:
-            text = " ".join(html.unescape("".join(run)).split())
+            text = " ".join(unescaped("".join(run)).split())
             if text:
                 page.parent.append(stack[-1][1]), page.tag.append(TAGS.index("text")), page.groups.append(0)
                 page.text.append(text), page.links.append(min(linked, len(text)))
@@ -86,34 +172,35 @@ def parse(source: str) -> Page:
         if any(name in BLOCK for name, _ in stack[index:]):
             close_block()
         for name, _ in stack[index:]:
+            opened[name].pop()
             depth_a -= name == "a"
             dropped -= name in DROPPED
         del stack[index:]
 
+    def push(name: str, node: int) -> None:
+        opened.setdefault(name, []).append(len(stack))
+        stack.append((name, node))
+
+    def innermost(names) -> int:
+        return max([places[-1] for n in names if (places := opened.get(n))], default=-1)
+
     def find(names, bounds=()) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in bounds:
-                break
-        return -1
+        """Place of the innermost open element of these names, unless one of the bounds is nearer; else -1."""
+        i = innermost(names)
+        return i if i > innermost(bounds) else -1
 
     while at < size:
-        m = TOKEN.search(source, at)
-        piece = source[at : m.start() if m else size]
+        start, end, slash, name, attributes = tokens.after(at)
+        piece = source[at:start]
         if piece and not dropped:
             run.append(piece)
             if depth_a:
                 linked += len(piece)
-        if not m:
-            break
-        at = m.end()
-        name = m[2]
+        at = end
         if not name:
             continue
-        name = name.lower()
-        if m[1]:
-            i = find({name})
+        if slash:
+            i = find((name,))
             if i > 0:
                 pop_to(i)
             elif name == "br":
@@ -127,28 +214,27 @@ def parse(source: str) -> Page:
                     run.append(" ")
             continue
         if name in RAW:
-            end = re.compile(f"</{name}(?=[\\s/>])[^>]*>", re.I).search(source, at)
-            at = end.end() if end else size
+            end = re.compile(f"</{name}(?=[\\s/>])", re.I).search(source, at)
+            close = source.find(">", end.end()) if end else -1
+            at = close + 1 if close >= 0 else size
             continue
         if name == "body" and dropped:
-            i = find({"head"})
+            i = find(("head",))
             if i > 0:
                 pop_to(i)
         if name in BLOCK:
             if (i := find({"p"}, {"button", "td", "th", "table"})) > 0:
                 pop_to(i)
-            if name in CLOSES and (i := find(*CLOSES[name])) > 0:
-                while (j := find(*CLOSES[name])) > 0:
-                    i = j
-                    pop_to(i)
+            while name in CLOSES and (i := find(*CLOSES[name])) > 0:
+                pop_to(i)
             close_block()
             if not dropped:
-                page.parent.append(stack[-1][1]), page.tag.append(TAG_OF[name]), page.groups.append(_groups(m[3]))
+                page.parent.append(stack[-1][1]), page.tag.append(TAG_OF[name]), page.groups.append(_groups(attributes))
                 page.text.append(None), page.links.append(0)
-            stack.append((name, len(page.parent) - 1 if not dropped else stack[-1][1]))
+            push(name, len(page.parent) - 1 if not dropped else stack[-1][1])
         else:
-            if not m[3].endswith("/"):
-                stack.append((name, stack[-1][1]))
+            if not attributes.endswith("/"):
+                push(name, stack[-1][1])
                 depth_a += name == "a"
                 dropped += name in DROPPED
     close_block()
@@ -179,27 +265,32 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             own[i, :3] = len(t), t.count(" ") + 1, t.count(".") + t.count(",") + t.count("!") + t.count("?") + t.count(";")
     own[:, 3] = np.concatenate([np.array(p.links) for p in pages])
     own[:, 4] = tag == TAGS.index("p")
-    depth = np.zeros(n, np.int64)
-    # parents come first, so depths follow in one pass over the levels
-    pending = np.flatnonzero(parent != np.arange(n))
-    known = np.zeros(n, bool)
-    known[roots] = True
-    while len(pending):
-        ready = known[parent[pending]]
-        now = pending[ready]
-        depth[now] = depth[parent[now]] + 1
-        known[now] = True
-        pending = pending[~ready]
+    # nodes stand in the order of their start tags, so a subtree is a stretch of rows
+    size = [1] * n
+    for i, above_i in zip(range(n - 1, -1, -1), reversed(parent.tolist())):
+        if above_i != i:
+            size[above_i] += size[i]
+    here = np.arange(n)
+    end = here + size
+
+    def under(columns: np.ndarray) -> np.ndarray:
+        """Sums over the nodes below each node."""
+        sums = np.vstack((np.zeros((1, columns.shape[1]), columns.dtype), np.cumsum(columns, axis=0, dtype=columns.dtype)))
+        return sums[end] - sums[here + 1]
+
+    def over(columns: np.ndarray) -> np.ndarray:
+        """Sums over the nodes above each node."""
+        steps = np.zeros((n + 1, columns.shape[1]), np.int32)
+        steps[here + 1] += columns
+        np.subtract.at(steps, end, columns)
+        return np.cumsum(steps, axis=0, dtype=np.int32)[:n]
+
+    depth = over(np.ones((n, 1), np.int32))[:, 0]
     total = np.column_stack((own, np.ones(n)))
-    above = groups.copy()
-    above_tag = np.zeros((n, len(TAGS)), bool)
-    by_depth = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
-    for own_level in reversed(by_depth[1:]):
-        np.add.at(total, parent[own_level], total[own_level])
-    for own_level in by_depth[1:]:
-        above[own_level] |= above[parent[own_level]]
-        above_tag[own_level] = above_tag[parent[own_level]]
-        above_tag[own_level, tag[parent[own_level]]] = True
+    total += under(total)
+    has_group = ((groups[:, None] >> np.arange(N_GROUPS)) & 1).astype(np.int32)
+    has_tag = np.eye(len(TAGS), dtype=np.int32)[tag]
+    above_tag = over(has_tag) > 0
     children = np.bincount(parent, minlength=n) - (parent == np.arange(n))
     order = np.argsort(parent, kind="stable")
     place = np.empty(n)
@@ -215,9 +306,5 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         total[:, 2] / np.maximum(total[:, 1], 1), np.log1p(total[:, 5]), np.log1p((chars[parent] - chars) / siblings),
         same[2][same[1]] / siblings, density[parent], np.log1p(total[:, 4]),
     ))
-    bits = np.arange(N_GROUPS)
-    inside = np.zeros(n, np.int64)
-    for own_level in reversed(by_depth[1:]):
-        np.bitwise_or.at(inside, parent[own_level], inside[own_level] | groups[own_level])
-    flags = [((g[:, None] >> bits) & 1).astype(float) for g in (groups, above & ~groups, inside)]
-    return np.hstack((numbers, np.eye(len(TAGS))[tag], above_tag.astype(float), *flags)), parent, first
+    flags = [has_group.astype(float), ((over(has_group) > 0) & (has_group == 0)).astype(float), (under(has_group) > 0).astype(float)]
+    return np.hstack((numbers, has_tag.astype(float), above_tag.astype(float), *flags)), parent, first

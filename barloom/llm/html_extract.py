@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .boosted_trees import Forest, fit
 from .html_dom import TAGS, Page, features, parse
 
-#: Pages of the generated training sample, its seed, and pages that are scored at a time.
-TRAINING_PAGES, SEED, AT_ONCE = 400, 7, 200
+#: Pages of the generated training sample, its seed; pages and characters that are scored at a time (a longer page by itself).
+TRAINING_PAGES, SEED, AT_ONCE, CHARS_AT_ONCE = 400, 7, 200, 2_000_000
 
 
 def decode(page: Page, keep: np.ndarray) -> list[str]:
@@ -218,8 +218,9 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     Null or empty pages have empty text, as have pages without main text.
     White space inside a block is one space; blocks are joined by newlines.
-    Repeated rows are each extracted; other columns are ignored.  The model is
-    fitted on ``TRAINING_PAGES`` generated pages, so it does not depend on the
+    Repeated rows are each extracted; other columns are ignored; an empty table
+    gives no rows.  Very long pages are read whole, in time linear in their
+    length.  The model is fitted on ``TRAINING_PAGES`` generated pages, so it does not depend on the
     input.
     """
     sent = df.sparkSession.sparkContext.broadcast(forest or train())
@@ -227,9 +228,17 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(at, AT_ONCE)
-                texts = extract(part.column(2).to_pylist(), sent.value)
+            at = 0
+            while at < batch.num_rows:
+                sources, held, end = [], 0, at
+                while end < batch.num_rows and end - at < AT_ONCE and held < CHARS_AT_ONCE:
+                    source = batch.column(2)[end].as_py() or ""
+                    if sources and held + len(source) > CHARS_AT_ONCE:
+                        break
+                    sources.append(source)
+                    held, end = held + len(source), end + 1
+                part, at = batch.slice(at, end - at), end
+                texts = extract(sources, sent.value)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],

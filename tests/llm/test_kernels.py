@@ -1,6 +1,7 @@
 """Parts that run inside tasks, against definitions by brute force."""
 
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -202,6 +203,51 @@ def test_dom_reads_broken_markup():
     page = html_dom.parse("<P>one<p>two &amp; <b>three<br>four<div>x<script>var a='<p>no</p>'</script>y</div></b>&eacute;<!-- z --><ul><li>p<li>q</ul><img alt='>'>end<")
     assert [t for t in page.text if t] == ["one", "two & three four", "xy", "é", "p", "q", "end<"]
     assert [t for t in html_dom.parse("").text if t] == [] and html_dom.parse("<a <b>").parent == [-1]
+    assert [t for t in html_dom.parse("a&#00065;&#x000042;&#0;&#99999999999999;&#" + "1" * 5000 + ";b").text if t] == ["aAB\ufffd\ufffd\ufffdb"]
+
+
+def test_reader_of_pages_is_linear():
+    n = 40_000
+    for source, text in (
+        ("<div>" * n + "deep" + "</div>" * n, ["deep"]), ("<a '" * n, ["<a '" * (n - 1) + "<a '"]), ("<a \"'" * n, None), ("<a " * n, None), ("<a" * n, None),
+        ("<b>" * n + "</i>" * n + "x", ["x"]), ("<table><tr><td>" * n + "x", ["x"]), ("<script>" + "</script " * n, []), ("<!-" * n, ["<!-" * n]),
+        ("<p class='" + 'id="' * n + "'>x", ["x"]), ("&#0" * n + ";", None),
+    ):
+        began = time.process_time()
+        page = html_dom.parse(source)
+        html_dom.features([page])
+        assert time.process_time() - began < 10, source[:30]
+        if text is not None:
+            assert [t.replace(" ", "") for t in page.text if t] == [t.replace(" ", "") for t in text], source[:30]
+
+
+def test_sums_over_subtrees_and_ancestors():
+    page = html_dom.parse("<nav id=menu>a <b>b</b><div class='post ad'>c, d.<p>e</p></div></nav><div>f<ul><li>g<li>h</ul></div>")
+    x, parent, _ = html_dom.features([page, page])
+    n, names = len(page.parent), {name: i for i, name in enumerate(html_dom.NUMBERS)}
+    assert parent.tolist() == [max(p, 0) for p in page.parent] + [max(p, 0) + n for p in page.parent]
+    for i in range(n):
+        above, at = [], i
+        while page.parent[at] >= 0:
+            at = page.parent[at]
+            above.append(at)
+        below = [j for j in range(i + 1, n) if i in _chain(page.parent, j)]
+        assert x[i, names["depth"]] == x[n + i, names["depth"]] == len(above)
+        assert np.isclose(x[i, names["nodes"]], np.log1p(len(below) + 1))
+        assert np.isclose(x[i, names["log_chars"]], np.log1p(sum(len(page.text[j] or "") for j in (i, *below))))
+        tags = len(html_dom.NUMBERS) + len(html_dom.TAGS)
+        assert {t for t in range(len(html_dom.TAGS)) if x[i, tags + t]} == {page.tag[j] for j in above}
+        flags = [{g for g in range(html_dom.N_GROUPS) if x[i, tags + len(html_dom.TAGS) + k * html_dom.N_GROUPS + g]} for k in range(3)]
+        bits = lambda nodes: {g for g in range(html_dom.N_GROUPS) for j in nodes if page.groups[j] >> g & 1}
+        assert flags == [bits([i]), bits(above) - bits([i]), bits(below)]
+
+
+def _chain(parent: list[int], i: int) -> list[int]:
+    out = []
+    while parent[i] >= 0:
+        i = parent[i]
+        out.append(i)
+    return out
     assert all(p < i for i, p in enumerate(page.parent))
 
 
