@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.asof import Right, asof_join
 from ..plans.blocks import SCAN_BLOCK, BlockFrame, epoch_us, shift_time, with_position
-from ..plans.fold import chunked_fold
+from ..plans.turns import folded_turns
+from ..session import materialise
 from .bars import HOUR, resample_ohlcv
 from .indicators import flag, snapshots, true_range
 
@@ -260,8 +261,31 @@ def zigzag_pct(
             out.insert(i, c, pdf[c].iloc[0])
         return out, end
 
-    cols = bars.select(*names, "pos", at, "high", "low", "close")
-    return chunked_fold(cols, keys=names, pos="pos", step=step, schema=schema, size=size)
+    def searching(top: tuple | None, bottom: tuple | None) -> dict | None:
+        return top and {"mode": "SEEK", "hi": top[1], "hi_at": top[0], "lo": bottom[1], "lo_at": bottom[0], "high": None, "low": None}
+
+    def following(side: int, mark: int, price: float, ref: float | None) -> dict:
+        of = {"mode": "UP", "hi": price, "hi_at": mark} if side > 0 else {"mode": "DOWN", "lo": price, "lo_at": mark}
+        return of | {"high": None, "low": None}
+
+    events, several = folded_turns(
+        bars.select(*names, "pos", at, "high", "low", "close"), keys=names, pos="pos", mark=epoch_us(F.col(at)),
+        thresholds=(F.col("high") * (1 - f), F.col("low") * (1 + f)), ref=None, turn_first=False, search_own=False,
+        searching=searching, following=following, step=step, schema=schema, size=size,
+    )
+    if not several:
+        return events.drop("_chunk")
+    # the first event of its kind in a chunk is classed against the last one of the chunks before
+    events = materialise(events, "zigzag")
+    ends = events.groupBy(*names, "_chunk", "kind").agg(F.max_by("price", "confirmation_at").alias("_last"))
+    order = Window.partitionBy(*names, "kind").orderBy("_chunk")
+    ends = ends.select(*names, "_chunk", "kind", F.lag("_last").over(order).alias("_before"))
+    named = F.lit(None)
+    for kind, side in (("HIGH", "high"), ("LOW", "low")):
+        named = F.when(F.col("kind") == kind, _class(side, F.col("price"), F.col("_before"))).otherwise(named)
+    first = (F.col("label") == "FIRST") & F.col("_before").isNotNull()
+    out = events.join(ends, [*names, "_chunk", "kind"]).withColumn("label", F.when(first, named).otherwise(F.col("label")))
+    return out.select(*names, *[c.split()[0] for c in ZIGZAG_PCT_SCHEMA.split(", ")])
 
 
 ZIGZAG_ATR_FIELDS = [
@@ -351,7 +375,31 @@ def zigzag_atr(
             out.insert(i, c, pdf[c].iloc[0])
         return out, end
 
-    out = chunked_fold(rows, keys=seg, pos="pos", step=run, schema=schema, size=size)
+    def searching(top: tuple | None, bottom: tuple | None) -> dict | None:
+        found = {"up": top and [top[1], top[0], top[2]], "dn": bottom and [bottom[1], bottom[0], bottom[2]]}
+        return {"mode": "SEEK", **found, "last_high": None, "last_low": None, "at": None}
+
+    def following(side: int, mark: int, price: float, ref: float) -> dict:
+        own = {"mode": "UP", "up": [price, mark, ref], "dn": None} if side > 0 else {"mode": "DOWN", "dn": [price, mark, ref], "up": None}
+        return own | {"last_high": None, "last_low": None, "at": None}
+
+    sound = lambda c: F.when((F.col("atr") > 0) & ~F.isnan("atr"), c)
+    out, several = folded_turns(
+        rows, keys=seg, pos="pos", mark=F.col("pos"), ref=F.col("atr"), turn_first=True, search_own=True,
+        thresholds=(sound(F.col("high") - F.lit(reversal_atr) * F.col("atr")), sound(F.col("low") + F.lit(reversal_atr) * F.col("atr"))),
+        searching=searching, following=following, step=run, schema=schema, size=size,
+    )
+    if several:
+        # what was confirmed in the chunks before
+        out = materialise(out, "zigzag")
+        carried = ("zz_last_high", "zz_last_low", "_at")
+        ends = out.withColumn("_at", F.col("pos") - F.col("zz_age_bars")).groupBy(*seg, "_chunk").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(f"_{c}") for c in carried])
+        past = Window.partitionBy(*seg).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        ends = ends.select(*seg, "_chunk", *[F.last(f"_{c}", ignorenulls=True).over(past).alias(f"_{c}") for c in carried])
+        out = out.join(ends, [*seg, "_chunk"])
+        out = out.withColumns({c: F.coalesce(c, f"_{c}") for c in carried[:2]} | {"zz_age_bars": F.coalesce("zz_age_bars", F.col("pos") - F.col("__at"))})
+        out = out.drop(*[f"_{c}" for c in carried])
+    out = out.drop("_chunk")
     close_of = lambda p: F.timestamp_micros(
         epoch_us(F.col("seg")) + p * step * 1_000_000
     ).cast("timestamp_ntz")
