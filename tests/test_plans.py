@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from barloom.plans.asof import Right, asof_join
 from barloom.plans.blocks import BlockFrame, Ewm, span, with_position
-from barloom.plans.fold import chunked_fold
 from barloom.plans.neighbours import nearest
 from barloom.plans.quantiles import quantiles
 from barloom.plans.ranks import rank_by_hash, rank_by_score
@@ -111,21 +110,6 @@ def test_ranks(spark):
     assert r1.sort_values("id")._i.tolist() != r2.sort_values("id")._i.tolist()
 
 
-def test_fold_in_small_chunks_equals_one_pass(spark):
-    """A machine with long memory: the fix-up rounds must reach the sequential result."""
-    pdf = pd.DataFrame({"k": "a", "pos": np.arange(100), "x": np.r_[50.0, np.arange(99) % 10]})
-
-    def step(rows, state):
-        top, out = (state["top"] if state else -1.0), []
-        for x in rows.x.tolist():
-            top = max(top, x)
-            out.append(top)
-        return rows[["k", "pos"]].assign(top=out), {"top": top}
-
-    got = chunked_fold(spark.createDataFrame(pdf), keys=["k"], pos="pos", step=step, schema="k string, pos long, top double", size=9)
-    assert got.orderBy("pos").toPandas().top.tolist() == pdf.x.cummax().tolist()
-
-
 def test_nearest_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     p = rng.normal(size=(300, 3))
