@@ -324,17 +324,17 @@ def dedup_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions: dict = {}
-        for batch in batches:
-            names = batch.schema.names
-            texts = batch.column(names.index("_text")).cast(pa.binary()).to_pylist()
+        for part, texts in slices(batches, "_text"):
+            names = part.schema.names
+            known = np.asarray(part.column(names.index("_text")).is_valid())
             words, count = [0] * len(texts), [0] * len(texts)
-            for i, spans in enumerate(batch.column(names.index("_spans")).to_pylist()):
+            for i, spans in enumerate(part.column(names.index("_spans")).to_pylist()):
                 if spans and texts[i]:
                     texts[i], words[i], count[i] = cut_text(texts[i], [(s["kind"], s["at"], s["n"], s["left"], s["right"]) for s in spans], positions)
             extra = [n for n in names if n.startswith("_keep")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(count, pa.int64())]
-                + [batch.column(names.index(n)) for n in extra],
+                [part.column(0), pa.array(texts, pa.binary(), mask=~known).cast(pa.string()), pa.array(words, pa.int64()), pa.array(count, pa.int64())]
+                + [part.column(names.index(n)) for n in extra],
                 names=["doc_id", "text", "n_words_removed", "n_spans_removed", *extra],
             )
 
