@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import LABELS, outcome_of, right_closed
 from ..plans.blocks import BlockFrame, epoch_us, with_position
+from ..plans.moments import sliding_correlation
 from ..plans.quantiles import cell_offsets, melt, quantiles, with_cells
 from ..plans.single import with_values
+from ..session import materialise
 from .bars import HOUR, calendar
 
 TP_R, SL_R = 1.5, -1.0
@@ -481,27 +483,60 @@ def yearly_pair_correlation(bars: DataFrame, *, least: int = 100) -> DataFrame:
     return per.select("year", "a", "b", "common_hours", F.when(F.col("common_hours") >= least, F.col("_c")).alias("correlation"))
 
 
-def rolling_pair_correlation(bars: DataFrame, *, window: int, coverage: float = 0.98) -> DataFrame:
-    """Median / p10 / p90 of the rolling correlation of every symbol pair.
+def pair_correlation_matrix(bars: DataFrame, *, least: int = 1000, key: str = "symbol") -> DataFrame:
+    """Common hours and return correlation of all symbols over the whole period: the upper triangle with its diagonal.
+
+    A pair with fewer than ``least`` common hours has no correlation.
+    """
+    r = _returns(bars, [key])
+    a = r.select(F.col(key).alias("a"), "timestamp", F.col("r").alias("ra"))
+    b = r.select(F.col(key).alias("b"), "timestamp", F.col("r").alias("rb"))
+    per = a.join(b, "timestamp").filter(F.col("a") <= F.col("b")).groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("common_hours"), corr(F.col("ra"), F.col("rb")).alias("_c")
+    )
+    return per.select("a", "b", "common_hours", F.when(F.col("common_hours") >= least, F.col("_c")).alias("correlation"))
+
 
-    The frame is ``window`` calendar hours, at every hour of the calendar; it
-    counts only with enough shared bars.  Hour blocks with a halo of one window
-    keep each task bounded.
+def _rolling(pairs: DataFrame, keys: Sequence[str], bars: DataFrame, window: int, coverage: float) -> DataFrame:
+    """Quantiles of the correlation over ``window`` calendar hours, at every hour of the bars' calendar.
+
+    A window counts if it lies inside the calendar and enough of its hours are
+    known on both sides.
     """
     import math
 
-    least = math.ceil(window * coverage)
-    pairs = pair_returns(bars)
-    grid = calendar(pairs, HOUR, keys=["a", "b"], bounds=bars).join(pairs, ["a", "b", "timestamp"], "left")
+    keys = list(keys)
+    grid = calendar(pairs, HOUR, keys=keys, bounds=bars).join(pairs, [*keys, "timestamp"], "left")
     start = bars.agg(F.min("timestamp").alias("_t0"))
     hours = (epoch_us(F.col("timestamp")) - epoch_us(F.col("_t0"))) / (HOUR * 1_000_000)
     placed = with_values(grid, start).withColumn("_h", hours.cast("long")).drop("_t0")
-    bf = BlockFrame(placed, ["a", "b"], pos="_h", before=window - 1, size=max(1024, 4 * window))
-    w = bf.frame(-(window - 1), 0)
-    bf.with_columns({"_n": F.count("ra").over(w), "_c": corr(F.col("ra"), F.col("rb"), w)})
-    rows = bf.own().filter((F.col("_n") >= least) & (F.col("_h") >= window - 1) & F.col("_c").isNotNull())
-    q = quantiles(rows, ["a", "b"], "_c", {"p10": 0.1, "median": 0.5, "p90": 0.9})
-    return q.select("a", "b", F.lit(window).alias("window_hours"), F.col("n").alias("windows"), "p10", "median", "p90")
+    rows = sliding_correlation(placed, keys, "_h", "ra", "rb", window)
+    rows = rows.filter((F.col("n") >= math.ceil(window * coverage)) & (F.col("_h") >= window - 1) & F.col("correlation").isNotNull())
+    return quantiles(rows.drop("n"), keys, "correlation", {"p10": 0.1, "median": 0.5, "p90": 0.9}).withColumnRenamed("n", "windows")
+
+
+def rolling_pair_correlation(bars: DataFrame, *, window: int, coverage: float = 0.98) -> DataFrame:
+    """Median / p10 / p90 of the rolling correlation of every symbol pair."""
+    pairs = materialise(pair_returns(bars), "pairs")
+    q = _rolling(pairs, ["a", "b"], bars, window, coverage)
+    return q.select("a", "b", F.lit(window).alias("window_hours"), "windows", "p10", "median", "p90")
+
+
+def rolling_base_correlation(bars: DataFrame, *, base: str, days: Sequence[int] = (30, 90), coverage: float = 0.98, key: str = "symbol") -> DataFrame:
+    """Median / p10 / p90 of the rolling correlation of every symbol with ``base``, itself included.
+
+    A symbol without a full window has a row of no windows and null quantiles.
+    """
+    r = _returns(bars, [key])
+    other = r.filter(F.col(key) == base).select("timestamp", F.col("r").alias("rb"))
+    pairs = materialise(r.withColumnRenamed("r", "ra").join(other, "timestamp"), "base-pairs")
+    names = bars.select(key).distinct()
+    out = None
+    for d in days:
+        q = names.join(_rolling(pairs, [key], bars, d * 24, coverage), key, "left")
+        q = q.select(key, F.lit(d).alias("window_days"), F.coalesce("windows", F.lit(0)).cast("long").alias("windows"), "p10", "median", "p90")
+        out = q if out is None else out.union(q)
+    return out
 
 
 def robust_scaled(rows: DataFrame, ref: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:

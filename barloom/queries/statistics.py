@@ -10,7 +10,7 @@ from ..plans.quantiles import quantiles
 from ..session import stage
 from .registry import cte, query
 from .sampling import folds, periods
-from .tables import HOUR, bars_1h, labeled, splits, trades, valid_candidates
+from .tables import HOUR, bars_1h, dense_bars, labeled, splits, trades, valid_candidates
 
 KEYS = ["rsi14", "atr14_pct", "volume_ratio", "distance_ema20_pct", "volatility_24h", "trend_alignment"]
 _by_feature = lambda src, sel, grp: " UNION ALL ".join(
@@ -586,6 +586,71 @@ def _(spark, d):
     return made.filter("efficiency is not null").select("symbol", "timestamp", "efficiency")
 
 
+# the longer market: full windows of the diversity report
+cte("dense_pairs", "SELECT a.symbol AS a, b.symbol AS b, a.timestamp, a.r AS ra, b.r AS rb FROM dense_rets a JOIN dense_rets b ON a.timestamp = b.timestamp WHERE a.r IS NOT NULL AND b.r IS NOT NULL")
+cte(
+    "dense_grid",
+    """SELECT k.a, k.b, g.timestamp, p.ra, p.rb FROM (SELECT x.symbol AS a, y.symbol AS b FROM (SELECT DISTINCT symbol FROM dense) x, (SELECT DISTINCT symbol FROM dense) y) k
+       CROSS JOIN (SELECT unnest(generate_series((SELECT min(timestamp) FROM dense), (SELECT max(timestamp) FROM dense), INTERVAL 1 HOUR)) AS timestamp) g
+       LEFT JOIN dense_pairs p ON p.a = k.a AND p.b = k.b AND p.timestamp = g.timestamp""",
+)
+
+
+def _dense_windows(days: int, where: str) -> str:
+    """Correlation at every hour with a full window of ``days`` days; null without."""
+    w = days * 24
+    return f"""SELECT a, b, CASE WHEN n >= ceil({w} * 0.98::DOUBLE) AND h >= {w} THEN c END AS c FROM (
+       SELECT a, b, count(ra) OVER w AS n, corr(ra, rb) OVER w AS c, row_number() OVER (PARTITION BY a, b ORDER BY timestamp) AS h FROM dense_grid WHERE {where}
+       WINDOW w AS (PARTITION BY a, b ORDER BY timestamp ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW))"""
+
+
+BASE = "a = 'A'"
+DENSE_QUANTILES = "count(c) AS windows, quantile_cont(c, 0.1::DOUBLE) AS p10, quantile_cont(c, 0.5::DOUBLE) AS median, quantile_cont(c, 0.9::DOUBLE) AS p90"
+
+
+@query(
+    "rolling_pair_correlation_days",
+    " UNION ALL ".join(f"SELECT a, b, {n * 24} AS window_hours, {DENSE_QUANTILES} FROM ({_dense_windows(n, 'a < b')}) WHERE c IS NOT NULL GROUP BY a, b" for n in (30, 90)),
+    "p10 median p90",
+)
+def _(spark, d):
+    """Every pair over 30 and 90 days, 98 % of the hours known."""
+    one, two = (T.rolling_pair_correlation(dense_bars(spark, d), window=n * 24) for n in (30, 90))
+    return one.union(two)
+
+
+@query(
+    "rolling_base_correlation",
+    " UNION ALL ".join(f"SELECT b AS symbol, {n} AS window_days, {DENSE_QUANTILES} FROM ({_dense_windows(n, BASE)}) GROUP BY b" for n in (30, 90)),
+    "p10 median p90",
+)
+def _(spark, d):
+    """Every symbol against one base symbol over 30 and 90 days."""
+    return T.rolling_base_correlation(dense_bars(spark, d), base="A")
+
+
+@query(
+    "pair_correlation_matrix",
+    "SELECT a, b, count(*) AS common_hours, CASE WHEN count(*) >= 1000 THEN corr(ra, rb) END AS correlation FROM dense_pairs WHERE a <= b GROUP BY ALL",
+    "correlation",
+)
+def _(spark, d):
+    return T.pair_correlation_matrix(dense_bars(spark, d))
+
+
+@query(
+    "median_directional_efficiency",
+    """SELECT symbol, count(*) AS bars, quantile_cont(e, 0.5::DOUBLE) AS median_efficiency FROM (
+       SELECT symbol, spos, abs(ln(close / lag(close, 168) OVER w)) / nullif(sum(abs(r)) OVER (w ROWS BETWEEN 167 PRECEDING AND CURRENT ROW), 0) AS e
+       FROM dense_rets WINDOW w AS (PARTITION BY symbol, seg ORDER BY spos)) WHERE spos >= 168 AND e IS NOT NULL GROUP BY symbol""",
+    "median_efficiency",
+)
+def _(spark, d):
+    """Median of the net move over path length of 168 hours, by symbol."""
+    made = I.directional_efficiency(dense_bars(spark, d))
+    return T.quantiles(made, ["symbol"], "efficiency", {"median_efficiency": 0.5}).withColumnRenamed("n", "bars")
+
+
 NN = ["atr14_pct", "rsi14", "4h_rsi14", "4h_atr14_pct", "distance_ema200_pct", "ema50_200_spread_pct", "volume_ratio", "trend_alignment"]
 cte(
     "nn_scale",

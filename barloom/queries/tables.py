@@ -418,3 +418,31 @@ cte(
        SELECT s.*, exp(sum(ln(1 + 0.1::DOUBLE * net_return)) OVER (PARTITION BY symbol, split ORDER BY rn)) AS equity_after
        FROM seq s JOIN walk USING (symbol, split, rn)) WINDOW w AS (PARTITION BY symbol, split ORDER BY rn)""",
 )
+
+
+def dense_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second, longer market: one symbol per return flag, one ship day of ``lineitem`` as one hour, mean unit price as close."""
+
+    def build() -> DataFrame:
+        hours = F.datediff(F.col("l_shipdate"), F.lit("1995-01-01").cast("date"))
+        stamp = F.timestamp_seconds(F.lit(946_684_800) + hours * HOUR).cast("timestamp_ntz")
+        return (
+            table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("symbol"), stamp.alias("timestamp"))
+            .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
+        )
+
+    return stage(spark, sf_dir, "dense_bars", build)
+
+
+cte(
+    "dense",
+    """SELECT l_returnflag AS symbol, TIMESTAMP '2000-01-01' + to_hours(date_diff('day', TIMESTAMP '1995-01-01', l_shipdate)) AS timestamp,
+       avg(l_extendedprice / l_quantity) AS close, sum(l_quantity) AS volume FROM lineitem GROUP BY ALL""",
+)
+# gap-free runs: within one, time minus row number is constant
+cte(
+    "dense_runs",
+    """SELECT *, row_number() OVER (PARTITION BY symbol, seg ORDER BY timestamp) - 1 AS spos FROM (
+       SELECT *, timestamp - to_hours(row_number() OVER (PARTITION BY symbol ORDER BY timestamp)) AS seg FROM dense)""",
+)
+cte("dense_rets", "SELECT symbol, seg, spos, timestamp, close, ln(close / lag(close) OVER (PARTITION BY symbol, seg ORDER BY spos)) AS r FROM dense_runs")
