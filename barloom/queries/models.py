@@ -80,4 +80,4 @@ def _(spark, d):
     path = scratch(spark, "stream-input")
     bars_1h(spark, d).select("symbol", "known_at", "high", "low", "close").write.parquet(path)
     raw = spark.readStream.schema("symbol string, known_at timestamp_ntz, high double, low double, close double").parquet(path)
-    return run_to_parquet(stream_zigzag(raw, pct=1.0), scratch(spark, "stream-zigzag"))
+    return run_to_parquet(stream_zigzag(raw, pct=1.0, late="0 seconds"), scratch(spark, "stream-zigzag"))
