@@ -7,7 +7,9 @@ into fixed-size blocks, and
 * bounded frames read a halo of neighbouring rows copied into each block,
 * unbounded scans (running last / sum / max) run inside blocks and add a carry
   computed from one summary row per block,
-* exponential averages do the same with a decaying carry.
+* exponential averages guess each block's carry from decaying sums and repeat
+  the recursion from there until every block starts where the one before ended,
+  so they equal one pass over the series bit by bit.
 
 Every stage shuffles the rows once by (keys, block).  Stages with a carry cut
 the lineage there (see ``cut``), so a chain of them costs the sum of its parts.
@@ -16,11 +18,13 @@ the lineage there (see ``cut``), so a chain of them costs the sum of its parts.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 
@@ -107,7 +111,7 @@ def with_position(
 
 @dataclass(frozen=True)
 class Ewm:
-    """Recursion e_t = (1-alpha) e_(t-1) + alpha x_t, seeded at row ``start``.
+    """Recursion e_t = e_(t-1) + (x_t - e_(t-1)) alpha, seeded at row ``start``.
 
     ``x`` must be non-null from ``start`` on.  The result is null before
     ``start`` and, if ``min_periods`` is given, for its first rows; masking
@@ -129,6 +133,29 @@ def _horner(decay: float):
     return lambda acc, x: acc * decay + x
 
 
+def _recurrence(pos: str, specs: Mapping[str, Ewm]) -> Callable[[pa.Table], dict[str, list[float]]]:
+    """Function of a block in order: states of each average after every row; ``_c_<out>`` is the state before the first.
+
+    It holds plain values only, so workers need no copy of this package.
+    """
+    plain = [(out, s.x, s.seed or s.x, s.alpha, s.start) for out, s in specs.items()]
+
+    def run(table: pa.Table) -> dict[str, list[float]]:
+        at, made = table[pos].to_pylist(), {}
+        for out, x, seed, alpha, start in plain:
+            e, states = table[f"_c_{out}"][0].as_py() or 0.0, []
+            for p, v, first in zip(at, table[x].to_pylist(), table[seed].to_pylist()):
+                if p > start:
+                    e = e + ((v or 0.0) - e) * alpha
+                elif p == start:
+                    e = first or 0.0
+                states.append(e)
+            made[out] = states
+        return made
+
+    return run
+
+
 class BlockFrame:
     """Rows copied into blocks of ``size`` positions, with a halo each side."""
 
@@ -198,14 +225,58 @@ class BlockFrame:
             local[f"_l_{out}"] = F.pow(F.lit(w), k) * F.sum(b * F.pow(F.lit(w), -k)).over(running)
         rows = cut(self.df.withColumns(local).filter(own))
         ends = rows.filter(F.pmod(p, F.lit(size)) == size - 1).select(*self.keys, "_blk", *local)
-        carried = self._decayed(ends, specs)
+        rows = rows.drop(*local)
+        carried = self._settled(rows, self._decayed(ends, specs), specs)
         joined = rows.join(carried, [*self.keys, "_blk"], "left")
-        done = {}
-        for out, s in specs.items():
-            w = 1.0 - s.alpha
-            value = F.col(f"_l_{out}") + F.coalesce(F.col(f"_c_{out}"), F.lit(0.0)) * F.pow(F.lit(w), k + 1)
-            done[out] = F.when(p >= s.start + max(s.min_periods - 1, 0), value)
-        return joined.withColumns(done).drop("_blk", *local, *[f"_c_{o}" for o in specs])
+        pos, run = self.pos, _recurrence(self.pos, specs)
+
+        def states(table: pa.Table) -> pa.Table:
+            table = table.sort_by(pos)
+            for out, e in run(table).items():
+                table = table.append_column(f"_e_{out}", pa.array(e, pa.float64()))
+            return table
+
+        schema = T.StructType([*joined.schema.fields, *[T.StructField(f"_e_{o}", T.DoubleType()) for o in specs]])
+        made = joined.groupBy(*self.keys, "_blk").applyInArrow(states, schema)
+        done = {out: F.when(p >= s.start + max(s.min_periods - 1, 0), F.col(f"_e_{out}")) for out, s in specs.items()}
+        return made.withColumns(done).drop("_blk", *[f"_{x}_{o}" for o in specs for x in "ce"])
+
+    def _settled(self, rows: DataFrame, guess: DataFrame, specs: Mapping[str, Ewm]) -> DataFrame:
+        """Carry into each block, exactly as one pass over the series has it.
+
+        Blocks run from guessed carries; those whose predecessor ends elsewhere
+        run again from there.  The recursion forgets its start, so a second
+        round mostly moves nothing; each round settles one more block at least.
+        """
+        on, pos, run = [*self.keys, "_blk"], self.pos, _recurrence(self.pos, specs)
+        cols = {s.x for s in specs.values()} | {s.seed for s in specs.values() if s.seed}
+        narrow = rows.select(*on, *sorted({pos, *cols} - set(on)))
+        outs = [f"_c_{o}" for o in specs]
+
+        def last(table: pa.Table) -> pa.Table:
+            table = table.sort_by(pos)
+            head = {c: table[c].slice(0, 1) for c in on[:-1]}
+            nxt = {"_blk": pa.array([table["_blk"][0].as_py() + 1], pa.int64())}
+            ends = {f"_c_{o}": pa.array(e[-1:], pa.float64()) for o, e in run(table).items()}
+            return pa.table(head | nxt | ends)
+
+        def ends_of(blocks: DataFrame, how: str) -> DataFrame:
+            return narrow.join(blocks, on, how).groupBy(*on).applyInArrow(last, guess.schema)
+
+        known = cut(guess.select(*on, *outs))
+        if known.isEmpty():
+            return known
+        made = ends_of(known, "left")
+        while True:
+            before = known.select(*on, *[F.col(c).alias(f"{c}_was") for c in outs])
+            same = F.lit(True)
+            for c in outs:
+                same = same & F.col(c).eqNullSafe(F.col(f"{c}_was"))
+            moved = cut(made.join(before, on).filter(~same).select(*on, *outs))
+            if moved.isEmpty():
+                return known
+            known = cut(known.join(moved.select(*on), on, "left_anti").unionByName(moved))
+            made = ends_of(moved, "inner")
 
     def _decayed(self, ends: DataFrame, specs: Mapping[str, Ewm]) -> DataFrame:
         """Carry into each block: sum of earlier block ends times decay**distance.

@@ -54,6 +54,21 @@ def test_frames_and_averages_match_pandas_across_blocks(spark):
             np.testing.assert_allclose(g[c].to_numpy(float), w.to_numpy(float), rtol=1e-10, err_msg=c)
 
 
+def test_averages_equal_one_pass_bit_by_bit(spark):
+    # prices that repeat: one pass comes back to the same doubles, so rounding shows in distinct counts
+    pdf = pd.concat([random_bars(60, symbols=("a",))] * 8, ignore_index=True)
+    pdf["timestamp"] = pdf.timestamp.iloc[0] + pd.to_timedelta(np.arange(len(pdf)), unit="h")
+    placed = with_position(frame(spark, pdf), keys=["symbol"], ts="timestamp", step=HOUR, reset=False)
+    specs = {"fast": Ewm("close", 1 / 14), "slow": Ewm("close", span(200)), "seeded": Ewm("close", 1 / 14, start=14, seed="volume")}
+    got = BlockFrame(placed, ["symbol"], size=50).ewm(specs).toPandas().sort_values("pos")
+    for out, s in specs.items():
+        want, e = [], None
+        for p, (x, v) in enumerate(zip(pdf.close, pdf.volume)):
+            e = (v if s.seed else x) if p == s.start else None if p < s.start else e + (x - e) * s.alpha
+            want.append(e)
+        assert [None if np.isnan(x) else x for x in got[out].astype(float)] == want, out
+
+
 def test_scans_match_pandas_across_blocks(spark):
     pdf = random_bars(90, symbols=("a",))
     pdf["mark"] = np.where(np.arange(90) % 7 == 3, pdf.close, np.nan)
