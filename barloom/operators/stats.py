@@ -375,7 +375,7 @@ OUTCOMES = ("SL", "TIME", "TP")
 
 
 def probability_metrics(df: DataFrame, by: Sequence[str], *, classes: Sequence[str] = OUTCOMES, y: str = "event_outcome") -> DataFrame:
-    """Log loss, multiclass Brier score and accuracy of p_<class> columns."""
+    """Log loss, multiclass Brier score and accuracy of p_<class> columns; rows without any probability only count in ``n``."""
     p = {c: F.col(f"p_{c.lower()}") for c in classes}
     mine, brier = F.lit(None).cast("double"), F.lit(0.0)
     for c, x in p.items():
@@ -384,8 +384,9 @@ def probability_metrics(df: DataFrame, by: Sequence[str], *, classes: Sequence[s
     best, top = F.greatest(*p.values()), F.lit(None).cast("string")
     for c, x in reversed(list(p.items())):
         top = F.when(x == best, c).otherwise(top)
+    loss = F.when(best.isNotNull(), F.ln(F.least(F.greatest(mine, F.lit(1e-15)), F.lit(1.0))))
     return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), (-F.avg(F.ln(F.least(F.greatest(mine, F.lit(1e-15)), F.lit(1.0))))).alias("log_loss"),
+        F.count(F.lit(1)).alias("n"), (-F.avg(loss)).alias("log_loss"),
         F.avg(brier).alias("brier_multiclass"), F.avg((top == F.col(y)).cast("double")).alias("accuracy"),
         F.avg("p_tp").alias("mean_p_tp"), F.avg((F.col(y) == "TP").cast("double")).alias("observed_tp_rate"),
     )
