@@ -92,17 +92,22 @@ def with_probabilities(model: PipelineModel | None, rows: DataFrame, features: S
     return made.select(*rows.columns, *[(F.get("_p", at[c]) if c in at else F.lit(0.0)).alias(f"p_{c.lower()}") for c in OUTCOMES])
 
 
-def fit_boosted(past: DataFrame, features: Sequence[str], *, trees: int = 10, depth: int = 3, rate: float = 0.1, seed: int = 42) -> PipelineModel:
-    """Boosted trees, one binary ensemble per class."""
-    cols = [*features, "bias_score", "candidate_is_short"]
+def fit_boosted(past: DataFrame, features: Sequence[str], *, trees: int = 10, depth: int = 3, rate: float = 0.1, seed: int = 42) -> PipelineModel | None:
+    """Boosted trees, one binary ensemble per class; None without a row to learn from."""
+    past = past.filter(F.col("event_outcome").isNotNull())
+    n, cols = _seen(past, features)
+    if not n:
+        return None
     gbt = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
     many = OneVsRest(classifier=gbt, featuresCol="_x", labelCol="_y", predictionCol="class_index", parallelism=3)
     return Pipeline(stages=[*_prepared(cols), _labels(), many]).fit(matrix(past, features))
 
 
-def predicted_class(model: PipelineModel, rows: DataFrame, features: Sequence[str], out: str = "predicted") -> DataFrame:
-    names = next(s.labels for s in model.stages if hasattr(s, "labels"))
-    made = model.transform(matrix(rows, features))
+def predicted_class(model: PipelineModel | None, rows: DataFrame, features: Sequence[str], out: str = "predicted") -> DataFrame:
+    """The likeliest class (null without a model)."""
+    if model is None:
+        return rows.withColumn(out, F.lit(None).cast("string"))
+    made, names = _apply(model, rows, features)
     label = F.get(F.array(*[F.lit(x) for x in names]), F.col("class_index").cast("int"))
     return made.select(*rows.columns, label.alias(out))
 

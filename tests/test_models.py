@@ -21,6 +21,13 @@ def candidates(spark, n, outcomes=("SL", "TIME", "TP"), empty=()):
     return df.withColumns({c: M.F.lit(None).cast("double") for c in empty})
 
 
+def test_without_rows_to_learn_from_boosted_predicts_null(spark):
+    some = candidates(spark, 6)
+    made = M.predicted_class(M.fit_boosted(some.limit(0), FEATURES), some, FEATURES)
+    found = T.classification_report(made, "event_outcome", "predicted", labels=list(T.OUTCOMES)).collect()
+    assert {(r["label"], r["support"], r["predicted"], r["invalid"]) for r in found} == {(c, 2, 0, 6) for c in T.OUTCOMES}
+
+
 def test_folds_without_a_past_keep_their_rows(spark):
     rows = candidates(spark, 12)
     use = lambda df, fold, role: df.withColumns({"fold": M.F.lit(fold), "role": M.F.lit(role)})
