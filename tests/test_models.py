@@ -21,6 +21,13 @@ def candidates(spark, n, outcomes=("SL", "TIME", "TP"), empty=()):
     return df.withColumns({c: M.F.lit(None).cast("double") for c in empty})
 
 
+def test_without_rows_to_learn_from_logistic_predicts_null(spark):
+    some = candidates(spark, 6)
+    made = M.with_probabilities(M.fit_logistic(some.limit(0), FEATURES), some, FEATURES)
+    found = T.probability_metrics(made, ["side"]).collect()
+    assert [(r["n"], r["log_loss"], r["brier_multiclass"], r["accuracy"]) for r in found] == [(3, None, None, None)] * 2
+
+
 def test_without_rows_to_learn_from_boosted_predicts_null(spark):
     some = candidates(spark, 6)
     made = M.predicted_class(M.fit_boosted(some.limit(0), FEATURES), some, FEATURES)
