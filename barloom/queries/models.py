@@ -25,7 +25,7 @@ def _split(spark, d):
 def _(spark, d):
     """Ridge on train against the side prior, on validation."""
     train, val = _split(spark, d)
-    made = M.fit_ridge(train, FEATURES).transform(M.matrix(val, FEATURES)).select(*val.columns, "ridge")
+    made = M.with_ridge(M.fit_ridge(train, FEATURES), val, FEATURES)
     made = made.join(T.prior_by_side(train).select("side", "prior_mean"), "side", "left")
     models = F.array(*[F.struct(F.lit(n).alias("model"), F.col(c).alias("prediction")) for n, c in (("SIDE_PRIOR", "prior_mean"), ("RIDGE", "ridge"))])
     long = made.withColumn("_m", F.explode(models)).select("side", "net_return", "_m.*")
