@@ -159,32 +159,28 @@ class Transducer:
 
     def arc(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
         """(next state, tokens written) of one byte: the subset step, with what all hypotheses agree on written."""
-        ahead, done, common, pairs = [], None, True, self.pairs
-        for waiting, last, node in state[-1]:
-            node = node.child.get(byte)
-            if node is not None:
-                ahead.append((waiting, last, node))
-                if not waiting:
-                    common = False
-                if done is None and node.token >= 0:
-                    token = node.token
-                    found = pairs.get(last << 32 | token) if last >= 0 else None
-                    if self.fits(last, token) if found is None else found:
-                        done = ((*waiting, token), token, self.root)
-        if done is not None:
-            ahead.append(done)
-        shared = ()
-        if common:
-            shared = ahead[0][0]
-            for waiting, _, _ in ahead[1:]:
-                n = 0
-                for x, y in zip(shared, waiting):
-                    if x != y:
-                        break
-                    n += 1
-                shared = shared[:n]
-            n = len(shared)
-            if n:
+        ahead = [(waiting, last, on) for waiting, last, node in state[-1] if (on := node.child.get(byte)) is not None]
+        pairs = self.pairs
+        for waiting, last, node in ahead:
+            token = node.token
+            if token >= 0:
+                found = pairs.get(last << 32 | token) if last >= 0 else None
+                if self.fits(last, token) if found is None else found:
+                    done = (*waiting, token), token, self.root
+                    break
+        else:
+            raise AssertionError("every string of bytes has an encoding")
+        ahead = [h for h in ahead if h[2].child]  # a token that no longer one begins with ends here
+        ahead.append(done)
+        shared = ahead[0][0]
+        if shared:
+            for waiting, _, _ in ahead:
+                while waiting[: len(shared)] != shared:
+                    shared = shared[:-1]
+                if not shared:
+                    break
+            else:
+                n = len(shared)
                 ahead = [(waiting[n:], last, node) for waiting, last, node in ahead]
         key = tuple(ahead)
         target = self.known.get(key)
@@ -210,9 +206,7 @@ class Transducer:
                 state, wrote = self.arc(state, byte)
             if wrote:
                 out += wrote
-        for waiting, _, node in state[-1]:
-            if node is self.root:
-                out += waiting
+        out += state[-1][-1][0]  # the last hypothesis begins here: all before it is encoded
         return out
 
 
@@ -297,19 +291,30 @@ class Codec:
         self.clear()
 
     def clear(self) -> None:
-        self.held = 0
         self.first: dict[str, Chunk] = {}  # from the begin of a text
         self.later: dict[str, Chunk] = {}  # after a space
         self.pieces: dict[str, Chunk] = {}
+        self.age()
+
+    def age(self) -> None:
+        """Start a new generation: what the last one met is taken over when it is met again, what is older is forgotten."""
+        self.held = 0
+        self.old_later, self.old_pieces = self.later, self.pieces
+        self.first, self.later, self.pieces = {}, {}, {}
 
     def _piece(self, piece: str) -> Chunk:
+        found = self.old_pieces.get(piece)
+        if found is not None:
+            self.pieces[piece] = found
+            self.held += len(piece)
+            return found
         ids = tuple(self.fst.encode(piece.encode()))
         whole, decimals = self.decoder.whole, self.decimals
         try:
-            text = "".join([whole[i] for i in ids])
+            text = "".join(map(whole.__getitem__, ids))
         except KeyError:  # some token ends inside a character
             text = self.decode(ids)
-        found = ids, " ".join([decimals[i] for i in ids]), text
+        found = ids, " ".join(map(decimals.__getitem__, ids)), text
         if len(piece) < 256:
             self.pieces[piece] = found
             self.held += len(piece)
@@ -324,8 +329,18 @@ class Codec:
 
     def _learn(self, parts: list[str]) -> bool:
         """Remember the parts between spaces; False if the spaces do not start pieces, so that the text cannot be cut at them."""
-        later = self.later
+        later, old = self.later, self.old_later
         new = [p for p in set(islice(parts, 1, None)) if p not in later]
+        if old:
+            rest = []
+            for p in new:
+                found = old.get(p)
+                if found is None:
+                    rest.append(p)
+                else:
+                    later[p] = found
+                    self.held += len(p)
+            new = rest
         # white space next to a space belongs to its piece
         for p in (parts[0], *new):
             if not p or p[0].isspace() or p[-1].isspace():
@@ -346,8 +361,8 @@ class Codec:
         by itself.  Its tokens spell whole characters, so its decoding ends
         where the next one's begins.
         """
-        if self.held > self.most:
-            self.clear()
+        if 2 * self.held > self.most:  # two generations
+            self.age()
         parts = text.split(" ")
         if len(parts) == 1:
             return [self._chunk(text)]
