@@ -5,10 +5,13 @@ pair of tokens is the encoding of the pair's own bytes (merges act on
 neighbours only).  So the encoder is a nondeterministic transducer: walk a
 token's bytes in a trie, write the token, and start the next one if the pair
 fits.  Its determinised form keeps, after each byte, all hypotheses about
-where the token in progress began, each with the tokens it has not written
-yet; what they agree on is written.  A hypothesis dies when the trie has no
-such token, so the lookahead is at most the longest token.  States and arcs
-are made when first met.
+where the token in progress began, each with the token before it.  A
+hypothesis dies when the trie has no such token, so there are at most as many
+as the longest token has bytes.  Each arc writes the one token that ends at
+its byte in the encoding of all bytes so far; read from the end, the tokens
+that touch are the encoding.  States and arcs are made when first met, and
+hold no tokens that wait to be written, so texts with the same last bytes and
+tokens share them.
 """
 
 from __future__ import annotations
@@ -48,6 +51,29 @@ class Node:
         self.child, self.token = NO_CHILD, -1
 
 
+class Shape:
+    """What the hypotheses of many states have in common: their nodes, with the bytes begun; they differ in the tokens before."""
+
+    __slots__ = ("begun", "nodes", "steps", "states")
+
+    def __init__(self, begun: tuple[int, ...], nodes: tuple[Node, ...]):
+        self.begun, self.nodes = begun, nodes
+        self.steps: dict[int, tuple[Shape, tuple, tuple]] = {}  # byte to (next shape, hypotheses that go on, tokens that may end)
+        self.states: dict[tuple[int, ...], State] = {}  # by the tokens before
+
+
+class State(dict):
+    """Arcs, byte to (next state, token that ends at the byte, its length), made when first asked for."""
+
+    __slots__ = ("fst", "shape", "before")
+
+    def __init__(self, fst: Transducer, shape: Shape, before: tuple[int, ...]):
+        self.fst, self.shape, self.before = fst, shape, before
+
+    def __missing__(self, byte: int) -> tuple[State, int, int]:
+        return self.fst.arc(self, byte)
+
+
 class Transducer:
     """Encoder of single pieces by lazily made states."""
 
@@ -70,19 +96,26 @@ class Transducer:
         self.own: dict[int, bool] = {}
         self.parts: dict[bytes, tuple[bytes, bytes]] = {}
         self.edges: tuple[dict, dict] = ({}, {})
+        self.shapes: dict[tuple[Node, ...], Shape] = {}
         self.clear()
 
     def clear(self) -> None:
-        """Forget all states but the first.
-
-        A state is the dict of its arcs, byte to (next state, tokens written);
-        its hypotheses stand under -1.
-        """
-        first = (((), -1, self.root),)
-        self.start: dict = {-1: first}
-        self.known = {first: self.start}
+        """Forget all states but the first; they refer to each other, and nothing else would free them."""
+        for shape in self.shapes.values():
+            for state in shape.states.values():
+                state.clear()
+            shape.states.clear()
+            shape.steps.clear()
+        shape = Shape((0,), (self.root,))
+        self.shapes = {shape.nodes: shape}
+        self.start = shape.states[(-1,)] = State(self, shape, (-1,))
         self.made = 0
 
+    @property
+    def known(self) -> Iterator[tuple[tuple[int, int, Node], ...]]:
+        """The hypotheses of every state met: bytes begun, token before, node."""
+        return (tuple(zip(s.begun, last, s.nodes)) for s in self.shapes.values() for last in s.states)
+
     def merged(self, data: bytes) -> list[int]:
         """Encoding of a short string by the definition: the lowest rank merges first, the leftmost of equals."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -157,36 +190,43 @@ class Transducer:
             self.edges[side][token] = found
         return found
 
-    def arc(self, state: dict, byte: int) -> tuple[dict, tuple[int, ...]]:
-        """(next state, tokens written) of one byte: the subset step, with what all hypotheses agree on written."""
-        ahead = [(waiting, last, on) for waiting, last, node in state[-1] if (on := node.child.get(byte)) is not None]
+    def step(self, shape: Shape, byte: int) -> tuple[Shape, tuple, tuple]:
+        """Where the nodes of a shape go, whatever the tokens before: (next shape, hypotheses that go on, tokens that may end)."""
+        begun, nodes, stay, ends = [], [], [], []
+        for i, node in enumerate(shape.nodes):
+            on = node.child.get(byte)
+            if on is None:
+                continue
+            if on.token >= 0:
+                ends.append((i, on.token, shape.begun[i] + 1))
+            if on.child:  # a token that no longer one begins with ends here
+                stay.append(i)
+                begun.append(shape.begun[i] + 1)
+                nodes.append(on)
+        key = (*nodes, self.root)
+        target = self.shapes.get(key)
+        if target is None:
+            target = self.shapes[key] = Shape((*begun, 0), key)
+        out = shape.steps[byte] = target, tuple(stay), tuple(ends)
+        return out
+
+    def arc(self, state: State, byte: int) -> tuple[State, int, int]:
+        """(next state, token that ends here, its length) of one byte: the subset step."""
+        shape, before = state.shape, state.before
+        target, stay, ends = shape.steps.get(byte) or self.step(shape, byte)
         pairs = self.pairs
-        for waiting, last, node in ahead:
-            token = node.token
-            if token >= 0:
-                found = pairs.get(last << 32 | token) if last >= 0 else None
-                if self.fits(last, token) if found is None else found:
-                    done = (*waiting, token), token, self.root
-                    break
+        for i, token, length in ends:
+            last = before[i]
+            found = pairs.get(last << 32 | token) if last >= 0 else None
+            if self.fits(last, token) if found is None else found:
+                break
         else:
             raise AssertionError("every string of bytes has an encoding")
-        ahead = [h for h in ahead if h[2].child]  # a token that no longer one begins with ends here
-        ahead.append(done)
-        shared = ahead[0][0]
-        if shared:
-            for waiting, _, _ in ahead:
-                while waiting[: len(shared)] != shared:
-                    shared = shared[:-1]
-                if not shared:
-                    break
-            else:
-                n = len(shared)
-                ahead = [(waiting[n:], last, node) for waiting, last, node in ahead]
-        key = tuple(ahead)
-        target = self.known.get(key)
-        if target is None:
-            target = self.known[key] = {-1: key}
-        out = state[byte] = (target, shared)
+        key = (*[before[i] for i in stay], token)
+        to = target.states.get(key)
+        if to is None:
+            to = target.states[key] = State(self, target, key)
+        out = state[byte] = to, token, length
         self.made += 1
         return out
 
@@ -197,16 +237,14 @@ class Transducer:
             return [whole]
         if self.made > self.most:
             self.clear()
-        out: list[int] = []
-        state = self.start
-        for byte in piece:
-            try:
-                state, wrote = state[byte]
-            except KeyError:
-                state, wrote = self.arc(state, byte)
-            if wrote:
-                out += wrote
-        out += state[-1][-1][0]  # the last hypothesis begins here: all before it is encoded
+        arc = self.start, -1, 0
+        path = [arc := arc[0][byte] for byte in piece]
+        out, at = [], len(piece) - 1
+        while at >= 0:
+            _, token, length = path[at]
+            out.append(token)
+            at -= length
+        out.reverse()
         return out
 
 
@@ -320,8 +358,8 @@ class Codec:
             self.held += len(piece)
         return found
 
-    def _chunk(self, text: str) -> Chunk:
-        pieces, known = self.split.findall(text), self.pieces
+    def _chunk(self, pieces: list[str]) -> Chunk:
+        known = self.pieces
         found = [known.get(p) or self._piece(p) for p in pieces]
         if len(found) == 1:
             return found[0]
@@ -345,14 +383,21 @@ class Codec:
         for p in (parts[0], *new):
             if not p or p[0].isspace() or p[-1].isspace():
                 return False
-        for p in new:
-            later[p] = self._chunk(" " + p)
-            self.held += len(p)
+        if new:
+            self._split(new)
         if parts[0] not in self.first:
-            self.first[parts[0]] = self._chunk(parts[0])
+            self.first[parts[0]] = self._chunk(self.split.findall(parts[0]))
             self.held += len(parts[0])
         return True
 
+    def _split(self, new: list[str]) -> None:
+        """Encode and remember parts that follow a space, split in one go: only the first piece of a part begins with a space."""
+        pieces, later, known = self.split.findall(" " + " ".join(new)), self.later, self.pieces
+        begins = [i for i, p in enumerate(pieces) if p[0] == " "]
+        for p, i, end in zip(new, begins, chain(islice(begins, 1, None), [len(pieces)]), strict=True):
+            later[p] = known.get(pieces[i]) or self._piece(pieces[i]) if end == i + 1 else self._chunk(pieces[i:end])
+        self.held += sum(map(len, new))
+
     def chunks(self, text: str) -> list[Chunk]:
         """The text in chunks that are encoded and decoded by themselves.
 
@@ -365,14 +410,14 @@ class Codec:
             self.age()
         parts = text.split(" ")
         if len(parts) == 1:
-            return [self._chunk(text)]
+            return [self._chunk(self.split.findall(text))]
         try:
             found = [self.first[parts[0]]]
             found += map(self.later.__getitem__, islice(parts, 1, None))
             return found
         except KeyError:
             if not self._learn(parts):
-                return [self._chunk(text)]
+                return [self._chunk(self.split.findall(text))]
         return [self.first[parts[0]], *map(self.later.__getitem__, islice(parts, 1, None))]
 
     def encode(self, text: str) -> tuple[Sequence[int], str]:

@@ -1,5 +1,8 @@
 """What the transducer keeps: hypotheses that can go on, and words that come back."""
 
+import random
+from types import SimpleNamespace
+
 import public_tokenizers
 
 from barloom.llm import bpe_transducer
@@ -23,3 +26,20 @@ def test_words_that_come_back_are_encoded_once(monkeypatch):
         text = f"xqzvword erntlyst wort{i}ung, é{i}"
         assert codec.encode(text) == plain.encode(text)
     assert met.count(b" erntlyst") == 1 and codec.held < 200 and len(codec.later) < 60 and len(codec.old_later) < 60
+
+
+def test_states_share_the_nodes_of_their_hypotheses():
+    fst, pick = bpe_transducer.Transducer(RANKS, arcs=500), random.Random(5)
+    pieces = ["".join(pick.choices(["tion", "eux", "re", "é", "ing", "un", " ", "漢", "a"], k=pick.randint(1, 9))).encode() for _ in range(400)]
+    assert [fst.encode(p) for p in pieces] == [fst.merged(p) for p in pieces]
+    # what a byte does to the nodes is found out once for all tokens that may stand before, and arcs are forgotten in time
+    assert len(fst.shapes) < 0.7 * sum(1 for _ in fst.known) and fst.made < 600
+
+
+def test_new_words_of_a_text_are_split_in_one_go():
+    codec, plain, calls = bpe_transducer.Codec(RANKS, public_tokenizers.PATTERN), bpe_transducer.Codec(RANKS, public_tokenizers.PATTERN), []
+    codec.split = SimpleNamespace(findall=lambda text: calls.append(text) or plain.split.findall(text))
+    text = " ".join(f"wort{i}ung,é'll\nx{i}" for i in range(200))
+    ids, digits = codec.encode(text)
+    whole = [i for piece in plain.split.findall(text) for i in plain.fst.encode(piece.encode())]
+    assert ids == whole and digits == " ".join(map(str, whole)) and codec.decode(ids) == text and len(calls) == 2
