@@ -11,7 +11,8 @@ as the longest token has bytes.  Each arc writes the one token that ends at
 its byte in the encoding of all bytes so far; read from the end, the tokens
 that touch are the encoding.  States and arcs are made when first met, and
 hold no tokens that wait to be written, so texts with the same last bytes and
-tokens share them.
+tokens share them.  New words hardly share arcs: many of them take the subset
+step together, byte by byte, their hypotheses rows of arrays.
 """
 
 from __future__ import annotations
@@ -24,13 +25,17 @@ from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, islice
 from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of what a task remembers: characters of encoded strings between spaces (and of pieces), and arcs of the transducer.
 CHUNK_CHARS, ARCS = 4_000_000, 400_000
+#: Characters of texts that are cut together, and of what is encoded side by side: words, bytes of a piece, and pairs of tokens remembered.
+BLOCK_CHARS, SIDE_WORDS, SIDE_BYTES, SIDE_PAIRS = 2_000_000, 100_000, 48, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -248,6 +253,162 @@ class Transducer:
         return out
 
 
+class Pairs:
+    """Numbers by pairs of numbers, looked up for arrays of pairs: open addressing, a quarter full at most."""
+
+    def __init__(self, left: Sequence[int], right: Sequence[int], value: Sequence[int]):
+        key, value = self.key(np.array(left, np.int64), np.array(right, np.int64)), np.array(value, np.int32)
+        self.bits = (4 * len(key)).bit_length()
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot, rest = self.slot(key, self.bits), np.arange(len(key))
+        while len(rest):
+            free = self.keys[slot[rest]] < 0
+            self.keys[slot[rest[free]]] = key[rest[free]]
+            won = self.keys[slot[rest]] == key[rest]
+            self.values[slot[rest[won]]] = value[rest[won]]
+            rest = rest[~won]
+            slot[rest] = slot[rest] + 1 & len(self.keys) - 1
+
+    @staticmethod
+    def key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left.astype(np.int64) << 32 | right
+
+    @staticmethod
+    def slot(key: np.ndarray, bits: int) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def get(self, left: np.ndarray, right: np.ndarray, default: int) -> np.ndarray:
+        key = self.key(left, right)
+        slot = self.slot(key, self.bits)
+        found = self.keys[slot]
+        out = np.where(hit := found == key, self.values[slot], np.int32(default))
+        rest = np.flatnonzero(~hit & (found >= 0))
+        while len(rest):
+            slot[rest] = slot[rest] + 1 & len(self.keys) - 1
+            found = self.keys[slot[rest]]
+            hit = found == key[rest]
+            out[rest[hit]] = self.values[slot[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
+
+class SideBySide:
+    """The hypotheses of many pieces at once: each byte is one step of all of them on arrays."""
+
+    TOP = (1 << 31) - 1
+
+    def __init__(self, fst: Transducer):
+        nodes, edges = [fst.root], []
+        for i, node in enumerate(nodes):
+            for byte, child in node.child.items():
+                edges.append((i, byte, len(nodes)))
+                nodes.append(child)
+        self.next = Pairs(*zip(*edges, strict=True))
+        self.ends = np.array([n.token for n in nodes], np.int32)
+        self.inner = np.array([bool(n.child) for n in nodes])
+        size = max(fst.bytes_of) + 1
+        self.length, self.own = np.zeros(size, np.int32), np.zeros(size, bool)
+        half, merges = {}, []
+        for token, data in fst.bytes_of.items():
+            a, b = fst.halves(data)
+            half[token] = fst.ranks[a], fst.ranks[b]
+            self.length[token] = len(data)
+            self.own[token] = len(data) == 1 or a + b == data
+            merges += [(fst.ranks[data[:i]], fst.ranks[data[i:]], token) for i in range(1, len(data)) if data[:i] in fst.ranks and data[i:] in fst.ranks]
+        self.merge = Pairs(*zip(*merges, strict=True)) if merges else None
+        # from the byte at a token's edge up to the token, a part after the other, then TOP
+        self.climb, self.foot = [], []
+        for side in (0, 1):
+            climb, foot = [], np.zeros(size, np.int64)
+            for token in fst.bytes_of:
+                chain = [token]
+                while self.length[chain[-1]] > 1:
+                    chain.append(half[chain[-1]][side])
+                foot[token] = len(climb)
+                climb += [*reversed(chain), self.TOP]
+            self.climb.append(np.array(climb, np.int32))
+            self.foot.append(foot)
+        self.met, self.met_fit = np.full(SIDE_PAIRS, -1, np.int64), np.zeros(SIDE_PAIRS, bool)
+
+    def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Transducer.fits`` for arrays; the pairs last met are remembered, one for each slot."""
+        out = self.own[right]
+        at = np.flatnonzero(left >= 0)
+        key = Pairs.key(left[at], right[at])
+        slot = Pairs.slot(key, SIDE_PAIRS.bit_length() - 1)
+        out[at] = self.met_fit[slot]
+        new = np.flatnonzero(self.met[slot] != key)
+        key, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+        some = at[new[first]]
+        found = self._fits(left[some], right[some])
+        out[at[new]] = found[back]
+        # of the pairs of one slot one is kept, with its own answer
+        slot = slot[new[first]]
+        self.met[slot] = key
+        mine = self.met[slot] == key
+        self.met_fit[slot[mine]] = found[mine]
+        return out
+
+    def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        out = self.own[left] & self.own[right]
+        if self.merge is None:
+            return out
+        at = np.flatnonzero(out)
+        up, down = self.climb[1], self.climb[0]
+        i, j = self.foot[1][left[at]], self.foot[0][right[at]]
+        while len(at):
+            above, over = up[i + 1], down[j + 1]
+            across = self.merge.get(up[i], down[j], self.TOP)
+            bad = (across < above) & (across <= over)
+            out[at[bad]] = False
+            on = np.flatnonzero(~bad & ((above < self.TOP) | (over < self.TOP)))
+            at, left_goes = at[on], above[on] <= over[on]
+            i, j = i[on] + left_goes, j[on] + ~left_goes
+        return out
+
+    def encode(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the pieces ``data[start : start + size]``, and where each piece's begin (with the end of all)."""
+        order = np.argsort(-size, kind="stable")  # pieces that have a byte more stand first
+        start, size, n = start[order], size[order], len(order)
+        most = int(size[0]) if n else 0
+        last = np.full((most + 1, n), -1, np.int32)  # the token that ends before a byte
+        piece = begin = node = np.zeros(0, np.int64)
+        for at in range(most):
+            live = int(np.searchsorted(-size, -at, "left"))
+            keep = np.flatnonzero(piece < live)
+            piece = np.concatenate([piece[keep], np.arange(live)])
+            begin = np.concatenate([begin[keep], np.full(live, at)])
+            node = np.concatenate([node[keep], np.zeros(live, np.int64)])
+            node = self.next.get(node, data[start[piece] + at], -1)
+            token = self.ends[node]
+            can = np.flatnonzero((node >= 0) & (token >= 0))
+            of, since, token = piece[can], begin[can], token[can]
+            fit = np.flatnonzero(self.fits(last[since, of], token))
+            if len(fit) != live:
+                raise AssertionError("every string of bytes has one encoding")
+            last[at + 1, of[fit]] = token[fit]
+            whole = np.flatnonzero((since == 0) & (size[of] == at + 1))  # a piece that is a token is that token
+            last[at + 1, of[whole]] = token[whole]
+            on = np.flatnonzero((node >= 0) & self.inner[node])
+            piece, begin, node = piece[on], begin[on], node[on]
+        # from the end, the tokens that touch
+        found, left, who = [], size.copy(), np.arange(n)
+        count = np.zeros(n, np.int64)
+        while len(who):
+            token = last[left[who], who]
+            found.append((who, token))
+            count[who] += 1
+            left[who] -= self.length[token]
+            who = who[left[who] > 0]
+        begins = np.zeros(n + 1, np.int64)
+        begins[order + 1] = count
+        begins = np.cumsum(begins)
+        out = np.zeros(begins[-1], np.int32)
+        for k, (who, token) in enumerate(found):
+            out[begins[order[who] + 1] - 1 - k] = token
+        return out, begins
+
+
 class Utf8Decoder:
     """Incremental UTF-8: states count the bytes a character still needs and bound its next byte.
 
@@ -313,8 +474,8 @@ class Utf8Decoder:
         yield self.end()
 
 
-#: A piece, or what stands between two spaces: its tokens, their decimals joined by spaces, and what they decode to.
-Chunk = tuple[tuple[int, ...], str, str]
+#: A piece, or what stands between two spaces: the decimals of its tokens joined by spaces, and what they decode to.
+Chunk = tuple[str, str]
 
 
 class Codec:
@@ -326,6 +487,7 @@ class Codec:
         self.decimals = {i: str(i) for i in self.fst.bytes_of}
         self.split = regex.compile(pattern)
         self.most = chunk_chars
+        self.side: SideBySide | None = None
         self.clear()
 
     def clear(self) -> None:
@@ -352,7 +514,7 @@ class Codec:
             text = "".join(map(whole.__getitem__, ids))
         except KeyError:  # some token ends inside a character
             text = self.decode(ids)
-        found = ids, " ".join(map(decimals.__getitem__, ids)), text
+        found = " ".join(map(decimals.__getitem__, ids)), text
         if len(piece) < 256:
             self.pieces[piece] = found
             self.held += len(piece)
@@ -363,7 +525,7 @@ class Codec:
         found = [known.get(p) or self._piece(p) for p in pieces]
         if len(found) == 1:
             return found[0]
-        return tuple(chain.from_iterable([f[0] for f in found])), " ".join([f[1] for f in found]), "".join([f[2] for f in found])
+        return " ".join([f[0] for f in found]), "".join([f[1] for f in found])
 
     def _learn(self, parts: list[str]) -> bool:
         """Remember the parts between spaces; False if the spaces do not start pieces, so that the text cannot be cut at them."""
@@ -398,6 +560,59 @@ class Codec:
             later[p] = known.get(pieces[i]) or self._piece(pieces[i]) if end == i + 1 else self._chunk(pieces[i:end])
         self.held += sum(map(len, new))
 
+    def learn(self, texts: Sequence[str]) -> list[list[str]]:
+        """The texts cut at their spaces; what stands between is remembered, the new of all texts encoded side by side."""
+        if 2 * self.held > self.most:
+            self.age()
+        cut, later, old, new = [text.split(" ") for text in texts], self.later, self.old_later, set()
+        for parts in cut:
+            new.update(islice(parts, 1, None))
+            p = parts[0]
+            if p not in self.first and p and p == p.strip():
+                self.first[p] = self._chunk(self.split.findall(p))
+                self.held += len(p)
+        new.difference_update(later)
+        back = [p for p in new if p in old]
+        new.difference_update(back)
+        later.update(zip(back, map(old.__getitem__, back), strict=True))
+        self.held += sum(map(len, back))
+        words = [p for p in new if p and p == p.strip()]
+        if len(words) >= 1000:
+            for i in range(0, len(words), SIDE_WORDS):
+                self._side(words[i : i + SIDE_WORDS])
+        return cut
+
+    def _side(self, words: list[str]) -> None:
+        """``_split`` on arrays."""
+        if self.side is None:
+            self.side = SideBySide(self.fst)
+            every = range(len(self.side.own))
+            self.spelt = pa.array([self.fst.bytes_of.get(i, b"") for i in every], pa.large_binary())
+            self.digits = pa.array([self.decimals.get(i, "") + end for end in (" ", "\n") for i in every], pa.large_string())
+        text = " ".join(["", *words])
+        pieces = self.split.findall(text)
+        first = np.flatnonzero(np.fromiter((p[0] == " " for p in pieces), bool, len(pieces)))
+        if len(first) != len(words):
+            raise AssertionError("a space starts a piece")
+        data = np.frombuffer(text.encode(), np.uint8)
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        start = chars[np.cumsum(np.fromiter(chain([0], map(len, pieces)), np.int64, len(pieces) + 1))]
+        start, size = start[:-1], np.diff(start)
+        # pieces too long to go with the others
+        some, alone = np.flatnonzero(size <= SIDE_BYTES), np.flatnonzero(size > SIDE_BYTES)
+        ids, begins = self.side.encode(data, start[some], size[some])
+        if len(alone):
+            parts = dict(zip(some.tolist(), np.split(ids, begins[1:-1]), strict=True)) if len(some) else {}
+            parts |= {i: np.array(self.fst.encode(pieces[i].encode()), np.int32) for i in alone.tolist()}
+            ids, begins = np.concatenate([parts[i] for i in range(len(pieces))]), np.cumsum([0, *(len(parts[i]) for i in range(len(pieces)))])
+        ends = np.zeros(len(ids), bool)
+        ends[np.append(begins[first[1:]], len(ids)) - 1] = True
+        # the parts hold no space, and spell whole characters
+        decoded = self.spelt.take(pa.array(ids)).buffers()[2].to_pybytes().decode().split(" ")
+        digits = self.digits.take(pa.array(ids + ends * len(self.side.own))).buffers()[2].to_pybytes().decode().split("\n")
+        self.later.update(zip(words, zip(digits[:-1], [" " + x for x in decoded[1:]], strict=True), strict=True))
+        self.held += sum(map(len, words))
+
     def chunks(self, text: str) -> list[Chunk]:
         """The text in chunks that are encoded and decoded by themselves.
 
@@ -408,7 +623,9 @@ class Codec:
         """
         if 2 * self.held > self.most:  # two generations
             self.age()
-        parts = text.split(" ")
+        return self._found(text, text.split(" "))
+
+    def _found(self, text: str, parts: list[str]) -> list[Chunk]:
         if len(parts) == 1:
             return [self._chunk(self.split.findall(text))]
         try:
@@ -422,13 +639,32 @@ class Codec:
 
     def encode(self, text: str) -> tuple[Sequence[int], str]:
         """Tokens, and their decimals joined by spaces."""
-        found = self.chunks(text)
-        return list(chain.from_iterable([c[0] for c in found])), " ".join([c[1] for c in found])
+        digits = " ".join([c[0] for c in self.chunks(text)])
+        return list(map(int, digits.split())), digits
+
+    def encode_all(self, texts: Sequence[str]) -> Iterator[tuple[str, str]]:
+        """For each text the decimals of its tokens joined by spaces, and what they decode to."""
+        for text, parts in zip(texts, self.learn(texts), strict=True):
+            digits, decoded = zip(*self._found(text, parts), strict=True)
+            yield " ".join(digits), "".join(decoded)
 
     def decode(self, ids: Sequence[int]) -> str:
         return "".join(self.decoder.stream(ids))
 
 
+def _blocks(column: pa.Array) -> Iterator[list[str]]:
+    """The texts of a column (null: empty) in blocks of ``BLOCK_CHARS`` or little more."""
+    texts, size = [], 0
+    for text in column:
+        texts.append(text.as_py() or "")
+        size += len(texts[-1])
+        if size >= BLOCK_CHARS:
+            yield texts
+            texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def encode_documents(
     df: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
 ) -> DataFrame:
@@ -456,13 +692,12 @@ def encode_documents(
         try:
             for batch in batches:
                 counts, hashes, decoded, lists = [], [], [], []
-                for text in batch.column(1):
-                    found = codec.chunks(text.as_py() or "")
-                    counts.append(sum([len(c[0]) for c in found]))
-                    hashes.append(hashlib.sha256(" ".join([c[1] for c in found]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256("".join([c[2] for c in found]).encode()).hexdigest())
+                for digits, text in chain.from_iterable(map(codec.encode_all, _blocks(batch.column(1)))):
+                    counts.append(digits.count(" ") + (digits != ""))
+                    hashes.append(hashlib.sha256(digits.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(text.encode()).hexdigest())
                     if with_ids:
-                        lists.append(list(chain.from_iterable([c[0] for c in found])))
+                        lists.append(list(map(int, digits.split())))
                 out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
