@@ -21,6 +21,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark).rstrip('/')}/llm/{spark.sparkContext.applicationId}/{next(_COUNT)}-{name}"
+    free_shuffles(spark)  # those of the last table: as it ended, Spark's listeners could still hold them
     df.write.option("compression", "zstd").parquet(path)
     del df
     free_shuffles(spark)
@@ -42,6 +43,29 @@ def drop_written(df: DataFrame) -> None:
         target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bits of the bitmap of hashed ids that :func:`with_ids` sends to the tasks (4 MB).
+ID_BITS = 1 << 25
+
+
+def with_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id is in ``ids`` (one column of integers, which may repeat).
+
+    A plain semi join would shuffle all of ``df``, texts and all, for the few rows
+    that it keeps.  A bitmap of the hashed ids lets nearly all others go before;
+    its size is fixed, and the join that follows is exact.
+    """
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BITS)) + 1
+    name = ids.columns[0]
+    spots = ids.select(spot(name).alias("_spot")).select(F.bitmap_bucket_number("_spot").alias("_bucket"), F.bitmap_bit_position("_spot").alias("_bit"))
+    # dealt out first: ids are shuffled, not a bitmap of each task
+    maps = spots.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    rows = df.withColumn("_bucket", F.bitmap_bucket_number(spot(id_col))).withColumn("_bit", F.bitmap_bit_position(spot(id_col)).cast("int"))
+    byte = F.conv(F.hex(F.expr("substring(_bits, _bit div 8 + 1, 1)")), 16, 10).cast("int")
+    near = rows.join(F.broadcast(maps), "_bucket").where(F.getbit(byte, F.col("_bit") % 8) == 1).select(*df.columns)
+    # an inner join: a semi join would be pushed below the bitmap
+    return near.join(ids.select(F.col(name).alias("_id")).distinct(), near[id_col] == F.col("_id")).select(*df.columns)
+
+
 def dense_rank_in(df: DataFrame, group: str, order: list[Column], bucket: Column, out: str) -> DataFrame:
     """``out``: gapless position from 0 of each row in its ``group``.
 

@@ -21,6 +21,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,15 +30,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, key_groups, written
+from .common import components, drop_written, key_groups, with_ids, written
 from .wordhash import mix, shingles, slices, words_of
 
 #: n-grams ordered last: at most so many, the most frequent ones of the corpus. It bounds what is sent to the tasks; results do not depend on it.
 HEAVY = 32_768
 #: Sets of one block of a group.
 BLOCK = 128
-#: Members of a group that are compared by their sketches before any text is sent; buckets of a sketch, and of a large set's.
+#: Members of a group, or of a tile of it, that are compared by their sketches at a time; buckets of a sketch, and of a large set's.
 SKETCHED, NARROW, WIDE, WIDE_FROM = 1024, 128, 1024, 1500
+#: n-grams of a tile whose sets are compared with those of another tile; cells of the table of probes that walk a tree together.
+TILED, STEP = 400_000, 4_000_000
 #: n-grams that a task counts at a time, and the least count it passes on.
 COUNTED, COUNT_FROM = 1_000_000, 4
 
@@ -120,6 +123,48 @@ class SetTrie:
                     found.append(y)
         return found
 
+    def similar_to_each(self, probes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """(x, sets other than x that reach the threshold with it) of all probes: one walk of the tree for as many as ``STEP`` allows."""
+        sizes = np.array(self.sizes, np.int64)
+        depth = max((len(p) for p in self.paths), default=0)
+        many = max(1, min(128, STEP // max(self.width, 1)))
+        for begin in range(0, len(probes), many):
+            some = probes[begin : begin + many]
+            kind = np.int16 if depth < 1 << 14 else np.int32
+            inside = np.zeros((self.width, len(some)), kind)
+            for i, x in enumerate(some):
+                inside[self.paths[x], i] = 1
+            held = np.array([len(self.paths[x]) for x in some], kind)
+            after = held - np.cumsum(inside, axis=0, dtype=kind)  # elements of each probe beyond each element
+            own = sizes[some]
+            shortest, longest = -(-self.percent * own // 100), own * 100 // self.percent
+            need = -(-self.percent * (own + shortest) // (100 + self.percent))
+            overlap = np.zeros((depth + 1, len(some)), kind)
+            reached, pruned = [], None
+            for y, shared in zip(self.order, self.shared):
+                if pruned is not None:
+                    if shared >= pruned:
+                        continue
+                    pruned = None
+                tail = self.paths[y][shared:]
+                if len(tail):
+                    hits = np.cumsum(inside[tail], axis=0, dtype=kind)
+                    hits += overlap[shared]
+                    overlap[shared + 1 : shared + len(tail) + 1] = hits
+                    poor = np.flatnonzero((hits + after[tail] < need).all(axis=1))
+                    if len(poor):
+                        pruned = shared + int(poor[0]) + 1
+                        continue
+                n = self.sizes[y]
+                hit = (overlap[shared + len(tail)] >= -(-self.percent * (own + n) // (100 + self.percent))) & (shortest <= n) & (n <= longest)
+                if hit.any():
+                    reached.append((y, np.flatnonzero(hit)))
+            ys = np.repeat([y for y, _ in reached], [len(i) for _, i in reached]).astype(np.int64)
+            at = np.concatenate([i for _, i in reached]) if reached else np.zeros(0, np.int64)
+            for i, x in enumerate(some):
+                found = ys[at == i]
+                yield x, found[found != x]
+
 
 def linked(sets: list[np.ndarray], percent: int, probes: list[int] | None = None) -> tuple[list[tuple[int, int]], list[int]]:
     """Spanning links of the similarity graph, and the smallest index linked to each set.
@@ -138,10 +183,10 @@ def linked(sets: list[np.ndarray], percent: int, probes: list[int] | None = None
         return i
 
     edges = []
-    first = set(trie.similar(0)) if probes is None and len(sets) else set()
-    todo = [0, *[i for i in range(1, len(sets)) if i not in first]] if probes is None else probes
-    for i in todo:
-        for j in first if probes is None and i == 0 else trie.similar(i):
+    first = trie.similar(0) if probes is None and len(sets) else []
+    todo = sorted({*range(1, len(sets))}.difference(first)) if probes is None else probes
+    for i, reached in itertools.chain([(0, first)], ((i, found.tolist()) for i, found in trie.similar_to_each(todo))):
+        for j in reached:
             a, b = find(i), find(j)
             if a != b:
                 root[max(a, b)] = min(a, b)
@@ -157,21 +202,24 @@ def sketch(s: np.ndarray) -> bytes:
     return np.minimum(count, 255).astype(np.uint8).tobytes()
 
 
-def plausible(sizes: list[int], sketches: list[bytes], percent: int) -> np.ndarray:
+def plausible(sizes: list[int], sketches: list[bytes], percent: int, first: int | None = None) -> np.ndarray:
     """Which sets may be similar to another one, by an upper bound of their overlap.
 
     Two sets share at most the smaller count of every bucket.  Buckets that are
-    full, and so of unknown count, bound nothing.
+    full, and so of unknown count, bound nothing.  ``first``: only so many sets
+    are compared with the others.
     """
     n = np.array(sizes, np.int64)
     wide = [np.frombuffer(x, np.uint8).astype(np.int64) for x in sketches]
     full = np.array([bool((x == 255).any()) for x in wide])
     narrow = np.stack([x.reshape(-1, NARROW).sum(axis=0) for x in wide]).astype(np.int32)
     out = full.copy()
-    for i in range(len(n) - 1):
+    for i in range(min(len(n) - 1, len(n) if first is None else first)):
         rest = slice(i + 1, len(n))
         need = -(-percent * (n[i] + n[rest]) // (100 + percent))
         fits = 100 * np.minimum(n[i], n[rest]) >= percent * np.maximum(n[i], n[rest])
+        if out[i]:
+            fits &= ~out[rest]
         j = np.flatnonzero(fits) + i + 1
         if len(j):
             j = j[np.minimum(narrow[i], narrow[j]).sum(axis=1) >= need[j - i - 1]]
@@ -285,10 +333,16 @@ def _compare(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
             for i, d in enumerate(group["doc"]):
                 if d not in seen or group["probe"][i]:
                     seen[d] = i
-            keep = list(seen.values())
+            keep = sorted(seen.values(), key=lambda i: not group["probe"][i])
             ids = [group["doc"][i] for i in keep]
             sets = list(gram_sets([(group["text"][i] or "").encode() for i in keep], k, positions))
-            probing = [j for j, i in enumerate(keep) if group["probe"][i]]
+            probing = list(range(sum(group["probe"][i] for i in keep)))
+            if probing:
+                near = np.flatnonzero(plausible([len(s) for s in sets], [sketch(s) for s in sets], percent, len(probing))).tolist()
+                probing = list(range(sum(j < len(probing) for j in near)))
+                ids, sets = [ids[j] for j in near], [sets[j] for j in near]
+                if not probing:
+                    continue
             edges, root = linked(sets, percent, probing if probing else None)
             for i, j in edges:
                 kinds.append(0), a.append(ids[i]), b.append(ids[j])
@@ -340,7 +394,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prefixes = written(_prefixes(docs, k, percent, heavy), "gram-prefixes")
     sketches = profiles.where("kind = 0").select(F.col("a").alias("doc"), "n", "sketch")
     edges = grouped_links(prefixes, docs, k, percent, classes.select(F.col("rep").alias("doc")), sketches)
-    drop_written(prefixes)
     found = components(edges)
     reps = classes.join(found, F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     own = sets.join(reps, ["n", "s1", "s2"], "left")
@@ -357,7 +410,8 @@ def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, re
     documents that stand for their set, the smallest id of each.  ``docs`` has
     their texts; ``once``: it repeats a document where its text repeats.
     ``sketches`` (doc, n, sketch) let members go that cannot be similar to any
-    other of their group, before their texts are sent.
+    other of their group, before their texts are sent.  A written table of
+    ``prefixes`` is deleted as soon as it has been read.
     """
     # an n-gram that one document holds, or (without ``reps``) only copies, makes no group; the narrower rows are, the less is shuffled
     lone = "leader != hi" if reps is not None else "leader != hi AND lo != hi_set"
@@ -371,6 +425,7 @@ def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, re
     # a group whose members are all in the group of one smaller leader adds no pair
     own = members = written(members, "gram-members")
     drop_written(active)
+    drop_written(prefixes)
     lowest = members.groupBy("doc").agg(F.min("leader").alias("lowest"))
     inner = members.join(lowest, "doc").groupBy("leader").agg(F.min("lowest").alias("lo"), F.max("lowest").alias("hi"))
     members = members.join(inner.where("lo != hi OR lo = leader").select("leader"), "leader")
@@ -385,7 +440,7 @@ def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, re
         own = members
         members = written(_plausible_members(members, sketches, percent), "gram-members")
         drop_written(own)
-    docs = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    docs = with_ids(docs, "doc_id", members.select("doc"))
     docs = written(docs.dropDuplicates(["doc_id"]) if once else docs, "gram-texts")
 
     todo, links, cut = members, [], False
@@ -417,43 +472,69 @@ def grouped_links(prefixes: DataFrame, docs: DataFrame, k: int, percent: int, re
     return edges
 
 
+def _tiles(members: DataFrame, most: Column) -> DataFrame:
+    """``members`` (leader, doc, class) with ``tile``: each class of a group cut by hash into tiles of about ``most`` documents."""
+    counts = members.groupBy("leader", "class").agg(F.ceil(F.count(F.lit(1)) / most).alias("_tiles"))
+    tile = F.pmod(F.xxhash64("doc", "leader"), F.col("_tiles")).cast("int")
+    return members.join(counts, ["leader", "class"]).select("leader", "doc", "class", tile.alias("tile"))
+
+
+def _met(left: DataFrame, right: DataFrame, once: bool) -> DataFrame:
+    """(leader, class, tile, side, block): the blocks in which tiles of ``left`` (side 0) and ``right`` (side 1) of fitting lengths meet.
+
+    ``once``: both are the same tiles, and each pair meets once (a tile meets itself on side 0 alone).
+    """
+    a = left.select("leader", F.col("class").alias("class0"), F.col("tile").alias("tile0")).distinct()
+    b = right.select(F.col("leader").alias("leader1"), F.col("class").alias("class1"), F.col("tile").alias("tile1")).distinct()
+    near = F.col("class1") - F.col("class0")
+    fits = (near == 1) | ((near == 0) & (F.col("tile0") <= F.col("tile1"))) if once else F.abs(near) <= 1
+    pairs = a.join(b, F.col("leader") == F.col("leader1")).where(fits).withColumn("block", F.xxhash64("leader", "class0", "tile0", "class1", "tile1"))
+    ends = [F.struct(F.lit(side).alias("side"), F.col(f"class{side}").alias("class"), F.col(f"tile{side}").alias("tile")) for side in (0, 1)]
+    met = pairs.select("leader", "block", F.explode(F.array(*ends)).alias("e")).select("leader", "block", "e.*")
+    return met.groupBy("leader", "class", "tile", "block").agg(F.min("side").alias("side")) if once else met
+
+
 def _plausible_members(members: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """``members`` without those that no other member of their group can be similar to; groups over ``SKETCHED`` stay whole."""
+    """``members`` without those that no other member of their group can be similar to; groups over ``SKETCHED`` are compared in pairs of tiles."""
     sizes = members.groupBy("leader").agg(F.count(F.lit(1)).alias("_m"))
     sized = members.join(sizes, "leader")
-    rows = sized.where(F.col("_m") <= SKETCHED).join(sketches.dropDuplicates(["doc"]), "doc").select("leader", "doc", "class", "n", "sketch")
-    rows = rows.repartition("leader").sortWithinPartitions("leader")
+    one = sized.where(F.col("_m") <= SKETCHED).select("leader", "doc", "class", F.xxhash64("leader").alias("block"), F.lit(0).alias("side"))
+    tiled = written(_tiles(sized.where(F.col("_m") > SKETCHED).select("leader", "doc", "class"), F.lit(SKETCHED)), "gram-tiles")
+    more = tiled.join(_met(tiled, tiled, True), ["leader", "class", "tile"]).select("leader", "doc", "class", "block", "side")
+    rows = one.union(more).join(sketches.dropDuplicates(["doc"]), "doc").select("block", "side", "leader", "doc", "class", "n", "sketch")
+    rows = rows.repartition("block").sortWithinPartitions("block", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in key_groups(batches, "leader"):
-            keep = np.flatnonzero(plausible(group["n"], group["sketch"], percent)).tolist()
+        for _, group in key_groups(batches, "block"):
+            first = group["side"].index(1) if group["side"][-1] else None
+            keep = np.flatnonzero(plausible(group["n"], group["sketch"], percent, first)).tolist()
             if keep:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([group[c][i] for i in keep], t) for c, t in (("leader", pa.int64()), ("doc", pa.int64()), ("class", pa.int32()))],
                     names=["leader", "doc", "class"],
                 )
 
-    large = sized.where(F.col("_m") > SKETCHED).select("leader", "doc", "class")
-    return rows.mapInArrow(run, "leader long, doc long, class int").union(large)
+    return rows.mapInArrow(run, "leader long, doc long, class int").distinct()
 
 
 def _cross_blocks(members: DataFrame, links: list[DataFrame], docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between blocks of large groups: each document outside its group's main component against all blocks."""
+    """Links between blocks of large groups: the documents outside their group's main component against all, tile by tile."""
     edges = links[0]
     for more in links[1:]:
         edges = edges.union(more)
-    blocks = written(_blocks(members).where("split"), "gram-blocks")
+    whole = written(_blocks(members).where("split").select("leader", "doc", "class"), "gram-blocks")
     own = components(edges)
-    at = blocks.join(own, blocks["doc"] == own["id"], "left").select("leader", "doc", "class", "block", F.coalesce("component", "doc").alias("c"))
+    at = whole.join(own, whole["doc"] == own["id"], "left").select("leader", "doc", "class", F.coalesce("component", "doc").alias("c"))
     sizes = at.groupBy("leader", "c").agg(F.count(F.lit(1)).alias("m"))
     main = sizes.groupBy("leader").agg(F.max(F.struct("m", "c")).alias("top")).select("leader", F.col("top.c").alias("main"))
-    apart = at.join(main, "leader").where("c != main").select("leader", "doc", "class")
-    targets = blocks.select("leader", F.col("class").alias("there"), "block").distinct()
-    visits = apart.join(targets, "leader").where(F.abs(F.col("class") - F.col("there")) <= 1).select("leader", "doc", "block", F.lit(True).alias("probe"))
-    visited = visits.select("block").distinct()
-    rows = blocks.select("leader", "doc", "block", F.lit(False).alias("probe")).join(visited, "block", "left_semi")
-    both = written(visits.select("leader", "doc", "block", "probe").union(rows.select("leader", "doc", "block", "probe")), "gram-visits")
-    return written(_compare(both, docs, k, percent), "gram-cross").where("kind = 0").select("a", "b")
+    # a tile holds few long sets or many short ones
+    most = F.greatest(F.lit(min(16.0, SKETCHED)), F.least(F.lit(float(SKETCHED)), TILED / F.exp(F.first("class") * math.log(100 / (percent - 0.1)))))
+    apart = written(_tiles(at.join(main, "leader").where("c != main").select("leader", "doc", "class"), most), "gram-apart")
+    whole = written(_tiles(whole.join(apart.select("leader").distinct(), "leader", "left_semi"), most), "gram-whole")
+    met = written(_met(apart, whole, False), "gram-met")
+    key = ["leader", "class", "tile"]
+    rows = [tiled.join(met.where(met["side"] == side), key).select("leader", "doc", "block", F.lit(side == 0).alias("probe")) for side, tiled in ((0, apart), (1, whole))]
+    return written(_compare(rows[0].union(rows[1]), docs, k, percent), "gram-cross").where("kind = 0").select("a", "b")
 
 
 SQL = r"""
