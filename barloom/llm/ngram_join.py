@@ -15,8 +15,9 @@
    threshold.
 6. Large groups are cut into blocks.  Blocks hand on one document per linked
    set until nothing shrinks; what is then still apart from its group's main
-   component is compared with every block of fitting lengths.  So no pair that
-   could connect two components is left out, and no group meets in one task.
+   component is compared with the whole group, tile by tile of fitting lengths.
+   So no pair that could connect two components is left out, and no group meets
+   in one task.
 """
 
 from __future__ import annotations
