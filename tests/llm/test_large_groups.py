@@ -70,7 +70,8 @@ def test_many_probes_at_once_equal_one_by_one(percent, size):
     assert all(first[i] and first[j] for i in range(10) for j in want[i])
 
 
-def test_large_group_in_tiles_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
+def test_large_group_in_tiles_equals_brute_force(spark, monkeypatch, k, percent):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "SKETCHED", 6)
     monkeypatch.setattr(ngram_join, "TILED", 100)
@@ -78,8 +79,8 @@ def test_large_group_in_tiles_equals_brute_force(spark, monkeypatch):
     texts = [changed(base, i % 12, i) for i in range(70)] + [changed(other, i % 9, 500 + i) for i in range(30)]
     texts += [" ".join(base[:90 - i] + text_of(10 + i, 900 + i)) for i in range(0, 40, 4)] + texts[:3]
     random.Random(3).shuffle(texts)
-    got = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == smallest({i: grams(t, 4) for i, t in enumerate(texts)}, 85)
+    got = ngram_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=k, percent=percent).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == smallest({i: grams(t, k) for i, t in enumerate(texts)}, percent)
 
 
 def test_unlike_members_of_a_large_group_are_not_compared_with_all(spark, monkeypatch, compared):
